@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,11 +10,9 @@ from pyspark.sql import functions as F
 def two_sided_p(statistic: Column, degrees: Column) -> Column:
     """Arrow UDF over a handful of result rows; self-contained, so executors need no extra module."""
 
-    def evaluate(t_values, degree_values):
+    def evaluate(t_values: pd.Series, degree_values: pd.Series) -> pd.Series:
         import math
 
-        import pandas as pd
-
         def beta_fraction(x, a, b):
             # Continued fraction of the incomplete beta function, by Lentz's method.
             tiny = 1e-300
@@ -45,4 +44,4 @@ def two_sided_p(statistic: Column, degrees: Column) -> Column:
 
         return pd.Series([p_value(t, d) for t, d in zip(t_values, degree_values)], dtype="float64")
 
-    return F.pandas_udf(evaluate, "double", F.PandasUDFType.SCALAR)(statistic, degrees)
+    return F.pandas_udf(evaluate, "double")(statistic, degrees)
