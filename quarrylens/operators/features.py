@@ -167,8 +167,8 @@ def new_columns(before: DataFrame, after: DataFrame) -> list[str]:
     return [c for c in after.columns if c not in before.columns]
 
 
-def column_sample(df: DataFrame, column: str, limit: int = SAMPLE_VALUES) -> DataFrame:
-    """The first values of a column, missing ones kept, beside its type."""
-    require_columns(df, [column])
-    return df.select(F.lit(df.schema[column].dataType.simpleString()).alias("type"),
-                     df[column].alias("value")).limit(limit)
+def column_sample(df: DataFrame, column: str, order_by: str, limit: int = SAMPLE_VALUES) -> DataFrame:
+    """The first values of a column in a given order, missing ones kept, beside its type."""
+    require_columns(df, [column, order_by])
+    return (df.orderBy(order_by).limit(limit)
+            .select(F.lit(df.schema[column].dataType.simpleString()).alias("type"), F.col(column).alias("value")))
