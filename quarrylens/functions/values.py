@@ -18,11 +18,19 @@ MISSING_TOKENS = (
 LOAD_DATE_TOKENS = ("date", "time", "created", "updated")
 CHECK_DATE_TOKENS = ("date", "time", "created", "updated", "timestamp")
 
-# The text forms accepted as a date or timestamp, ISO forms apart.
-DATE_FORMATS = (
-    "MM/dd/yyyy", "M/d/yyyy", "MM/dd/yyyy HH:mm", "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd",
-    "yyyy/MM/dd HH:mm:ss", "dd-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd",
-)
+# The text forms accepted as a date or timestamp, ISO forms apart, each with its shape.
+DATE_FORMATS = {
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
+    "M/d/yyyy H:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "yyyy/M/d H:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -79,10 +87,15 @@ def to_number(column: Column) -> Column:
 
 
 def to_timestamp(column: Column) -> Column:
-    """Text to timestamp; anything that is not wholly a date becomes null."""
+    """Text to timestamp; anything that is not wholly a date becomes null.
+
+    A form is tried only where the text has its shape: a failed parse costs far more than a match.
+    """
     text = F.trim(column.cast("string"))
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(text))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(form)) for form in DATE_FORMATS])
+    chosen = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(text))
+    for form, outline in DATE_FORMATS.items():
+        chosen = chosen.when(text.rlike(outline), F.try_to_timestamp(text, F.lit(form)))
+    return chosen
 
 
 def as_text(df: DataFrame, name: str) -> Column:

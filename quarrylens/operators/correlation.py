@@ -12,7 +12,7 @@ from quarrylens.errors import AnalysisError
 from quarrylens.functions.bands import LEAKAGE, STRONG, direction, strength
 from quarrylens.functions.kinds import numeric_columns, require_columns, require_numeric
 from quarrylens.functions.values import finite_column
-from quarrylens.scale.cells import CELL, cut_points, running_before, with_cell
+from quarrylens.scale.cells import CELL, Summary, cut_points, ranges, running_before, with_cell
 from quarrylens.scale.longform import one_row_per
 from quarrylens.scale.lookups import attach
 
@@ -33,14 +33,9 @@ def safe_corr(a: Column, b: Column) -> Column:
 
 def _pearson(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
     views = _views(df, columns)
-    filled = views.agg(F.count("*"), *[F.count(c) for c in views.columns]).first()
-    if all(n == filled[0] for n in filled):
-        # Without gaps every pair has the same rows, so the spreads are shared between pairs.
-        row = views.agg(F.count("*").alias("n"), *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(views.columns)],
-                        *[F.covar_pop(f"__x{i}", f"__x{j}").alias(f"c{i}_{j}") for i, j in pairs])
-        return one_row_per(row, [
-            {"left": F.lit(columns[i]), "right": F.lit(columns[j]), "n": F.col("n"),
-             "r": F.try_divide(F.col(f"c{i}_{j}"), F.col(f"s{i}") * F.col(f"s{j}"))} for i, j in pairs])
+    summaries, rows = ranges(df, columns), df.count()
+    if rows and all(s.count == rows for s in summaries.values()):
+        return _complete_pearson(views, columns, pairs, [summaries[c] for c in columns])
     row = views.agg(*[a for i, j in pairs for a in (
         safe_corr(F.col(f"__x{i}"), F.col(f"__x{j}")).alias(f"r{i}_{j}"),
         F.count_if(F.col(f"__x{i}").isNotNull() & F.col(f"__x{j}").isNotNull()).alias(f"n{i}_{j}"))])
@@ -49,6 +44,30 @@ def _pearson(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) ->
         for i, j in pairs])
 
 
+def _complete_pearson(views: DataFrame, columns: list[str], pairs: list[tuple[int, int]],
+                      summaries: list[Summary]) -> DataFrame:
+    """All pairs of columns without gaps: sums of products about means known from an earlier scan.
+
+    Every pair has the same rows, so the sums of each column are shared between its pairs.
+    """
+    d = [F.col(c) - F.lit(s.mean) for c, s in zip(views.columns, summaries)]
+    row = views.agg(F.count("*").alias("n"), *[a for i, x in enumerate(d) for a in (
+        F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}"))], *[
+        F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i, j in pairs])
+
+    sums = one_row_per(row, [{
+        "left": F.lit(columns[i]), "right": F.lit(columns[j]), "n": F.col("n"), "p": F.col(f"p{i}_{j}"),
+        "si": F.col(f"s{i}"), "sj": F.col(f"s{j}"), "qi": F.col(f"q{i}"), "qj": F.col(f"q{j}"),
+        "constant": F.lit(any(summaries[k].low == summaries[k].high for k in (i, j)))} for i, j in pairs])
+
+    def moment(product: str, a: str, b: str) -> Column:
+        return F.col(product) - F.col(a) * F.col(b) / F.col("n")
+
+    spread = F.sqrt(moment("qi", "si", "si")) * F.sqrt(moment("qj", "sj", "sj"))
+    r = F.when(~F.col("constant"), F.try_divide(moment("p", "si", "sj"), spread))
+    return sums.select("left", "right", "n", r.alias("r"))
+
+
 class _PairTables:
     """Value-pair counts of every column pair, and what ranks need from them."""
 

@@ -12,7 +12,7 @@ from quarrylens.functions.kinds import (
     BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, categorical_columns, is_nested, kinds, numeric_columns,
 )
 from quarrylens.functions.values import as_key, as_text, finite_column, missing, present, tidy
-from quarrylens.scale.cells import quantile_values
+from quarrylens.scale.cells import Summary, quantile_values
 from quarrylens.scale.longform import distinct_counts, one_row_per, value_counts
 
 TOP_VALUES, CATALOGUE_COLUMNS, LOW_CARDINALITY = 10, 60, 50
@@ -23,16 +23,32 @@ def _number(value) -> Column:
     return F.lit(value).cast("double")
 
 
-def skewness_of(n: Column, population: Column, spread: Column) -> Column:
-    """Bias-corrected skewness from the population moment; 0 for a constant column."""
-    corrected = population * F.sqrt(n * (n - 1)) / (n - 2)
-    return F.when(n >= 3, F.when(spread == 0, F.lit(0.0)).otherwise(corrected))
+def _moments(i: int, shift: float | None) -> list[Column]:
+    """Sums of powers of the distance to ``shift``: plain sums, which merge in any order."""
+    d = F.col(f"__x{i}") - F.lit(shift).cast("double")
+    return [F.count(f"__x{i}").alias(f"n{i}"), F.sum(d).alias(f"s1_{i}"), F.sum(d * d).alias(f"s2_{i}"),
+            F.sum(d * d * d).alias(f"s3_{i}"), F.sum(d * d * d * d).alias(f"s4_{i}")]
 
 
-def kurtosis_of(n: Column, population: Column, spread: Column) -> Column:
-    """Bias-corrected excess kurtosis from the population moment; 0 for a constant column."""
-    corrected = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * population + 6)
-    return F.when(n >= 4, F.when(spread == 0, F.lit(0.0)).otherwise(corrected))
+def _figures() -> dict[str, Column]:
+    """Mean, sample deviation and bias-corrected shape from the power sums of a row.
+
+    The sums are taken about a mean known from an earlier scan, so the remaining offset ``a`` is
+    close to zero and nothing is lost in the differences. A constant column has skewness and
+    kurtosis 0; below 3 and 4 values they are undefined.
+    """
+    n = F.col("n").cast("double")
+    a, r2, r3, r4 = (F.try_divide(F.col(f"s{k}"), n) for k in (1, 2, 3, 4))
+    m2 = r2 - a * a
+    m3 = r3 - 3 * a * r2 + 2 * a * a * a
+    m4 = r4 - 4 * a * r3 + 6 * a * a * r2 - 3 * a * a * a * a
+    constant = F.col("low") == F.col("high")
+    skew = F.try_divide(m3, m2 * F.sqrt(m2)) * F.sqrt(n * (n - 1)) / (n - 2)
+    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (F.try_divide(m4, m2 * m2) - 3) + 6)
+    return {"mean": F.when(constant, F.col("low")).otherwise(F.col("shift") + a),
+            "std": F.when(n >= 2, F.when(constant, 0.0).otherwise(F.sqrt(m2 * n / (n - 1)))),
+            "skewness": F.when(n >= 3, F.when(constant, 0.0).otherwise(skew)),
+            "kurtosis": F.when(n >= 4, F.when(constant, 0.0).otherwise(kurt))}
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -44,7 +60,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Statistics of the finite values of each numeric column, rounded to 6 decimals.
 
-    One scan for all moments; quartiles come in as literals from :func:`quantile_values`.
+    One scan for all moments; range, mean and quartiles come in as literals from :func:`quantile_values`.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     if not columns:
@@ -53,19 +69,18 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> D
             "q75 double, max double, skewness double, kurtosis double"))
     summaries = quantile_values(df, columns, QUARTILES)
     views = df.select(*[finite_column(df, c).alias(f"__x{i}") for i, c in enumerate(columns)])
-    row = views.agg(*[f(f"__x{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in (
-        ("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("skew", F.skewness), ("kurt", F.kurtosis))])
-    records = []
-    for i, c in enumerate(columns):
-        s, n, std = summaries[c], F.col(f"n{i}").cast("double"), F.col(f"std{i}")
-        records.append({
-            "column": F.lit(c), "count": F.col(f"n{i}"), "mean": tidy(F.col(f"mean{i}")),
-            "median": tidy(_number(s.q[1])), "std": tidy(std), "min": tidy(_number(s.low)),
-            "q25": tidy(_number(s.q[0])), "q75": tidy(_number(s.q[2])), "max": tidy(_number(s.high)),
-            "skewness": tidy(skewness_of(n, F.col(f"skew{i}"), std)),
-            "kurtosis": tidy(kurtosis_of(n, F.col(f"kurt{i}"), std)),
-        })
-    return one_row_per(row, records)
+    row = views.agg(*[m for i, c in enumerate(columns) for m in _moments(i, summaries[c].mean)])
+    sums = one_row_per(row, [{
+        "column": F.lit(c), "n": F.col(f"n{i}"), **{f"s{k}": F.col(f"s{k}_{i}") for k in (1, 2, 3, 4)},
+        "shift": _number(s.mean), "low": _number(s.low), "high": _number(s.high),
+        "q25": _number(s.q[0]), "median": _number(s.q[1]), "q75": _number(s.q[2]),
+    } for i, (c, s) in enumerate(summaries.items())])
+    shape = _figures()
+    return sums.select(
+        "column", F.col("n").alias("count"), tidy(shape["mean"]).alias("mean"), tidy(F.col("median")).alias("median"),
+        tidy(shape["std"]).alias("std"), tidy(F.col("low")).alias("min"), tidy(F.col("q25")).alias("q25"),
+        tidy(F.col("q75")).alias("q75"), tidy(F.col("high")).alias("max"),
+        tidy(shape["skewness"]).alias("skewness"), tidy(shape["kurtosis"]).alias("kurtosis"))
 
 
 def top_values(counts: DataFrame, limit: int) -> DataFrame:

@@ -27,11 +27,12 @@ EVEN_CUTS = tuple(i / 16 for i in range(1, 16))
 
 @dataclass
 class Summary:
-    """Finite count, range and quantiles of one column."""
+    """Finite count, range, mean and quantiles of one column."""
 
     count: int
     low: float | None
     high: float | None
+    mean: float | None = None
     q: list[float | None] = field(default_factory=list)
 
 
@@ -55,8 +56,14 @@ def name_of(columns: Sequence[str]) -> Column:
 
 def _ranges(views: DataFrame, width: int) -> list[Summary]:
     row = views.agg(*[f(f"__x{i}").alias(f"{tag}{i}") for i in range(width)
-                      for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    return [Summary(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i in range(width)]
+                      for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("m", F.avg))]).first()
+    return [Summary(row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"]) for i in range(width)]
+
+
+def ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, Summary]:
+    """Finite count, range and mean of several columns from one scan."""
+    columns = list(columns)
+    return dict(zip(columns, _ranges(_views(df, columns), len(columns)))) if columns else {}
 
 
 def cut_points(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = EVEN_CUTS,
@@ -105,9 +112,13 @@ def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     views = _views(df, columns)
     summaries = _ranges(views, len(columns))
     if max(s.count for s in summaries) <= SMALL_ROWS:
-        row = views.agg(*[F.percentile(f"__x{i}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"__x{i}")
-                          for i in range(len(columns))]).first()
-        found = {i: row[f"__x{i}"] for i in range(len(columns))}
+        # Few rows, so all distinct values fit one task. They may also lie in a single file split:
+        # spreading them out is cheap here and puts every core to work.
+        spread = df.select(*dict.fromkeys(columns)).repartition(df.sparkSession.sparkContext.defaultParallelism)
+        freq = numbers_long(spread, columns).groupBy(COLUMN, VALUE).agg(F.count("*").alias(COUNT))
+        rows = freq.groupBy(COLUMN).agg(F.percentile(
+            VALUE, F.array(*[F.lit(float(p)) for p in probs]), F.col(COUNT)).alias("q")).collect()
+        found = {row[COLUMN]: row["q"] for row in rows}
     else:
         near = {min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)} - {0.0, 1.0}
         cuts = cut_points(df, columns, sorted(near) or EVEN_CUTS, summaries)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarrylens.functions.values import as_text
+from quarrylens.functions.values import as_text, present
 
 MISSING_LABEL = "(missing)"
 
@@ -18,18 +20,40 @@ def one_row_per(row: DataFrame, records: Sequence[dict[str, Column]]) -> DataFra
     return row.select(F.inline(F.array(*structs)))
 
 
+def _families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[int, Column]]]:
+    """Columns that can share one value column: whole numbers together, every other type by itself."""
+    families: dict[str, list[tuple[int, Column]]] = {}
+    for i, c in enumerate(columns):
+        data_type = df.schema[c].dataType
+        if isinstance(data_type, T.IntegralType):
+            families.setdefault("bigint", []).append((i, df[c].cast("bigint")))
+        elif isinstance(data_type, T.AtomicType) and not isinstance(data_type, T.BinaryType):
+            families.setdefault(data_type.simpleString(), []).append((i, present(df, c)))
+        else:
+            families.setdefault("string", []).append((i, as_text(df, c)))
+    return families
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, position, value, n, n_missing``: every distinct value of every column, one shuffle.
+    """``column, position, value, n, n_missing``: every distinct value of every column.
 
-    Values are text; missing cells count under ``(missing)``. The shuffle key holds the value, so
-    a frequent value is merged before it and a column never lands in a single task.
+    The shuffle key holds the value in its own type, so a frequent value is merged before it, a
+    column never lands in a single task, and only distinct values are turned into text. Missing
+    cells count under ``(missing)``.
     """
     names = F.array(*[F.lit(c) for c in columns])
-    text = df.select(*[as_text(df, c).alias(f"__v{i}") for i, c in enumerate(columns)])
-    return (text.unpivot([], [f"__v{i}" for i in range(len(columns))], "__name", "__text")
-            .select(F.substring("__name", 4, 9).cast("int").alias("position"), "__text")
-            .groupBy("position", F.coalesce("__text", F.lit(MISSING_LABEL)).alias("value"))
-            .agg(F.count("*").alias("n"), F.count_if(F.col("__text").isNull()).alias("n_missing"))
+    parts = []
+    for members in _families(df, columns).values():
+        typed = df.select(*[column.alias(f"__v{i}") for i, column in members])
+        parts.append(typed.unpivot([], typed.columns, "__name", "__value")
+                     .groupBy(F.substring("__name", 4, 9).cast("int").alias("position"), "__value")
+                     .agg(F.count("*").alias("n"))
+                     .select("position", F.col("__value").cast("string").alias("__text"), "n"))
+    table = reduce(DataFrame.unionByName, parts)
+    gone = F.col("__text").isNull()
+    # A text cell may spell the label itself, so the two are merged; only then can rows repeat.
+    return (table.groupBy("position", F.coalesce("__text", F.lit(MISSING_LABEL)).alias("value"))
+            .agg(F.sum("n").alias("n"), F.sum(F.when(gone, F.col("n")).otherwise(0)).alias("n_missing"))
             .select(names[F.col("position")].alias("column"), "position", "value", "n", "n_missing"))
 
 
