@@ -112,13 +112,9 @@ def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     views = _views(df, columns)
     summaries = _ranges(views, len(columns))
     if max(s.count for s in summaries) <= SMALL_ROWS:
-        # Few rows, so all distinct values fit one task. They may also lie in a single file split:
-        # spreading them out is cheap here and puts every core to work.
+        # They may also lie in a single file split: spreading them out puts every core to work.
         spread = df.select(*dict.fromkeys(columns)).repartition(df.sparkSession.sparkContext.defaultParallelism)
-        freq = numbers_long(spread, columns).groupBy(COLUMN, VALUE).agg(F.count("*").alias(COUNT))
-        rows = freq.groupBy(COLUMN).agg(F.percentile(
-            VALUE, F.array(*[F.lit(float(p)) for p in probs]), F.col(COUNT)).alias("q")).collect()
-        found = {row[COLUMN]: row["q"] for row in rows}
+        found = {r[COLUMN]: r["q"] for r in _from_values(spread, columns, probs, []).collect()}
     else:
         near = {min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)} - {0.0, 1.0}
         cuts = cut_points(df, columns, sorted(near) or EVEN_CUTS, summaries)
@@ -137,12 +133,42 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     columns, by = list(columns), list(by)
     summaries = _ranges(_views(df, columns), len(columns))
     if max(s.count for s in summaries) <= SMALL_ROWS:
-        return (numbers_long(df, columns, by).groupBy(*by, COLUMN)
-                .agg(F.count("*").alias(COUNT),
-                     F.percentile(VALUE, F.array(*[F.lit(float(p)) for p in probs])).alias("q")))
+        return _from_values(df, columns, probs, by)
     return _from_cells(df, columns, probs, by, cut_points(df, columns, EVEN_CUTS, summaries))
 
 
+def _from_values(df: DataFrame, columns: list[str], probs: Sequence[float], by: list[str]) -> DataFrame:
+    """For tables of at most ``SMALL_ROWS`` rows: order all distinct values of a group together."""
+    keys = [*by, COLUMN]
+    freq = numbers_long(df, columns, by).groupBy(*keys, VALUE).agg(F.count("*").alias(COUNT))
+    total = F.sum(COUNT).over(Window.partitionBy(*keys))
+    return _pick(freq.select("*", F.lit(0).cast("bigint").alias("__start"), total.alias("__total")), keys, keys, probs)
+
+
+def _ranks(probs: Sequence[float]) -> list[tuple[Column, Column]]:
+    """The two neighbouring ranks of every probability in a group of ``__total`` values."""
+    last = F.col("__total") - 1
+    return [(F.floor(F.lit(p) * last), F.ceil(F.lit(p) * last)) for p in probs]
+
+
+def _pick(freq: DataFrame, keys: list[str], parts: list[str], probs: Sequence[float]) -> DataFrame:
+    """Order distinct values inside ``parts``, read the wanted ranks of each group, interpolate.
+
+    ``__start`` is the rank at which a part begins, ``__total`` the size of its group.
+    """
+    within = Window.partitionBy(*parts).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
+    freq = freq.withColumn("__upto", F.col("__start") + F.sum(COUNT).over(within))
+    from_, upto, last = F.col("__upto") - F.col(COUNT), F.col("__upto"), F.col("__total") - 1
+    ends, q = [], []
+    for i, (p, pair) in enumerate(zip(probs, _ranks(probs))):
+        ends += [F.max(F.when((rank >= from_) & (rank < upto), F.col(VALUE))).alias(f"__{end}{i}")
+                 for end, rank in zip(("lo", "hi"), pair)]
+        at = F.lit(p) * last
+        q.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (at - F.floor(at)))
+    return (freq.groupBy(*keys, "__total").agg(*ends)
+            .select(*keys, F.col("__total").alias(COUNT), F.array(*q).alias("q")))
+
+
 def _from_cells(df: DataFrame, columns: list[str], probs: Sequence[float], by: list[str], cuts: dict) -> DataFrame:
     """Count cell totals, then group and order only the rows of the cells that hold a wanted rank."""
     keys = [*by, COLUMN]
@@ -151,10 +177,9 @@ def _from_cells(df: DataFrame, columns: list[str], probs: Sequence[float], by: l
     totals = (celled.groupBy(*keys, CELL).agg(F.count("*").alias(COUNT))
               .withColumn("__upto", F.sum(COUNT).over(group.orderBy(CELL)))
               .withColumn("__total", F.sum(COUNT).over(group)))
-    total, start = F.col("__total"), F.col("__upto") - F.col(COUNT)
-    ranks = [(F.floor(F.lit(p) * (total - 1)), F.ceil(F.lit(p) * (total - 1))) for p in probs]
+    start = F.col("__upto") - F.col(COUNT)
     wanted = F.lit(False)
-    for rank in (r for pair in ranks for r in pair):
+    for rank in (r for pair in _ranks(probs) for r in pair):
         wanted = wanted | ((rank >= start) & (rank < F.col("__upto")))
     targets = totals.where(wanted).select(*keys, CELL, start.alias("__start"), "__total")
     if not by:
@@ -167,18 +192,7 @@ def _from_cells(df: DataFrame, columns: list[str], probs: Sequence[float], by: l
     freq = (celled.alias("c").join(targets.alias("t"), met)
             .select(*[F.col(f"c.{k}").alias(k) for k in [*keys, CELL, VALUE]], "t.__start", "t.__total")
             .groupBy(*keys, CELL, "__start", "__total", VALUE).agg(F.count("*").alias(COUNT)))
-    within = Window.partitionBy(*keys, CELL).orderBy(VALUE)
-    freq = freq.withColumn("__upto", F.col("__start") + F.sum(COUNT).over(within))
-    from_, upto = F.col("__upto") - F.col(COUNT), F.col("__upto")
-
-    ends, q = [], []
-    for i, (p, pair) in enumerate(zip(probs, ranks)):
-        ends += [F.max(F.when((rank >= from_) & (rank < upto), F.col(VALUE))).alias(f"__{end}{i}")
-                 for end, rank in zip(("lo", "hi"), pair)]
-        at = F.lit(p) * (total - 1)
-        q.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (at - F.floor(at)))
-    return (freq.groupBy(*keys, "__total").agg(*ends)
-            .select(*keys, total.alias(COUNT), F.array(*q).alias("q")))
+    return _pick(freq, keys, [*keys, CELL], probs)
 
 
 def running_before(freq: DataFrame, key: str, value: str, weights: dict[str, str], cuts: dict) -> DataFrame:
