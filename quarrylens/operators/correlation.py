@@ -192,6 +192,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
     """The whole matrix as ``left, right, r`` rows; the diagonal is 1, or null for a constant column."""
     columns = list(columns) if columns is not None else numeric_columns(df)
     half = pair_table(df, columns, method).select("left", "right", F.round("r", 6).alias("r"))
+    if not columns:
+        return half
     views = _views(df, columns)
     spread = views.agg(*[(F.min(c) < F.max(c)).alias(c) for c in views.columns])
     diagonal = one_row_per(spread, [

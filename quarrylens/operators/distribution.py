@@ -58,6 +58,10 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, color: str |
     require_columns(df, [*columns, color])
     summaries = quantile_values(df, columns, (0.25, 0.75))
     bins = {i: automatic_bins(summaries[c], _is_whole(df, c)) for i, c in enumerate(columns) if summaries[c].count}
+    if not bins:
+        colors = "" if color is None else "color string, "
+        return df.sparkSession.createDataFrame(
+            [], f"column string, {colors}bin int, lower double, upper double, count bigint")
     plan = df.sparkSession.createDataFrame(
         [(i, *b) for i, b in bins.items()], f"{COLUMN} int, low double, high double, bins int")
     by = [] if color is None else ["__color"]

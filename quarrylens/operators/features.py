@@ -97,9 +97,9 @@ def quantile_bins(df: DataFrame, column: str, bins: int = DEFAULT_BINS, name: st
                    sum(((x > e).cast("int") for e in edges[1:-1]), F.lit(0)))
     place = F.col(f"{target}_index")
     return (df.withColumn(f"{target}_index", index)
-            .withColumn(target, F.array(*[F.lit(t) for t in bin_labels(edges)])[place])
-            .withColumn(f"{target}_low", F.array(*[F.lit(e) for e in edges[:-1]])[place])
-            .withColumn(f"{target}_high", F.array(*[F.lit(e) for e in edges[1:]])[place]))
+            .withColumn(target, F.get(F.array(*[F.lit(t) for t in bin_labels(edges)]), place))
+            .withColumn(f"{target}_low", F.get(F.array(*[F.lit(e) for e in edges[:-1]]), place))
+            .withColumn(f"{target}_high", F.get(F.array(*[F.lit(e) for e in edges[1:]]), place)))
 
 
 def frequency_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -140,7 +140,7 @@ def datetime_parts(df: DataFrame, column: str, prefix: str | None = None) -> Dat
     if df.where(stamp.isNotNull()).isEmpty():
         raise AnalysisError(f"{column} could not be parsed as dates")
     parts = (F.year(stamp), F.month(stamp), F.dayofmonth(stamp),
-             F.array(*[F.lit(d) for d in WEEKDAYS])[F.weekday(stamp)])
+             F.get(F.array(*[F.lit(d) for d in WEEKDAYS]), F.weekday(stamp)))
     return df.select("*", *[part.alias(n) for n, part in zip(names, parts)])
 
 

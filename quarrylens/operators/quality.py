@@ -46,6 +46,9 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """``column, count, percent, lower_bound, upper_bound`` per numeric column, finite values only."""
     columns = list(columns) if columns is not None else numeric_columns(df)
     require_columns(df, columns)
+    if not columns:
+        return df.sparkSession.createDataFrame(
+            [], "column string, count bigint, percent double, lower_bound double, upper_bound double")
     bounds = outlier_bounds(df, columns)
     row = df.agg(*[f for i, c in enumerate(columns) for f in (
         F.count(finite_column(df, c)).alias(f"n{i}"),

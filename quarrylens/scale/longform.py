@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylens.functions.kinds import is_nested
 from quarrylens.functions.values import as_text, present
 
 MISSING_LABEL = "(missing)"
@@ -27,7 +28,7 @@ def _families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[int
         data_type = df.schema[c].dataType
         if isinstance(data_type, T.IntegralType):
             families.setdefault("bigint", []).append((i, df[c].cast("bigint")))
-        elif isinstance(data_type, T.AtomicType) and not isinstance(data_type, T.BinaryType):
+        elif isinstance(data_type, T.AtomicType) and not is_nested(data_type):
             families.setdefault(data_type.simpleString(), []).append((i, present(df, c)))
         else:
             families.setdefault("string", []).append((i, as_text(df, c)))

@@ -14,7 +14,7 @@ _SELECT = re.compile(r"^\s*select\b", re.IGNORECASE)
 
 def read_only(query: str) -> str:
     """The query, when it is a single SELECT; anything else is refused."""
-    body = query.strip().rstrip(";")
+    body = query.strip().rstrip(";").strip()
     if not _SELECT.match(body) or ";" in body:
         raise AnalysisError("Only a single SELECT query is permitted")
     return body
