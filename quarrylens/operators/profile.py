@@ -158,9 +158,7 @@ def column_overview(df: DataFrame) -> DataFrame:
     """
     kind = F.array(*[F.lit(k) for k in kinds(df).values()])
     declared = F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema])
-    counts = value_counts(df, df.columns)
-    smallest = counts.where(F.col("n") > F.col("n_missing")).groupBy("position").agg(F.min("value").alias("sample"))
-    return (distinct_counts(counts).join(F.broadcast(smallest), "position", "left")
+    return (distinct_counts(value_counts(df, df.columns))
             .select("column", declared[F.col("position")].alias("type"), kind[F.col("position")].alias("kind"),
                     (F.col("rows") - F.col("missing")).alias("non_null"), "missing",
                     F.col("distinct").alias("unique"), "sample", "position"))

@@ -59,7 +59,11 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
-    """``column, position, rows, missing, distinct`` from :func:`value_counts`."""
+    """``column, position, rows, missing, distinct, sample`` from :func:`value_counts`.
+
+    The sample is the smallest value as text, so it does not depend on how the table is read.
+    """
+    filled = F.col("n") > F.col("n_missing")
     return counts.groupBy("column", "position").agg(
-        F.sum("n").alias("rows"), F.sum("n_missing").alias("missing"),
-        F.count_if(F.col("n") > F.col("n_missing")).alias("distinct"))
+        F.sum("n").alias("rows"), F.sum("n_missing").alias("missing"), F.count_if(filled).alias("distinct"),
+        F.min(F.when(filled, F.col("value"))).alias("sample"))
