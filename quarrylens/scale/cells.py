@@ -115,7 +115,8 @@ def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     if max(s.count for s in summaries) <= SMALL_ROWS:
         # They may also lie in a single file split: spreading them out puts every core to work.
         spread = df.select(*dict.fromkeys(columns)).repartition(df.sparkSession.sparkContext.defaultParallelism)
-        found = {r[COLUMN]: r["q"] for r in _from_values(spread, columns, probs, []).collect()}
+        counted = F.array(*[F.lit(s.count).cast("bigint") for s in summaries])[F.col(COLUMN)]
+        found = {r[COLUMN]: r["q"] for r in _from_values(spread, columns, probs, [], counted).collect()}
     else:
         near = {min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)} - {0.0, 1.0}
         cuts = cut_points(df, columns, sorted(near) or EVEN_CUTS, summaries)
@@ -138,11 +139,12 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     return _from_cells(df, columns, probs, by, cut_points(df, columns, EVEN_CUTS, summaries))
 
 
-def _from_values(df: DataFrame, columns: list[str], probs: Sequence[float], by: list[str]) -> DataFrame:
+def _from_values(df: DataFrame, columns: list[str], probs: Sequence[float], by: list[str],
+                 counted: Column | None = None) -> DataFrame:
     """For tables of at most ``SMALL_ROWS`` rows: order all distinct values of a group together."""
     keys = [*by, COLUMN]
     freq = numbers_long(df, columns, by).groupBy(*keys, VALUE).agg(F.count("*").alias(COUNT))
-    total = F.sum(COUNT).over(Window.partitionBy(*keys))
+    total = F.sum(COUNT).over(Window.partitionBy(*keys)) if counted is None else counted
     return _pick(freq.select("*", F.lit(0).cast("bigint").alias("__start"), total.alias("__total")), keys, keys, probs)
 
 
