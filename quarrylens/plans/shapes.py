@@ -55,22 +55,22 @@ FROM lineitem, (SELECT lo, hi, ceil((hi - lo) / greatest(least(2 * (q3 - q1) / p
           quantile_cont(l_linenumber::DOUBLE, 0.25) AS q1, quantile_cont(l_linenumber::DOUBLE, 0.75) AS q3 FROM lineitem))
 GROUP BY 1, 2""")
 
-_BOX = ("round(min({0}), 4) AS min, round(quantile_cont({0}, 0.25), 4) AS q1, round(quantile_cont({0}, 0.5), 4) AS median, "
-        "round(quantile_cont({0}, 0.75), 4) AS q3, round(max({0}), 4) AS max")
-_FENCE = ("round(quantile_cont({0}, 0.25) - 1.5 * (quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)), 4) AS lower_fence, "
-          "round(quantile_cont({0}, 0.75) + 1.5 * (quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)), 4) AS upper_fence")
+_BOX = ("round(min({0}), 6) AS min, round(quantile_cont({0}, 0.25), 6) AS q1, round(quantile_cont({0}, 0.5), 6) AS median, "
+        "round(quantile_cont({0}, 0.75), 6) AS q3, round(max({0}), 6) AS max")
+_FENCE = ("round(quantile_cont({0}, 0.25) - 1.5 * (quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)), 6) AS lower_fence, "
+          "round(quantile_cont({0}, 0.75) + 1.5 * (quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)), 6) AS upper_fence")
 
 QUERIES["box"] = Query(
-    on("lineitem", lambda df: rounded(distribution.box(df, ["l_extendedprice", "l_tax"]), 4)),
+    on("lineitem", lambda df: rounded(distribution.box(df, ["l_extendedprice", "l_tax"]), 6)),
     union_all(f"SELECT '{c}' AS \"column\", {_BOX.format(c)} FROM lineitem" for c in ("l_extendedprice", "l_tax")))
 
 QUERIES["box_by_group"] = Query(
-    on("lineitem", lambda df: rounded(distribution.box_by_group(df, "l_extendedprice", "l_returnflag"), 4)),
+    on("lineitem", lambda df: rounded(distribution.box_by_group(df, "l_extendedprice", "l_returnflag"), 6)),
     f"SELECT l_returnflag AS \"group\", {_BOX.format('l_extendedprice')}, {_FENCE.format('l_extendedprice')} "
     "FROM lineitem GROUP BY 1")
 
 QUERIES["box_by_many_groups"] = Query(
-    on("lineitem", lambda df: rounded(distribution.box_by_group(df, "l_quantity", "l_suppkey"), 4)),
+    on("lineitem", lambda df: rounded(distribution.box_by_group(df, "l_quantity", "l_suppkey"), 6)),
     f"SELECT l_suppkey::VARCHAR AS \"group\", {_BOX.format('l_quantity')}, {_FENCE.format('l_quantity')} "
     "FROM lineitem GROUP BY l_suppkey")
 

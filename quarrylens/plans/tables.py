@@ -26,10 +26,13 @@ GAPS_SQL = """(SELECT event_id, ts, user_id, nullif(event_type, 'error') AS even
 QUERIES: dict[str, Query] = {}
 
 for _operation, _form in _SQL_OPERATION.items():
+    # A median of prices in cents has a third decimal, so it must not be rounded at the second.
+    _digits = 6 if _operation == "median" else 2
     QUERIES[f"group_aggregate_{_operation}"] = Query(
-        on("lineitem", lambda df, op=_operation: rounded(
-            groups.aggregate(df, "l_extendedprice", op, "l_returnflag").withColumnRenamed("l_extendedprice", "result"), 2)),
-        f"SELECT l_returnflag, round({_form.format('l_extendedprice')}, 2) AS result FROM lineitem GROUP BY 1")
+        on("lineitem", lambda df, op=_operation, digits=_digits: rounded(
+            groups.aggregate(df, "l_extendedprice", op, "l_returnflag").withColumnRenamed("l_extendedprice", "result"),
+            digits)),
+        f"SELECT l_returnflag, round({_form.format('l_extendedprice')}, {_digits}) AS result FROM lineitem GROUP BY 1")
 
 QUERIES["group_aggregate_count"] = Query(
     QUERIES["group_aggregate_count"].run,
@@ -114,8 +117,8 @@ def stats_sql(table: str, columns, fields=None) -> str:
         "count": "count({0})", "mean": "round(avg({0}), 6)", "median": "round(quantile_cont({0}::DOUBLE, 0.5), 6)",
         "std": "round(stddev_samp({0}), 6)", "min": "round(min({0})::DOUBLE, 6)",
         "q25": "round(quantile_cont({0}::DOUBLE, 0.25), 6)", "q75": "round(quantile_cont({0}::DOUBLE, 0.75), 6)",
-        "max": "round(max({0})::DOUBLE, 6)", "skewness": "round(coalesce(skewness({0}), 0), 6)",
-        "kurtosis": "round(coalesce(kurtosis({0}), 0), 6)",
+        "max": "round(max({0})::DOUBLE, 6)", "skewness": "round(coalesce(skewness({0}), 0), 6) + 0.0",
+        "kurtosis": "round(coalesce(kurtosis({0}), 0), 6) + 0.0",
     }
     chosen = fields or list(figures)
     return union_all(f"SELECT '{c}' AS \"column\", " + ", ".join(
@@ -123,19 +126,11 @@ def stats_sql(table: str, columns, fields=None) -> str:
 
 
 _DESCRIBED = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
-# Moments of the third and fourth order are compared to 5 decimals: their sums depend on row order.
 QUERIES["describe_numeric"] = Query(
-    on("lineitem", lambda df: rounded(profile.describe_numeric(df), 5)),
-    f"SELECT \"column\", count, round(mean, 5) AS mean, round(std, 5) AS std, round(min, 5) AS min, "
-    f"round(q25, 5) AS q25, round(median, 5) AS median, round(q75, 5) AS q75, round(max, 5) AS max "
-    f"FROM ({stats_sql('lineitem', LINEITEM_NUMBERS, _DESCRIBED)})")
+    on("lineitem", lambda df: rounded(profile.describe_numeric(df))), stats_sql("lineitem", LINEITEM_NUMBERS, _DESCRIBED))
 
 QUERIES["numeric_stats"] = Query(
-    on("lineitem", lambda df: rounded(profile.numeric_statistics(df), 5)),
-    f"SELECT \"column\", count, round(mean, 5) AS mean, round(median, 5) AS median, round(std, 5) AS std, "
-    f"round(min, 5) AS min, round(q25, 5) AS q25, round(q75, 5) AS q75, round(max, 5) AS max, "
-    f"round(skewness, 5) + 0.0 AS skewness, round(kurtosis, 5) + 0.0 AS kurtosis "
-    f"FROM ({stats_sql('lineitem', LINEITEM_NUMBERS)})")
+    on("lineitem", lambda df: rounded(profile.numeric_statistics(df))), stats_sql("lineitem", LINEITEM_NUMBERS))
 
 
 def top_sql(source: str, columns, limit: int) -> str:
