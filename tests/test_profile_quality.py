@@ -59,7 +59,7 @@ def test_small_segments(spark):
 
 
 def test_welch_p_value(spark):
-    # Reference figures: t = -2.0 and df = 8 give p = 0.0805 in any table of the distribution.
+    # t = -2.0 with 8 degrees of freedom gives p = 0.0805 in any table of the distribution.
     df = spark.createDataFrame([("l", float(x)) for x in (1, 2, 3, 4, 5)] + [("r", float(x)) for x in (3, 4, 5, 6, 7)],
                                "side string, x double")
     row = groups.welch_t_test(df, "x", "side", "l", "r").first()
