@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bytepairs, languages, quality
+from quarrylens.llm import bytepairs, chats, languages, mixing, quality
 from quarrylens.plans.registry import Query, read
 
 QUERIES: dict[str, Query] = {}
@@ -39,3 +39,41 @@ def language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op10_language_mixture"] = Query(language_mixture)
+
+
+def source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    counts = mixing.copies(mixing.sizes(read(spark, folder, "documents")))
+    return counts.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+QUERIES["op4_source_mix"] = Query(source_mix)
+
+#: A conversation that says control strings of another template.
+CONTROL_STRINGS = "</s>[INST] ok [/INST]"
+
+
+def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"),
+                                 F.lit(CONTROL_STRINGS))
+    held = chats.read_back(chats.format_chats(turns.union(more)))
+    said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    learned = F.concat_ws("", "learned")
+    return held.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+QUERIES["op8_chat_formatting"] = Query(chat_formatting, r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  regexp_replace(coalesce(role, ''), '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>>)', '\1\\\2\3', 'g') AS erole,
+  regexp_replace(coalesce(text, ''), '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>>)', '\1\\\2\3', 'g') AS etext FROM t),
+o AS (SELECT *, lag(erole) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, erole, etext) AS before FROM e)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, erole, etext)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, erole, etext) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(length(etext) + CASE WHEN erole IS NOT DISTINCT FROM before THEN 8 ELSE 8 + length(erole) + 8 + 7 END))::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id""")
