@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bytepairs, chats, languages, mixing, quality
+from quarrylens.llm import archives, bytepairs, chats, languages, mixing, quality, surrogates
+from quarrylens.llm.common import cut, scratch
 from quarrylens.plans.registry import Query, read
 
 QUERIES: dict[str, Query] = {}
@@ -77,3 +78,33 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, erole, etext) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (sum(length(etext) + CASE WHEN erole IS NOT DISTINCT FROM before THEN 8 ELSE 8 + length(erole) + 8 + 7 END))::BIGINT AS formatted_chars
 FROM o GROUP BY conv_id""")
+
+
+#: The key of the registered query; a real run takes its own from a secret store.
+SURROGATE_KEY = "registered query"
+
+
+def pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, SURROGATE_KEY).select("doc_id", F.col("entities").alias("n_entities"), "text")
+
+
+QUERIES["op3_pii_surrogates"] = Query(pii_surrogates)
+
+
+def warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    archives.write_archives(archives.with_revisits(read(spark, folder, "pages")), path)
+    entries = cut(archives.index_entries(spark, path), "index")
+    return archives.merged_index(entries).select(
+        F.expr("try_cast(page_id AS BIGINT)").alias("page_id"), F.col("length").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+        F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"))
+
+
+QUERIES["op6_warc_index"] = Query(warc_index, """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, bytes::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""")
