@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import archives, bytepairs, chats, languages, mixing, quality, surrogates
+from quarrylens.llm import archives, bytepairs, chats, jaccard, languages, mixing, quality, secrets, surrogates
 from quarrylens.llm.common import cut, scratch
 from quarrylens.plans.registry import Query, read
 
@@ -108,3 +108,19 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, bytes::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
   CASE WHEN bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""")
+
+
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(read(spark, folder, "documents"))
+    return found.select("doc_id", "begin", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+                        "probability", "secret")
+
+
+QUERIES["op1_secret_scan"] = Query(secret_scan)
+
+
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_components(read(spark, folder, "documents"))
+
+
+QUERIES["op5_jaccard_join"] = Query(jaccard_join)
