@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import archives, bytepairs, chats, jaccard, languages, mixing, quality, secrets, surrogates
+from quarrylens.llm import archives, bytepairs, chats, jaccard, languages, mixing, neighbours, quality, secrets, surrogates
 from quarrylens.llm.common import cut, scratch
 from quarrylens.plans.registry import Query, read
 
@@ -124,3 +124,26 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op5_jaccard_join"] = Query(jaccard_join)
+
+
+def embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(read(spark, folder, "embeddings"))
+
+
+QUERIES["op2_embedding_neighbours"] = Query(embedding_neighbours, """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+    AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.id = e.vec_id""")
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES["pipeline"] = Query(pipeline)
