@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import components, cut
@@ -34,8 +34,8 @@ SKETCH, SKETCH_BLOCK = 1 << 19, 1 << 13
 CELL, FANOUT, LEVELS = 128, 16, 3
 #: Share of a set by which its leading part is longer than the shortest one that must share a shingle.
 LEAD = 0.02
-#: Words of the bitmap that tells which documents may be needed in full: at most 2 MB.
-BITMAP = 1 << 17
+#: Words of a bitmap that tells which rows may be needed: 4 MB of bits.
+BITMAP = 1 << 19
 
 
 def _sets(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,32 +116,45 @@ def leading(docs: DataFrame, key: str, text: str, width: int, percent: int) -> D
     return rows.mapInArrow(lead, f"`{key}` {rows.schema[key].dataType.simpleString()}, n long, set long, lead array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``(set, n, shingles binary)`` of the ``wanted(set, key)`` classes.
+def _bits(column: str) -> tuple[F.Column, F.Column]:
+    """The word and the bit of a value in a bitmap of BITMAP words of 64 bits."""
+    return F.shiftright(F.pmod(F.xxhash64(column), F.lit(BITMAP * 64)), 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")
 
-    A bitmap of fixed size keeps most other texts out of the shuffle; the join behind it is exact.
+
+def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be among the single column of ``wanted``: all that are, and some others.
+
+    The bitmap sent to the tasks has BITMAP words at most, whatever the data; it only spares shuffling, the join behind
+    it decides.
     """
-    bits = F.pmod(F.xxhash64("__key"), F.lit(BITMAP * 64))
-    word = F.shiftright(bits, 6).alias("word")
-    ids = wanted.select("set", F.col(key).alias("__key"))
-    bitmap = ids.select(word, F.expr("shiftleft(1L, cast(pmod(xxhash64(__key), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text")).withColumn("word", word)
-    likely = (rows.join(F.broadcast(bitmap), "word")
-              .where(F.expr("(bits & shiftleft(1L, cast(pmod(xxhash64(__key), 64) as int))) <> 0")).select("__key", "text"))
-    some = likely.alias("d").join(ids.alias("w"), F.col("d.__key").eqNullSafe(F.col("w.__key"))).select("w.set", "d.text")
-    schema = pa.schema([("set", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+    word, bit = _bits("__wanted")
+    bitmap = wanted.toDF("__wanted").select(word.alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    word, bit = _bits(column)
+    return rows.join(F.broadcast(bitmap), word == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0).select(rows.columns)
+
+
+def region_members(docs: DataFrame, places: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """``(region, total, set, core, first, shingles binary)`` for ``places(region, total, set, key)``: the full sets of classes,
+    each computed once from the text of its document and sent to its regions."""
+    lists = places.groupBy(F.col(key).alias("__id"), "set").agg(F.collect_list(F.struct("region", "total")).alias("places"))
+    rows = likely(docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text")), "__key", lists.select("__id"))
+    some = rows.join(lists, F.col("__key").eqNullSafe(F.col("__id"))).select("set", "text", "places")
+    schema = pa.schema([("region", pa.int64()), ("total", pa.int64()), ("set", pa.int64()), ("core", pa.bool_()), ("first", pa.bool_()),
+                        ("shingles", pa.binary())])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 h, ends = _sets(block, width)
-                named = batch.column(0).slice(block.row, block.n).to_pylist()
-                own = [h[ends[d]:ends[d + 1]] for d in range(block.n)]
-                right = [d for d in range(block.n) if len(own[d]) and _digest(own[d]) == named[d]]  # keys may repeat
-                yield pa.record_batch([pa.array([named[d] for d in right], pa.int64()), pa.array([len(own[d]) for d in right], pa.int64()),
-                                       pa.array([own[d].tobytes() for d in right], pa.binary())], schema=schema)
+                part = batch.slice(block.row, block.n)
+                named, places_ = part.column(0).to_pylist(), part.column(2).to_pylist()
+                out = [(p["region"], p["total"], named[d], True, p["region"] == named[d], own.tobytes())
+                       for d in range(block.n) if len(own := h[ends[d]:ends[d + 1]]) and _digest(own) == named[d]  # keys may repeat
+                       for p in places_[d]]
+                for at in range(0, len(out), 1024):
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out[at:at + 1024]), schema)], schema=schema)
 
-    return some.mapInArrow(full, "set long, n long, shingles binary").dropDuplicates(["set"])
+    return some.mapInArrow(full, "region long, total long, set long, core boolean, first boolean, shingles binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple]:
@@ -354,30 +367,35 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
 
 def links_of(docs: DataFrame, sized: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """``links(a, b)`` between classes that connect what is connected; ``sized`` is the result of ``leading``."""
-    exploded = sized.where("set is not null").select("set", "n", F.explode("lead").alias("shingle"))
-    shared = (exploded.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high")
-              .select(F.col("shingle").alias("__shingle")))
-    rows = cut(exploded.join(shared.hint("shuffle_hash"), F.col("shingle") == F.col("__shingle")).select("set", "n", "shingle").distinct(), "shared")
+    exploded = sized.where("set is not null").select("set", F.explode("lead").alias("shingle"))
+    shared = cut(exploded.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high")
+                 .select(F.col("shingle").alias("__shingle")), "shared")
+    rows = cut(likely(exploded, "shingle", shared).join(shared.hint("shuffle_hash"), F.col("shingle") == F.col("__shingle"))
+               .select("set", "shingle").distinct(), "rows")
+    classes = sized.where("set is not null").groupBy(F.col("set").alias("__set")).agg(F.first("n").alias("n"), F.min(key).alias(key))
     # Two linked sets share max(1, LEAD * n) leading shingles, n being the smaller size, at least percent of the larger.
     need = F.greatest(F.lit(1), F.floor(F.col("n") * (LEAD * percent / 100 - 1e-9)))
-    kept = rows.groupBy("set", "n").agg(F.count(F.lit(1)).alias("shares")).where(F.col("shares") >= need)
-    kept = cut(kept.select(F.col("set").alias("__set"), (-F.round(1000 * F.col("shares") / F.col("n"))).cast("int").alias("rank")), "kept")
-    live = rows.join(kept, F.col("set") == F.col("__set")).select("set", "shingle", "rank")
+    kept = rows.groupBy("set").agg(F.count(F.lit(1)).alias("shares")).join(classes, F.col("set") == F.col("__set"))
+    kept = cut(kept.where(F.col("shares") >= need).select("__set", key, need.alias("need"),
+                                                           (-F.round(1000 * F.col("shares") / F.col("n"))).cast("int").alias("rank")), "kept")
+    live = rows.join(kept, F.col("set") == F.col("__set")).select("set", key, "need", "shingle", "rank")
     elected = (live.groupBy("shingle").agg(F.min(F.struct("rank", "set")).alias("pivot"), F.min("set").alias("low"), F.max("set").alias("high"))
                .where("low <> high").select(F.col("shingle").alias("__shingle"), F.col("pivot.set").alias("region")))
-    pairs = cut(live.join(elected, F.col("shingle") == F.col("__shingle")).select("region", "set").distinct(), "pairs")
-    ids = (sized.where("set is not null").groupBy("set").agg(F.min(key).alias(key))
-           .join(pairs.select(F.col("set").alias("__set")).distinct(), F.col("set") == F.col("__set"), "left_semi"))
-    sets = cut(full_sets(docs, ids, key, text, width), "sets")
+    votes = (live.join(elected, F.col("shingle") == F.col("__shingle")).groupBy("region", "set", key, "need").agg(F.count(F.lit(1)).alias("votes")))
+    # Two linked sets share at least ``need`` voters: if each leaves out regions of less than half of them, one is left to both.
+    least = Window.partitionBy("set").orderBy("votes", "region").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = cut(votes.withColumn("sum", F.sum("votes").over(least)).where((F.col("sum") * 2 >= F.col("need")) | (F.col("region") == F.col("set")))
+                .select("region", "set", key), "pairs")
     sizes = pairs.groupBy(F.col("region").alias("__region")).agg(F.count(F.lit(1)).alias("total")).where("total > 1")
-    sized_pairs = pairs.join(sizes, F.col("region") == F.col("__region")).select("region", "total", F.col("set").alias("__set"))
-    members = sized_pairs.join(sets, F.col("__set") == F.col("set")).select(
-        "region", "total", "set", F.lit(True).alias("core"), (F.col("region") == F.col("set")).alias("first"), "shingles")
-    found = [cut(_joined(members.where(F.col("total") <= CELL), percent), "links")]
-    hot = cut(members.where(F.col("total") > CELL).drop("first"), "hot")
+    places = cut(pairs.join(sizes, F.col("region") == F.col("__region")).select("region", "total", "set", key), "places")
+    members = region_members(docs, places.where(F.col("total") <= CELL), key, text, width)
+    crowded = places.where(F.col("total") > CELL)
+    found = [cut(_joined(members, percent), "links")]
+    hot = crowded
     for level in range(LEVELS):
         if hot.isEmpty():
             break
+        hot = cut(region_members(docs, hot, key, text, width).drop("first"), "hot") if level == 0 else hot
         links, placed = _split(hot, percent)
         found.append(cut(links, "links"))
         counts = placed.groupBy(F.col("region").alias("__r")).agg(F.count(F.lit(1)).alias("now"), F.sum(F.col("core").cast("long")).alias("cores"))
