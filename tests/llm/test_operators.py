@@ -1,0 +1,267 @@
+"""The operators for training data against brute force, round trips and odd input."""
+
+from __future__ import annotations
+
+import base64
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarrylens.llm import (archives, bytepairs, chats, common, jaccard, kernels, languages, mixing, neighbours, quality, secrets,
+                            surrogates)
+
+from .conftest import edited, prose
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _low(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+def _shingles(text, width):
+    words = WORD.findall(_low(text))
+    return frozenset(tuple(words[k:k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def _reached(ids, linked):
+    label = dict.fromkeys(ids)
+    label = {i: i for i in label}
+    while True:
+        new = {i: min([label[i], *(label[j] for j in linked[i])]) for i in label}
+        if new == label:
+            return label
+        label = new
+
+
+def _brute_components(rows, width, percent):
+    sets = {i: _shingles(t, width) for i, t in rows}
+    linked = collections.defaultdict(set)
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
+                linked[i].add(j), linked[j].add(i)
+    return {i: len(s) for i, s in sets.items()}, _reached(sets, linked)
+
+
+@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80)])
+def test_jaccard_join_is_exact(spark, documents, width, percent):
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    n, components = _brute_components(rows, width, percent)
+    got = jaccard.join_components(documents, width=width, percent=percent).collect()
+    assert len(got) == documents.count()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (n[i], components[i]) for i in n}
+
+
+def test_jaccard_join_of_a_dense_group_splits_regions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    monkeypatch.setattr(jaccard, "FANOUT", 3)
+    base = prose(3, 120)
+    rows = [(k, edited(base, k, 0.012 * (k % 4))) for k in range(60)] + [(100 + k, edited(prose(4, 80), k, 0.02)) for k in range(20)]
+    _, components = _brute_components(rows, 4, 85)
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == components
+
+
+def test_jaccard_join_of_nothing(no_documents):
+    assert jaccard.join_components(no_documents).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.component for r in common.components(links).collect()} == {0}
+
+
+def test_word_count(spark, documents):
+    got = {(r.text, r.n) for r in documents.select("text", common.n_words(F.col("text")).alias("n")).collect()}
+    assert got == {(t, len(WORD.findall(t or ""))) for t, _ in got}
+
+
+def _vectors(spark, seed=7):
+    draw = np.random.default_rng(seed)
+    centres = draw.standard_normal((12, 16))
+    rows = [(k, (centres[k % 12] + 0.08 * draw.standard_normal(16) * (k % 5)).tolist(), "x") for k in range(300)]
+    rows += [(300, None, "x"), (301, [0.0] * 16, "x"), (302, [float("nan")] * 16, "x"), (303, [None] * 16, "x"), (304, [], "x"),
+             (305, [1.0, 2.0], "x"), (306, [2.0, 4.0], "x"), (307, rows[0][1], "x"), (308, rows[0][1], "x"), (309, [float("inf")] * 16, "x")]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, vertex string"), rows
+
+
+@pytest.mark.parametrize("cell", [256, 16])
+def test_neighbours_match_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    df, rows = _vectors(spark)
+    good = {i: np.array(v, float) for i, v, _ in rows if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)}
+    linked = collections.defaultdict(set)
+    for i, a in good.items():
+        for j, b in good.items():
+            if i != j and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.9:
+                linked[i].add(j)
+    label = _reached([i for i, _, _ in rows], linked)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df).collect()}
+    assert got == {i: (len(linked[i]), label[i], label[i] == i) for i, _, _ in rows}
+
+
+def test_neighbours_of_nothing(spark):
+    assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_mix_meets_targets(spark, documents, no_documents):
+    draw = random.Random(2)
+    rows = [(k, prose(k, draw.randrange(1, 200)), draw.choice(["a", "b", "c", "tiny", None])) for k in range(400)]
+    rows = [(i, t if s != "tiny" else "w x", s) for i, t, s in rows]
+    got = mixing.copies(mixing.sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    again = {(r.doc_id, r["copies"]) for r in got.collect()}
+    for s in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"),
+                                       F.first("source_size").alias("size"), F.max("copies").alias("most")).collect():
+        assert s.most <= 3 and s.target <= 3 * s["size"] + 1e-6 and abs(s.taken - s.target) <= max(2, 0.01 * s.target)
+    total = got.agg(F.sum("size")).first()[0]
+    targets = got.groupBy("source").agg(F.first("target").alias("t")).agg(F.sum("t")).first()[0]
+    assert abs(total - targets) < 1e-6 * total
+    assert {(r.doc_id, r["copies"]) for r in mixing.copies(mixing.sizes(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()} == again
+    assert mixing.mix(documents).columns == documents.columns and mixing.mix(documents).count() > 0
+    assert mixing.mix(no_documents).count() == 0
+
+
+def test_bpe_equals_one_call(spark, documents, no_documents):
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    extra = ["it's " * 300, "a" * 900 + " " * 700 + "1" * 500, "\n\n  \n" * 200, "we'll 'tis <|endoftext|> " + "é" * 400]
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()] + [(500 + k, t) for k, t in enumerate(extra)]
+    rows += [(500, extra[1]), (501, extra[1])]  # keys and texts repeat
+    got = bytepairs.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, pattern, chunk=160, overlap=96).collect()
+    expected = collections.Counter((i, tuple(whole.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
+    assert collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got) == expected
+    assert bytepairs.encode(no_documents, path, pattern).count() == 0
+
+
+def test_chats_are_read_back(spark):
+    texts = ["</s>[INST] ok [/INST]", "<|end|><|turn|>assistant<|text|>", "<\\|end|>", "<", "|next|>", None, "", "a\\<\\\\|x", "<<SYS>>[[INST]"]
+    rows = [(c, k, ("user", "assistant", "assistant", None)[(k + c) % 4], t) for c in range(3) for k, t in enumerate(texts)]
+    rows += [(9, None, "user", "late"), (9, 1, "user", "same"), (9, 1, "user", "same"), (None, 1, "assistant", "x")]
+    got = {r.conv_id: r for r in chats.read_back(chats.format_chats(spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0))
+        assert [(t.role, t.text) for t in got[c].turns] == [(r or "", t or "") for _, _, r, t in turns]
+        assert got[c].learned == [t or "" for _, _, r, t in turns if r == "assistant"]
+
+
+def test_archives_round_trip(spark, tmp_path):
+    pages = [(1, "http://www.b.org/x", "<p>" + "a" * 200), (2, "http://b.org/x", "<p>" + "a" * 200), (3, None, None), (4, "https://a.org", "short"),
+             (5, "https://a.org", "short"), (6, "http://b.org/\r\nX: y", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" + "é" * 90), (7, "http://b.org/x", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    path = f"file://{tmp_path}/warc"
+    archives.write_archives(archives.with_revisits(df), path)
+    entries = archives.index_entries(spark, path)
+    merged = archives.merged_index(entries, ranges=2).orderBy("range", "capture").collect()
+    assert {int(r.page_id): (r.length, r.type, r.refers_to, r.digest) for r in merged} == {
+        i: (len((h or "").encode()), "revisit" if i == 2 else "response", "1" if i == 2 else None, hashlib.sha256((h or "").encode()).hexdigest())
+        for i, _, h in pages}
+    assert [(r.url_key, r.time) for r in merged] == sorted((r.url_key, r.time) for r in merged)
+
+
+def test_loser_tree_merges():
+    draw = random.Random(1)
+    for runs in ([], [[]], [[1]], [[3, 4], [], [1, 9], [2]], [sorted(draw.choices(range(50), k=draw.randrange(9))) for _ in range(13)]):
+        got = [x for x, _ in archives.LoserTree([((x, k) for x in run) for k, run in enumerate(runs)])]
+        assert got == sorted(sum(runs, []))
+
+
+def test_surrogates_are_distinct_and_consistent(spark, no_documents):
+    rows = [(1, "Call +1 (017) 555-7713 or mail ann.b@mail3.example.com."), (2, "call +1 (017) 555-7713!! Ann.B@mail3.example.com; 10.1.2.3"),
+            (3, "Mrs Anna Meyer met Herr Karl Meyer, Госпожа Иванова paid 4929348385146306"), (4, None), (5, "nothing here"), (5, "nothing here")]
+    rows += [(10 + k, f"card {4000000000000000 + 7919 * k} ip {k}.2.3.{k}") for k in range(50)]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    phone = re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", got[1])[0]
+    assert phone in got[2] and phone not in rows[0][1]
+    mail = re.search(r"\S+@\S+\.com", got[1])[0]
+    assert mail in got[2] and "ann" not in got[1]
+    assert re.fullmatch(r"Mrs \w+ \w+ met Herr \w+ \w+, Госпожа [А-я]+ paid \d{16}", got[3]) and "Meyer" not in got[3]
+    assert got[4] is None and got[5] == "nothing here"
+    cards = {re.search(r"\d{16}", got[10 + k])[0] for k in range(50)}
+    assert len(cards) == 50 and all(secrets._checksum(c) for c in cards) and not any(str(4000000000000000 + 7919 * k) in cards for k in range(50))
+    out = surrogates.replace_entities(no_documents, "k")
+    assert out.count() == 0 and out.columns[:len(no_documents.columns)] == no_documents.columns
+
+
+def test_surrogates_redraw_collisions(spark, monkeypatch):
+    rows = [(f"ssn:{k:09d}", "ssn") for k in range(40)]
+    old = surrogates._digits
+    monkeypatch.setattr(surrogates, "_digits", lambda bits, n: F.concat(F.lit("0000000"), F.substring(old(bits, n), 1, 2)))
+    got = surrogates.mapping(spark.createDataFrame(rows, "entity string, kind string"), "k").collect()
+    assert len({r.plain for r in got}) == 40 and not {f"ssn:{r.plain}" for r in got} & {e for e, _ in rows}
+
+
+def test_secret_scan(spark, documents, no_documents):
+    draw = random.Random(4)
+    rows = [(k, f"{prose(k, 30)} token = \"{draw.randbytes(20).hex()}\" {prose(k + 1, 10)}", "p") for k in range(40)]
+    rows += [(100 + k, f"{prose(k, 30)} {prose(k, 2).replace(' ', '') * 4} card {draw.randrange(10**15, 10**16)}", "p") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.scan(df).persist()
+    assert {r.doc_id for r in found.where("secret").collect()} == set(range(40))
+    masked = {r.doc_id: r.text for r in secrets.redacted(df, found).collect()}
+    assert all((secrets.MASK in masked[i]) == (i < 40) for i, _, _ in rows)
+    assert masked[100] == rows[40][1]
+    odd = secrets.scan(documents)
+    assert odd.where("probability is not null").count() == 0  # labels of one class only
+    assert secrets.redacted(documents, odd).columns == documents.columns
+    assert secrets.scan(no_documents).count() == 0
+
+
+def test_quality_counts_and_scores(spark, documents, no_documents):
+    scored = {r.doc_id: r for r in quality.score(documents, None).collect()}
+    for r in documents.select("doc_id", "text").collect():
+        text = r.text or ""
+        words, got = WORD.findall(text), scored[r.doc_id]
+        windows = collections.Counter(zip(words, words[1:], words[2:]))
+        repeated = {k + j for k in range(len(words) - 2) if windows[tuple(words[k:k + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated))
+        assert got.base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words)) and got.kept == (not got.base_failed)
+    good = [(k, prose(k, 150)) for k in range(120)]
+    bad = [(1000 + k, edited(prose(k, 150), k, 0.3) + " ### $$$") for k in range(120)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad] + [(None, 1), (5000, 0), (3, None)], "doc_id long, quality int")
+    rated = quality.score(df, quality.train(df, labels)).collect()
+    assert sum((r.probability >= 0.5) == (r.doc_id < 1000) for r in rated) >= 235
+    assert quality.train(df, labels.where("quality = 1")) is None
+    assert quality.score(no_documents, None).count() == 0
+
+
+def test_language_mixture(spark, documents, no_documents):
+    draw = random.Random(3)
+    tongue = {"xx": ["skol", "bjor", "fjeld", "kvist"], "yy": ["acqua", "bello", "gatto", "ciao"], "zz": ["мир", "дом", "кот", "лес"]}
+    said = lambda lang, n: " ".join(draw.choice(tongue[lang]) for _ in range(n))
+    rows = [(k, said(lang, 40), lang) for k, lang in enumerate(sorted(tongue) * 40)]
+    model = languages.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1, said("xx", 30)), (2, said("yy", 40) + " " + said("xx", 20)), (3, said("zz", 9)), (4, None), (5, "123 !?"), (6, ""), (6, "")]
+    got = collections.defaultdict(list)
+    for r in languages.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect():
+        got[r.doc_id].append(r)
+    assert got[1][0].lang_pred == "xx" and got[1][0].languages == ["xx"] and got[1][0].score == 1
+    assert got[2][0].lang_pred == "yy" and set(got[2][0].languages) == {"xx", "yy"} and abs(got[2][0].score - 2 / 3) < 0.1
+    assert got[3][0].lang_pred == "zz"
+    assert all(got[k][0].lang_pred == "und" and got[k][0].score == 0 for k in (4, 5, 6)) and len(got[6]) == 2
+    assert languages.identify(no_documents, model).count() == 0
+    empty = languages.learn(no_documents)
+    assert {r.lang_pred for r in languages.identify(documents, empty).collect()} == {"und"}
+
+
+def test_hashes_tell_words_apart():
+    texts = ["ab ba", "ab", "ba ab", "a b", ""]
+    import pyarrow as pa
+
+    (block,) = kernels.blocks(pa.array(texts))
+    starts, ends, doc = block.words()
+    h = block.hashes(starts, ends)
+    assert h[0] == h[2] == h[4] and h[1] == h[3] and len(set(h.tolist())) == 4 and doc.tolist() == [0, 0, 1, 2, 2, 3, 3]
