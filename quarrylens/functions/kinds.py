@@ -68,27 +68,3 @@ def require_kind(df: DataFrame, name: str, *allowed: str) -> None:
 def require_numeric(df: DataFrame, names: Iterable[str]) -> None:
     for name in names:
         require_kind(df, name, NUMERIC)
-
-
-def usable_slots(df: DataFrame, slots: dict[str, str | None], needs: dict[str, set[str]]):
-    """Sort requested columns into usable ones and rejected ones.
-
-    ``slots`` maps a role to a column name, ``needs`` maps a role to the kinds it accepts. A
-    role holding a missing column or a wrong kind comes back empty, with the reason listed.
-    """
-    known = kinds(df)
-    kept: dict[str, str | None] = {}
-    rejected: list[str] = []
-    for role, name in slots.items():
-        accepted = needs.get(role)
-        if name is None or (name in known and (accepted is None or known[name] in accepted)):
-            kept[role] = name
-            continue
-        kept[role] = None
-        if name not in known:
-            rejected.append(f"{role}={name} (no such column)")
-        else:
-            rejected.append(f"{role}={name} (is {known[name]}, needs {'/'.join(sorted(accepted))})")
-    if kept.get("group") is not None and kept.get("group") == kept.get("metric"):
-        kept["group"] = None
-    return kept, rejected

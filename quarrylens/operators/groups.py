@@ -135,8 +135,8 @@ def ranking(df: DataFrame, group: str, metric: str, operation: str = "sum", limi
     return top.select(group, metric, F.round(picked / total * 100, 2).alias("combined_share_percent"))
 
 
-def segmentation(df: DataFrame, group: str, metric: str | None = None, limit: int = SEGMENT_ROWS) -> DataFrame:
-    """Rows and mean metric per segment, largest first, with the number of segments.
+def segmentation(df: DataFrame, group: str, metric: str | None = None, limit: int | None = SEGMENT_ROWS) -> DataFrame:
+    """Rows and mean metric per segment, largest first, with the number of segments; all of them if ``limit`` is None.
 
     The metric defaults to the first numeric column; there is none when it is the group itself.
     """
@@ -151,15 +151,16 @@ def segmentation(df: DataFrame, group: str, metric: str | None = None, limit: in
         keyed = df.select(as_key(df, group).alias("__g"))
     table = keyed.groupBy("__g").agg(F.count("*").alias("__rows"), mean.alias("__mean"))
     segments = table.agg(F.count("*")).scalar()
-    return (table.orderBy(F.desc("__rows"), F.asc("__g")).limit(limit)
+    ordered = table if limit is None else table.orderBy(F.desc("__rows"), F.asc("__g")).limit(limit)
+    return (ordered
             .select(F.col("__g").cast("string").alias("segment"), F.col("__rows").alias("rows"),
                     F.col("__mean").alias("mean_metric"), segments.alias("segments"),
                     (F.col("__rows") < SMALL_SEGMENT).alias("small")))
 
 
 def small_segments(df: DataFrame, group: str, limit: int = SMALL_LISTED) -> DataFrame:
-    """Segments of the segmentation report with fewer than five rows."""
-    report = segmentation(df, group)
+    """The largest of all segments with fewer than five rows."""
+    report = segmentation(df, group, limit=None)
     return report.where("small").orderBy(F.desc("rows"), "segment").limit(limit).select("segment", "rows")
 
 

@@ -11,7 +11,7 @@ from quarrylens.functions.kinds import DATETIME, column_kind, first_datetime, re
 from quarrylens.functions.values import finite_column
 from quarrylens.scale.cells import cut_points, running_before
 
-MIN_TREND_ROWS, MIN_FORECAST_ROWS, FEW_ROWS, POINTS, PERIODS = 3, 4, 20, 200, 3
+MIN_TREND_ROWS, MIN_FORECAST_ROWS, FEW_ROWS, PERIODS = 3, 4, 20, 3
 # Fixed value: proleptic ordinal of 1970-01-01, so that slopes and intercepts count days from year 1.
 EPOCH_ORDINAL = 719163
 
@@ -33,14 +33,17 @@ def _time_column(df: DataFrame, time: str | None) -> str:
     return time
 
 
-def daily_mean(df: DataFrame, metric: str, time: str | None = None, limit: int = POINTS) -> DataFrame:
-    """``date, value``: mean per day, or the raw points when the data spans at most 3 days."""
+def daily_mean(df: DataFrame, metric: str, time: str | None = None, limit: int | None = None) -> DataFrame:
+    """``date, value``: mean per day, or the raw points when the data spans at most 3 days; the first ``limit`` if given."""
     points = _points(df, _time_column(df, time), metric)
     ends = points.agg(F.min("x").alias("first"), F.max("x").alias("last")).first()
     if ends["first"] is not None and (ends["last"] - ends["first"] or 1) > MIN_TREND_ROWS:
         table = points.groupBy(F.col("day").alias("date")).agg(F.avg("y").alias("value"))
-        return table.orderBy("date").limit(limit)
-    return points.orderBy("ts", "y").limit(limit).select(F.col("day").alias("date"), F.col("y").alias("value"))
+        table = table.orderBy("date")
+        return table if limit is None else table.limit(limit)
+    rows = points.orderBy("ts", "y")
+    rows = rows if limit is None else rows.limit(limit)
+    return rows.select(F.col("day").alias("date"), F.col("y").alias("value"))
 
 
 def _fit(points: DataFrame, x: str, origin: float) -> DataFrame:
