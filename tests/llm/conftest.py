@@ -1,21 +1,7 @@
 from __future__ import annotations
 
-import random
-
 import pytest
-
-WORDS = [a + b + c for a in ("ka", "lo", "mi", "re") for b in ("n", "s", "t") for c in ("a", "el", "or", "um", "ish")]
-
-
-def prose(seed: int, n: int) -> str:
-    draw = random.Random(seed)
-    return " ".join(draw.choice(WORDS) + (".\n" if draw.random() < 0.05 else "") for _ in range(n))
-
-
-def edited(text: str, seed: int, share: float) -> str:
-    draw = random.Random(seed)
-    return " ".join(f"edit{draw.randrange(10**6)}" if draw.random() < share else w for w in text.split(" "))
-
+from llm_samples import edited, prose
 
 @pytest.fixture(scope="session")
 def odd_texts():

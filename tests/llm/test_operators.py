@@ -10,12 +10,12 @@ import re
 
 import numpy as np
 import pytest
+from llm_samples import edited, prose
 from pyspark.sql import functions as F
 
 from quarrylens.llm import (archives, bytepairs, chats, common, jaccard, kernels, languages, mixing, neighbours, quality, secrets,
                             surrogates)
 
-from .conftest import edited, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
