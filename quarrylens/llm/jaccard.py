@@ -134,13 +134,13 @@ def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 
 def region_members(docs: DataFrame, places: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``(region, total, set, core, first, shingles binary)`` for ``places(region, total, set, key)``: the full sets of classes,
-    each computed once from the text of its document and sent to its regions."""
+    """``(region, total, set, core, first, text binary)`` for ``places(region, total, set, key)``: the texts of classes, sent to
+    their regions. Texts travel rather than sets: hashes do not compress, and a set takes more bytes than its text."""
     lists = places.groupBy(F.col(key).alias("__id"), "set").agg(F.collect_list(F.struct("region", "total")).alias("places"))
     rows = likely(docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text")), "__key", lists.select("__id"))
     some = rows.join(lists, F.col("__key").eqNullSafe(F.col("__id"))).select("set", "text", "places")
     schema = pa.schema([("region", pa.int64()), ("total", pa.int64()), ("set", pa.int64()), ("core", pa.bool_()), ("first", pa.bool_()),
-                        ("shingles", pa.binary())])
+                        ("text", pa.binary())])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +148,13 @@ def region_members(docs: DataFrame, places: DataFrame, key: str, text: str, widt
                 h, ends = _sets(block, width)
                 part = batch.slice(block.row, block.n)
                 named, places_ = part.column(0).to_pylist(), part.column(2).to_pylist()
-                out = [(p["region"], p["total"], named[d], True, p["region"] == named[d], own.tobytes())
+                out = [(p["region"], p["total"], named[d], True, p["region"] == named[d], block.data[block.offsets[d]:block.offsets[d + 1]].tobytes())
                        for d in range(block.n) if len(own := h[ends[d]:ends[d + 1]]) and _digest(own) == named[d]  # keys may repeat
                        for p in places_[d]]
-                for at in range(0, len(out), 1024):
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out[at:at + 1024]), schema)], schema=schema)
+                for at in range(0, len(out), 256):
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out[at:at + 256]), schema)], schema=schema)
 
-    return some.mapInArrow(full, "region long, total long, set long, core boolean, first boolean, shingles binary")
+    return some.mapInArrow(full, "region long, total long, set long, core boolean, first boolean, text binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple]:
@@ -179,8 +179,11 @@ def grouped(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tupl
 class Members:
     """Sets of one region, numbered for quick overlaps."""
 
-    def __init__(self, shingles_: list[bytes]):
-        sets = [np.frombuffer(s, np.uint64) for s in shingles_]
+    def __init__(self, texts: list[bytes], width: int):
+        sets = []
+        for block in blocks(pa.array(texts, pa.large_binary()).view(pa.large_string())):
+            h, ends = _sets(block, width)
+            sets += [h[a:b] for a, b in zip(ends, ends[1:])]
         self.n = np.array([len(s) for s in sets])
         self.at = np.concatenate([[0], np.cumsum(self.n)])
         _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -255,43 +258,43 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=_LINKS)
 
 
-def _joined(members: DataFrame, percent: int) -> DataFrame:
-    """Links inside regions of ``members(region, first, set, core, shingles)``, each region in one task, first members first."""
+def _joined(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside regions of ``members(region, first, set, core, text)``, each region in one task, first members first."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches):
             if len(rows) > 1:
-                yield _pairs(region_links(rows.column("set").to_numpy(), Members(rows.column("shingles").to_pylist()),
+                yield _pairs(region_links(rows.column("set").to_numpy(), Members(rows.column("text").to_pylist(), width),
                                           rows.column("core").to_numpy(zero_copy_only=False).copy(), percent))
 
-    return (members.select("region", "first", "set", "core", "shingles").repartition("region")
+    return (members.select("region", "first", "set", "core", "text").repartition("region")
             .sortWithinPartitions("region", F.desc("first"), "set").mapInArrow(join, "a long, b long"))
 
 
-def _split(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links to new pivots, and the Voronoi regions of these, of regions ``members(region, total, set, core, shingles)``.
+def _split(members: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links to new pivots, and the Voronoi regions of these, of regions ``members(region, total, set, core, text)``.
 
     About FANOUT members of a region are pivots. A member's nearest pivot makes it core there (if it was core before); it
     is also placed with every pivot within twice the radius of that, as a core member there may be linked to it.
     """
     radius = 1 - percent / 100
     chosen = members.where(F.pmod(F.xxhash64("set", "region"), F.greatest(F.lit(1), F.floor(F.col("total") / FANOUT))) == 0)
-    pivots = chosen.groupBy(F.col("region").alias("__region")).agg(F.collect_list(F.struct("set", "shingles")).alias("pivots"))
+    pivots = chosen.groupBy(F.col("region").alias("__region")).agg(F.collect_list(F.struct("set", "text")).alias("pivots"))
     schema = pa.schema([("of", pa.int64()), ("total", pa.int64()), ("region", pa.int64()), ("set", pa.int64()), ("core", pa.bool_()),
-                        ("first", pa.bool_()), ("link", pa.bool_()), ("shingles", pa.binary())])
+                        ("first", pa.bool_()), ("link", pa.bool_()), ("text", pa.binary())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for region, rows in grouped(batches):
             names = [p["set"] for p in rows.column("pivots")[0].as_py()] if rows.column("pivots")[0].is_valid else []
-            sets = [p["shingles"] for p in rows.column("pivots")[0].as_py()] if names else []
+            sets = [p["text"] for p in rows.column("pivots")[0].as_py()] if names else []
             if not names:  # no pivot fell into the region: it stays as it is
-                names, sets = [rows.column("set")[0].as_py()], [rows.column("shingles")[0].as_py()]
+                names, sets = [rows.column("set")[0].as_py()], [rows.column("text")[0].as_py()]
             for part in rows.to_batches(max_chunksize=512):
                 own = part.column(part.schema.get_field_index("set")).to_numpy()
-                data = part.column(part.schema.get_field_index("shingles"))
+                data = part.column(part.schema.get_field_index("text"))
                 core = part.column(part.schema.get_field_index("core")).to_pylist()
                 total = part.column(part.schema.get_field_index("total"))[0].as_py()
-                here = Members([*sets, *data.to_pylist()])
+                here = Members([*sets, *data.to_pylist()], width)
                 k, m = len(names), len(own)
                 shared = np.stack([here.overlaps(p, k, k + m) for p in range(k)])
                 union = here.n[:k, None] + here.n[None, k:] - shared
@@ -306,18 +309,18 @@ def _split(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                                        pa.array(names_[p] == own[x], pa.bool_()), pa.array(near[p, x], pa.bool_()),
                                        data.take(pa.array(x))], schema=schema)
 
-    placed = cut(members.join(pivots, members["region"] == pivots["__region"], "left").select("region", "total", "set", "core", "shingles", "pivots")
-                 .mapInArrow(place, "of long, total long, region long, set long, core boolean, first boolean, link boolean, shingles binary"),
+    placed = cut(members.join(pivots, members["region"] == pivots["__region"], "left").select("region", "total", "set", "core", "text", "pivots")
+                 .mapInArrow(place, "of long, total long, region long, set long, core boolean, first boolean, link boolean, text binary"),
                  "regions")
     heads = placed.where("first").select(F.col("region").alias("__r"), F.col("set").alias("head")).dropDuplicates(["__r"])
     links = placed.where("link and not first").join(heads, F.col("region") == F.col("__r")).select(F.col("set").alias("a"), F.col("head").alias("b"))
     return links, placed
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
+def _blocks(members: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between core members and all members of dense regions: blocks of either kind meet pairwise, each in one task.
 
-    The pivot's ball needs no comparison inside. ``members(region, set, core, near, total, cores, shingles)``.
+    The pivot's ball needs no comparison inside. ``members(region, set, core, near, total, cores, text)``.
     """
     def parts(n: str) -> F.Column:
         return F.greatest(F.lit(1), F.ceil(F.col(n) / CELL)).cast("int")
@@ -325,9 +328,9 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     spread = F.pmod(F.xxhash64("set", F.lit(3)), F.col("all_parts"))
     rows = members.withColumn("all_parts", parts("total")).withColumn("core_parts", parts("cores"))
     one = rows.where("core").select("region", F.pmod(F.xxhash64("set", F.lit(5)), F.col("core_parts")).alias("i"),
-                                    F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("j"), F.lit(True).alias("left"), "set", "near", "shingles")
+                                    F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("j"), F.lit(True).alias("left"), "set", "near", "text")
     other = rows.select("region", F.explode(F.sequence(F.lit(0), F.col("core_parts") - 1)).alias("i"), spread.alias("j"),
-                        F.lit(False).alias("left"), "set", "near", "shingles")
+                        F.lit(False).alias("left"), "set", "near", "text")
     cells = one.unionByName(other).withColumn("cell", F.xxhash64("region", "i", "j"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,8 +343,8 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
             outside = int((~near[rest]).sum())
             if not len(a) or not len(rest):
                 continue
-            data = rows.column("shingles").to_pylist()
-            here = Members([data[k] for k in (*a, *rest)])
+            data = rows.column("text").to_pylist()
+            here = Members([data[k] for k in (*a, *rest)], width)
             ids = ids[np.concatenate([a, rest])]
             root: dict[int, int] = {}
 
@@ -361,7 +364,7 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
                         found.append((int(ids[x]), int(ids[k])))
             yield _pairs(found)
 
-    return (cells.select("cell", "left", "set", "near", "shingles").repartition("cell").sortWithinPartitions("cell")
+    return (cells.select("cell", "left", "set", "near", "text").repartition("cell").sortWithinPartitions("cell")
             .mapInArrow(meet, "a long, b long"))
 
 
@@ -390,23 +393,23 @@ def links_of(docs: DataFrame, sized: DataFrame, key: str, text: str, width: int,
     places = cut(pairs.join(sizes, F.col("region") == F.col("__region")).select("region", "total", "set", key), "places")
     members = region_members(docs, places.where(F.col("total") <= CELL), key, text, width)
     crowded = places.where(F.col("total") > CELL)
-    found = [cut(_joined(members, percent), "links")]
+    found = [cut(_joined(members, width, percent), "links")]
     hot = crowded
     for level in range(LEVELS):
         if hot.isEmpty():
             break
         hot = cut(region_members(docs, hot, key, text, width).drop("first"), "hot") if level == 0 else hot
-        links, placed = _split(hot, percent)
+        links, placed = _split(hot, width, percent)
         found.append(cut(links, "links"))
         counts = placed.groupBy(F.col("region").alias("__r")).agg(F.count(F.lit(1)).alias("now"), F.sum(F.col("core").cast("long")).alias("cores"))
         counts = counts.where("cores > 0 and now > 1")
         rows = placed.withColumnRenamed("total", "before").withColumnRenamed("link", "near").join(counts, F.col("region") == F.col("__r"))
-        rows = rows.withColumnRenamed("now", "total").select("region", "before", "total", "cores", "set", "core", "first", "near", "shingles")
-        found.append(cut(_joined(rows.where(F.col("total") <= CELL), percent), "links"))
+        rows = rows.withColumnRenamed("now", "total").select("region", "before", "total", "cores", "set", "core", "first", "near", "text")
+        found.append(cut(_joined(rows.where(F.col("total") <= CELL), width, percent), "links"))
         dense = F.col("total") > 0.7 * F.col("before") if level < LEVELS - 1 else F.lit(True)
         large = rows.where(F.col("total") > CELL)
-        found.append(cut(_blocks(large.where(dense), percent), "links"))
-        hot = cut(large.where(~dense).select("region", "total", "set", "core", "shingles"), "hot")
+        found.append(cut(_blocks(large.where(dense), width, percent), "links"))
+        hot = cut(large.where(~dense).select("region", "total", "set", "core", "text"), "hot")
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
