@@ -1,4 +1,4 @@
-"""Chart-ready tables: every chart gets rows that stay few however large the table is."""
+"""Chart-ready tables: figures per group, bin or pair, and the points themselves for scatter and raw line charts."""
 
 from __future__ import annotations
 
@@ -19,7 +19,6 @@ CHART_TYPES = ("bar", "line", "scatter", "histogram", "box", "pie", "heatmap")
 AGGREGATIONS = ("none", "sum", "mean", "count", "min", "max")
 NEEDS_X = ("bar", "line", "scatter", "histogram", "pie")
 NEEDS_Y = ("line", "scatter")
-SCATTER_POINTS = 1000
 
 
 def check_request(df: DataFrame, chart_type: str, x: str | None, y: Sequence[str], columns: Sequence[str],
@@ -45,7 +44,7 @@ def check_request(df: DataFrame, chart_type: str, x: str | None, y: Sequence[str
 def chart_table(df: DataFrame, chart_type: str, x: str | None = None, y: str | Sequence[str] | None = None,
                 columns: Sequence[str] = (), aggregation: str = "none", color: str | None = None,
                 keys: Sequence[str] = ()) -> DataFrame:
-    """The rows behind one chart request. ``keys`` orders the sample of a scatter chart."""
+    """The rows behind one chart request. ``keys`` orders the points of a scatter chart that is given a limit."""
     series = [y] if isinstance(y, str) else list(y or ())
     check_request(df, chart_type, x, series, columns, aggregation, color)
     if chart_type == "heatmap":
@@ -54,7 +53,7 @@ def chart_table(df: DataFrame, chart_type: str, x: str | None = None, y: str | S
         table = series_table(df, x, series, aggregation, color)
         return _shares(table) if chart_type == "pie" else table
     if chart_type == "pie":
-        return _shares(series_table(df, x, series[:1], "sum", None))
+        return _shares(series_table(df, x, series, "sum", None))
     if chart_type == "histogram":
         return histogram(df, [x], color)
     if chart_type == "box":
@@ -63,7 +62,9 @@ def chart_table(df: DataFrame, chart_type: str, x: str | None = None, y: str | S
         return series_table(df, x, [], "count", color)
     if chart_type == "scatter":
         return scatter_table(df, x, series, keys, color)
-    # Bars stack and lines join the raw points of one x: their sum per x is the bounded equivalent.
+    if chart_type == "line":
+        return point_table(df, x, series, color)
+    # Bars of one x stack: their height is the sum.
     return series_table(df, x, series, "sum", color)
 
 
@@ -83,14 +84,24 @@ def series_table(df: DataFrame, x: str, y: Sequence[str], aggregation: str, colo
             .select(*ids, label.alias("series"), "value"))
 
 
+def point_table(df: DataFrame, x: str, y: Sequence[str], color: str | None = None) -> DataFrame:
+    """``x[, color], series, value``: every row's point of every metric; equal points stay apart."""
+    require_numeric(df, y)
+    ids = [as_key(df, x).alias("x"), *([] if color is None or color == x else [as_text(df, color).alias("color")])]
+    named = F.array(*[F.struct(F.lit(c).alias("series"), finite_column(df, c).alias("value")) for c in y])
+    points = df.select(*ids, F.explode(named).alias("__point"))
+    return points.select(*points.columns[:-1], "__point.series", "__point.value")
+
+
 def _shares(table: DataFrame) -> DataFrame:
-    total = table.agg(F.sum("value")).scalar()
-    return table.select("x", "value", F.try_divide(F.col("value"), total).alias("share"))
+    """Shares within each metric; the table holds one row per slice and metric."""
+    totals = table.groupBy("series").agg(F.sum("value").alias("__total"))
+    return table.join(totals, "series").select("x", "series", "value", F.try_divide("value", "__total").alias("share"))
 
 
 def scatter_table(df: DataFrame, x: str, y: Sequence[str], keys: Sequence[str] = (), color: str | None = None,
-                  limit: int = SCATTER_POINTS) -> DataFrame:
-    """A fixed number of points, chosen by a hash so that the choice does not depend on row order.
+                  limit: int | None = None) -> DataFrame:
+    """All points; with ``limit``, that many, chosen by a hash so that the choice does not depend on row order.
 
     ``keys`` names the columns that identify a row; without them the plotted values are hashed.
     """
@@ -99,6 +110,8 @@ def scatter_table(df: DataFrame, x: str, y: Sequence[str], keys: Sequence[str] =
     ties = [as_key(df, k).alias(f"__k{i}") for i, k in enumerate(keys or [x, *y])]
     shown = [as_key(df, x).alias("x"), *[finite_column(df, c).alias(c if c != x else f"{c}_y") for c in y],
              *([] if color is None else [as_text(df, color).alias("color")])]
+    if limit is None:
+        return df.select(*shown)
     picked = df.select(*shown, chosen.alias("__order"), *ties).orderBy("__order", *[f"__k{i}" for i in range(len(ties))])
     return picked.limit(limit).drop("__order", *[f"__k{i}" for i in range(len(ties))])
 

@@ -68,11 +68,13 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, color: str |
     source = df if color is None else df.withColumn("__color", as_text(df, color))
     # One row per column: bounded by the schema.
     placed = numbers_long(source, columns, by).join(F.broadcast(plan), COLUMN)
-    index = F.least(F.floor((F.col(VALUE) - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low"))),
-                    F.col("bins") - 1).cast("int")
+    step = (F.col("high") - F.col("low")) / F.col("bins")
+    guess = F.least(F.floor((F.col(VALUE) - F.col("low")) / step), F.col("bins") - 1).cast("int")
+    # The division may round across an edge: the edges shown decide.
+    index = (guess + F.when(F.col(VALUE) < F.col("low") + guess * step, -1)
+             .when((guess < F.col("bins") - 1) & (F.col(VALUE) >= F.col("low") + (guess + 1) * step), 1).otherwise(0))
     counts = placed.groupBy(*by, COLUMN, index.alias("bin")).agg(F.count("*").alias("count"))
     grid = plan.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    step = (F.col("high") - F.col("low")) / F.col("bins")
     edges = [(F.col("low") + F.col("bin") * step).alias("lower"),
              F.when(F.col("bin") == F.col("bins") - 1, F.col("high"))
              .otherwise(F.col("low") + (F.col("bin") + 1) * step).alias("upper")]
@@ -80,7 +82,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, color: str |
         full = grid.join(counts, [COLUMN, "bin"], "left")
         return full.select(name_of(columns).alias("column"), "bin", *edges,
                            F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
-    full = counts.join(F.broadcast(grid) if sum(b[2] for b in bins.values()) <= 10_000 else grid, [COLUMN, "bin"])
+    full = counts.join(grid, [COLUMN, "bin"])
     return full.select(name_of(columns).alias("column"), F.col("__color").alias("color"), "bin", *edges, "count")
 
 
@@ -122,18 +124,21 @@ def categorical_distribution(df: DataFrame, column: str, limit: int = DISTRIBUTI
 
 
 def top_with_other(df: DataFrame, column: str, limit: int = TOP_CATEGORIES) -> DataFrame:
-    """The most frequent values, everything else summed under ``Other``.
+    """``value, count, is_rest``: the most frequent values, and one row ``Other`` for everything else.
+
+    ``is_rest`` tells that row from a value that happens to be spelled the same.
 
     The top values are taken first (a bounded top-k), the rest is the difference to the row count.
     """
     require_columns(df, [column])
     counts = _labelled_counts(df, column)
-    top = counts.orderBy(F.desc("count"), F.asc("value")).limit(limit)
+    top = counts.orderBy(F.desc("count"), F.asc("value")).limit(limit).withColumn("is_rest", F.lit(False))
     shown = top.agg(F.sum("count")).scalar()
     rest = (df.agg(F.count("*").alias("rows"))
-            .select(F.lit(OTHER).alias("value"), (F.col("rows") - F.coalesce(shown, F.lit(0))).alias("count"))
+            .select(F.lit(OTHER).alias("value"), (F.col("rows") - F.coalesce(shown, F.lit(0))).alias("count"),
+                    F.lit(True).alias("is_rest"))
             .where(F.col("count") > 0))
-    return top.unionByName(rest).groupBy("value").agg(F.sum("count").alias("count"))
+    return top.unionByName(rest)
 
 
 def numeric_distribution(df: DataFrame, column: str) -> DataFrame:

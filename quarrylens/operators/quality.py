@@ -22,6 +22,9 @@ IQR_FACTOR, EXAMPLES = 1.5, 10
 # Shares and counts the type rules and the score depend on.
 LIKE_TYPE, LIKE_DATE_NAMED = 0.9, 0.7
 MANY_DISTINCT_SHARE, MANY_DISTINCT, FLAG_VALUES = 0.5, 20, 2
+# Top-level types of a variant that count as one kind: values of two kinds in a column are mixed, two shapes of object are not.
+VARIANT_KINDS = (("BIGINT",), ("DOUBLE", "FLOAT", "DECIMAL"), ("STRING",), ("BOOLEAN",), ("OBJECT",), ("ARRAY",),
+                 ("DATE", "TIMESTAMP"), ("BINARY", "UUID"))
 WEIGHT_COMPLETE, WEIGHT_UNIQUE, WEIGHT_INLIER = 0.55, 0.25, 0.2
 
 
@@ -146,7 +149,9 @@ def _probes(df: DataFrame, c: str, i: int, text: list[str], variants: list[str])
     if c in text:
         probes += [F.count(to_number(df[c])).alias(f"num{i}"), F.count(to_timestamp(df[c])).alias(f"date{i}")]
     if c in variants:
-        probes.append(F.size(F.collect_set(F.schema_of_variant(df[c]))).alias(f"t{i}"))
+        found = F.regexp_extract(F.schema_of_variant(df[c]), "^[A-Z]+", 0)
+        probes.append(sum((F.coalesce(F.max(found.isin(*names)), F.lit(False)).cast("int") for names in VARIANT_KINDS), F.lit(0))
+                      .alias(f"t{i}"))
     return probes
 
 

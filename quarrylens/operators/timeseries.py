@@ -113,10 +113,11 @@ def trend_forecast(df: DataFrame, metric: str, time: str | None = None, periods:
 
 
 def _order_value(df: DataFrame, name: str) -> Column:
+    """The order in the column's own type: as doubles, whole numbers above 2^53 would be equal."""
     if column_kind(df, name) == DATETIME:
-        return F.unix_micros(df[name].cast("timestamp")).cast("double")
+        return F.unix_micros(df[name].cast("timestamp"))
     require_numeric(df, [name])
-    return df[name].cast("double")
+    return df[name]
 
 
 def positional_forecast(df: DataFrame, metric: str, order_by: str, periods: int = PERIODS) -> DataFrame:
@@ -127,11 +128,11 @@ def positional_forecast(df: DataFrame, metric: str, order_by: str, periods: int
     require_numeric(df, [metric])
     rows = (df.select(F.lit(0).alias("key"), _order_value(df, order_by).alias("at"), finite_column(df, metric).alias("y"),
                       F.lit(1).cast("bigint").alias("one"))
-            .where(F.col("y").isNotNull() & F.col("at").isNotNull()))
+            .where(F.col("y").isNotNull() & F.col("at").isNotNull()).withColumn("near", F.col("at").cast("double")))
     repeated = rows.groupBy("at").count().where("count > 1")
     if not repeated.isEmpty():
         raise AnalysisError(f"{order_by} has equal values, so it gives no order of rows")
-    placed = running_before(rows, "key", "at", {"one": "x"}, cut_points(rows, ["at"]))
+    placed = running_before(rows, "key", "near", {"one": "x"}, cut_points(rows, ["near"]), order="at")
     n = rows.count()
     if n < MIN_FORECAST_ROWS:
         raise AnalysisError(f"Forecasting needs at least {MIN_FORECAST_ROWS} observations; found {n}")

@@ -33,9 +33,13 @@ QUERIES["chart_line"] = Query(
     union_all(f"SELECT (o_orderdate::DATE)::VARCHAR AS x, '{m}' AS series, round(max({m})::DOUBLE, 4) AS value "
               "FROM orders GROUP BY 1" for m in ("o_totalprice", "o_custkey")))
 
-# The points are the first by a 64-bit hash of the key, which SQL engines do not share: rows only.
 QUERIES["chart_scatter"] = Query(
-    on("orders", lambda df: charts.chart_table(df, "scatter", "o_custkey", "o_totalprice", keys=["o_orderkey"])))
+    on("orders", lambda df: charts.chart_table(df, "scatter", "o_custkey", "o_totalprice")),
+    "SELECT o_custkey AS x, o_totalprice::DOUBLE AS o_totalprice FROM orders")
+
+QUERIES["chart_line_raw"] = Query(
+    on("orders", lambda df: charts.chart_table(df, "line", "o_custkey", ["o_totalprice", "o_orderkey"])),
+    union_all(f"SELECT o_custkey AS x, '{m}' AS series, {m}::DOUBLE AS value FROM orders" for m in ("o_totalprice", "o_orderkey")))
 
 QUERIES["chart_histogram"] = Query(
     on("orders", lambda df: rounded(charts.chart_table(df, "histogram", "o_totalprice"), 6)),
@@ -49,10 +53,10 @@ QUERIES["chart_box"] = Query(
   round(max(o_totalprice), 4) AS max FROM orders GROUP BY 1""")
 
 QUERIES["chart_pie"] = Query(
-    on("orders", lambda df: charts.chart_table(df, "pie", "o_orderpriority", "o_totalprice").select(
-        "x", F.round("value", 2).alias("value"), F.round("share", 6).alias("share"))),
-    """SELECT o_orderpriority AS x, round(sum(o_totalprice), 2) AS value,
-  round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS share FROM orders GROUP BY 1""")
+    on("orders", lambda df: charts.chart_table(df, "pie", "o_orderpriority", ["o_totalprice", "o_custkey"]).select(
+        "x", "series", F.round("value", 2).alias("value"), F.round("share", 6).alias("share"))),
+    union_all(f"""SELECT o_orderpriority AS x, '{m}' AS series, round(sum({m})::DOUBLE, 2) AS value,
+  round(sum({m}) / (SELECT sum({m}) FROM orders), 6) AS share FROM orders GROUP BY 1""" for m in ("o_totalprice", "o_custkey")))
 
 QUERIES["chart_heatmap"] = Query(
     on("lineitem", lambda df: rounded(charts.chart_table(df, "heatmap", columns=["l_quantity", "l_tax", "l_discount"]))),
@@ -227,9 +231,9 @@ SELECT event_id, len(list_filter(a, lambda x: len(list_filter(b, lambda y:
   abs(x - y) <= greatest(abs(x) * 0.01::DOUBLE, 0.01::DOUBLE))) = 0)) = 0 AS grounded FROM n""")
 
 QUERIES["last_turns"] = Query(
-    on("conversations", lambda df: text.last_turns(df, "conv_id", "turn")),
-    """SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
-FROM conversations) WHERE r <= 6""")
+    on("conversations", lambda df: text.last_turns(df, "conv_id", "turn", role="role")),
+    """SELECT conv_id, turn, role, text FROM (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id
+  ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM conversations) WHERE later < 6""")
 
 
 def _csv_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,26 +15,20 @@ QUERIES: dict[str, Query] = {}
 
 
 def histogram_sql(source: str, column: str, whole: bool) -> str:
-    """Automatic bins: the smaller of the two widths, half-open, the last bin closed."""
+    """Automatic bins: the smaller of the two widths, half-open, the last bin closed; values are joined to the edges."""
     least = "greatest(w, 1.0)" if whole else "w"
-    return f"""SELECT '{column}' AS "column", g.bin::INTEGER AS bin,
-  round(lo + g.bin * (hi - lo) / k, 6) AS lower,
-  round(CASE WHEN g.bin = k - 1 THEN hi ELSE lo + (g.bin + 1) * (hi - lo) / k END, 6) AS upper,
-  coalesce(c.n, 0) AS count
-FROM (SELECT *, greatest(ceil((hi - lo) / {least}), 1)::BIGINT AS k FROM (
+    return f"""SELECT * FROM (WITH f AS (
+  SELECT min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi, count({column}) AS n,
+    quantile_cont({column}::DOUBLE, 0.25) AS q1, quantile_cont({column}::DOUBLE, 0.75) AS q3 FROM {source}),
+p AS (SELECT *, greatest(ceil((hi - lo) / {least}), 1)::BIGINT AS k FROM (
   SELECT *, CASE WHEN q3 > q1 THEN least(2 * (q3 - q1) / pow(n, 1.0 / 3), (hi - lo) / (log2(n) + 1))
-            ELSE (hi - lo) / (log2(n) + 1) END AS w FROM (
-    SELECT min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi, count({column}) AS n,
-      quantile_cont({column}::DOUBLE, 0.25) AS q1, quantile_cont({column}::DOUBLE, 0.75) AS q3 FROM {source}))) p
-CROSS JOIN LATERAL (SELECT unnest(range(p.k)) AS bin) g
-LEFT JOIN (
-  SELECT least(floor(({column} - lo) * k / (hi - lo)), k - 1)::BIGINT AS bin, count(*) AS n FROM {source},
-    (SELECT *, greatest(ceil((hi - lo) / {least}), 1)::BIGINT AS k FROM (
-      SELECT *, CASE WHEN q3 > q1 THEN least(2 * (q3 - q1) / pow(n, 1.0 / 3), (hi - lo) / (log2(n) + 1))
-                ELSE (hi - lo) / (log2(n) + 1) END AS w FROM (
-        SELECT min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi, count({column}) AS n,
-          quantile_cont({column}::DOUBLE, 0.25) AS q1, quantile_cont({column}::DOUBLE, 0.75) AS q3 FROM {source})))
-  WHERE {column} IS NOT NULL GROUP BY 1) c ON c.bin = g.bin"""
+            ELSE (hi - lo) / (log2(n) + 1) END AS w FROM f)),
+g AS (SELECT bin, k, lo + bin * ((hi - lo) / k) AS lower, CASE WHEN bin = k - 1 THEN hi ELSE lo + (bin + 1) * ((hi - lo) / k) END AS upper
+  FROM (SELECT *, unnest(range(k)) AS bin FROM p)),
+c AS (SELECT g.bin, count(*) AS n FROM {source} s JOIN g ON s.{column} >= g.lower
+  AND s.{column} < CASE WHEN g.bin = g.k - 1 THEN 'inf'::DOUBLE ELSE g.upper END GROUP BY 1)
+SELECT '{column}' AS "column", g.bin::INTEGER AS bin, round(lower, 6) AS lower, round(upper, 6) AS upper, coalesce(c.n, 0) AS count
+FROM g LEFT JOIN c ON c.bin = g.bin)"""
 
 
 QUERIES["histogram_auto"] = Query(
@@ -42,6 +36,11 @@ QUERIES["histogram_auto"] = Query(
     union_all([histogram_sql("lineitem", "l_extendedprice", False), histogram_sql("lineitem", "l_quantity", False),
                histogram_sql("lineitem", "l_linenumber", True)]))
 
+# Values that lie on edges: hundredths.
+QUERIES["histogram_edges"] = Query(
+    on("lineitem", lambda df: rounded(distribution.histogram(df, ["l_discount", "l_tax"]))),
+    union_all([histogram_sql("lineitem", "l_discount", False), histogram_sql("lineitem", "l_tax", False)]))
+
 QUERIES["histogram_skewed"] = Query(
     on("events", lambda df: rounded(distribution.histogram(_with_gaps(df), ["value"]))),
     histogram_sql(GAPS_SQL, "value", False))
@@ -82,16 +81,16 @@ FROM {GAPS_SQL} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 30""")
 
 QUERIES["topk_other"] = Query(
     on("customer", lambda df: distribution.top_with_other(df, "c_nationkey")),
-    """SELECT CASE WHEN rank <= 12 THEN value ELSE 'Other' END AS value, sum(n)::BIGINT AS count FROM (
+    """SELECT CASE WHEN rank <= 12 THEN value ELSE 'Other' END AS value, sum(n)::BIGINT AS count, rank > 12 AS is_rest FROM (
   SELECT c_nationkey::VARCHAR AS value, count(*) AS n,
          row_number() OVER (ORDER BY count(*) DESC, c_nationkey::VARCHAR) AS rank FROM customer GROUP BY 1)
-GROUP BY 1""")
+GROUP BY 1, 3""")
 
 QUERIES["topk_other_small"] = Query(
     on("part", lambda df: distribution.top_with_other(df, "p_type")),
-    """SELECT CASE WHEN rank <= 12 THEN value ELSE 'Other' END AS value, sum(n)::BIGINT AS count FROM (
+    """SELECT CASE WHEN rank <= 12 THEN value ELSE 'Other' END AS value, sum(n)::BIGINT AS count, rank > 12 AS is_rest FROM (
   SELECT p_type AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type) AS rank FROM part GROUP BY 1)
-GROUP BY 1""")
+GROUP BY 1, 3""")
 
 QUERIES["column_distribution"] = Query(
     on("events", lambda df: rounded(distribution.numeric_distribution(_with_gaps(df), "value"), 5)),

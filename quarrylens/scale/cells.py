@@ -19,7 +19,6 @@ from quarrylens.functions.values import finite_column
 
 COLUMN, VALUE, CELL, COUNT = "__column", "__value", "__cell", "__n"
 SAMPLE_ROWS = 100_000
-SMALL_ROWS = 1_000_000
 MARGIN = 0.01
 SLICES = 1024
 MAX_BROADCAST_ROWS = 500_000
@@ -112,15 +111,9 @@ def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         return {}
     views = _views(df, columns)
     summaries = _ranges(views, len(columns))
-    if max(s.count for s in summaries) <= SMALL_ROWS:
-        # They may also lie in a single file split: spreading them out puts every core to work.
-        spread = df.select(*dict.fromkeys(columns)).repartition(df.sparkSession.sparkContext.defaultParallelism)
-        counted = F.array(*[F.lit(s.count).cast("bigint") for s in summaries])[F.col(COLUMN)]
-        found = {r[COLUMN]: r["q"] for r in _from_values(spread, columns, probs, [], counted).collect()}
-    else:
-        near = {min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)} - {0.0, 1.0}
-        cuts = cut_points(df, columns, sorted(near) or EVEN_CUTS, summaries)
-        found = {r[COLUMN]: r["q"] for r in _from_cells(df, columns, probs, [], cuts).collect()}
+    near = {min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)} - {0.0, 1.0}
+    cuts = cut_points(df, columns, sorted(near) or EVEN_CUTS, summaries)
+    found = {r[COLUMN]: r["q"] for r in _from_cells(df, columns, probs, [], cuts).collect()}
     for i, s in enumerate(summaries):
         s.q = found.get(i) or [None] * len(probs)
     return dict(zip(columns, summaries))
@@ -134,20 +127,9 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     """
     columns, by = list(columns), list(by)
     summaries = _ranges(_views(df, columns), len(columns))
-    if max(s.count for s in summaries) <= SMALL_ROWS:
-        return _from_values(df, columns, probs, by)
     return _from_cells(df, columns, probs, by, cut_points(df, columns, EVEN_CUTS, summaries))
 
 
-def _from_values(df: DataFrame, columns: list[str], probs: Sequence[float], by: list[str],
-                 counted: Column | None = None) -> DataFrame:
-    """For tables of at most ``SMALL_ROWS`` rows: order all distinct values of a group together."""
-    keys = [*by, COLUMN]
-    freq = numbers_long(df, columns, by).groupBy(*keys, VALUE).agg(F.count("*").alias(COUNT))
-    total = F.sum(COUNT).over(Window.partitionBy(*keys)) if counted is None else counted
-    return _pick(freq.select("*", F.lit(0).cast("bigint").alias("__start"), total.alias("__total")), keys, keys, probs)
-
-
 def _ranks(probs: Sequence[float]) -> list[tuple[Column, Column]]:
     """The two neighbouring ranks of every probability in a group of ``__total`` values."""
     last = F.col("__total") - 1
@@ -175,9 +157,15 @@ def _pick(freq: DataFrame, keys: list[str], parts: list[str], probs: Sequence[fl
 def _from_cells(df: DataFrame, columns: list[str], probs: Sequence[float], by: list[str], cuts: dict) -> DataFrame:
     """Count cell totals, then group and order only the rows of the cells that hold a wanted rank."""
     keys = [*by, COLUMN]
-    celled = with_cell(numbers_long(df, columns, by), COLUMN, VALUE, cuts)
+    long = numbers_long(df, columns, by)
+    if by:
+        # The targets of many groups are joined by shuffle: a value that fills a group travels as one counted row.
+        long = long.groupBy(*keys, VALUE).agg(F.count("*").alias("__rows"))
+    else:
+        long = long.withColumn("__rows", F.lit(1).cast("bigint"))
+    celled = with_cell(long, COLUMN, VALUE, cuts)
     group = Window.partitionBy(*keys)
-    totals = (celled.groupBy(*keys, CELL).agg(F.count("*").alias(COUNT))
+    totals = (celled.groupBy(*keys, CELL).agg(F.sum("__rows").alias(COUNT))
               .withColumn("__upto", F.sum(COUNT).over(group.orderBy(CELL)))
               .withColumn("__total", F.sum(COUNT).over(group)))
     start = F.col("__upto") - F.col(COUNT)
@@ -193,14 +181,17 @@ def _from_cells(df: DataFrame, columns: list[str], probs: Sequence[float], by: l
     for k in [*keys, CELL]:
         met = met & (F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) if k in by else F.col(f"c.{k}") == F.col(f"t.{k}"))
     freq = (celled.alias("c").join(targets.alias("t"), met)
-            .select(*[F.col(f"c.{k}").alias(k) for k in [*keys, CELL, VALUE]], "t.__start", "t.__total")
-            .groupBy(*keys, CELL, "__start", "__total", VALUE).agg(F.count("*").alias(COUNT)))
+            .select(*[F.col(f"c.{k}").alias(k) for k in [*keys, CELL, VALUE]], "c.__rows", "t.__start", "t.__total")
+            .groupBy(*keys, CELL, "__start", "__total", VALUE).agg(F.sum("__rows").alias(COUNT)))
     return _pick(freq, keys, [*keys, CELL], probs)
 
 
-def running_before(freq: DataFrame, key: str, value: str, weights: dict[str, str], cuts: dict) -> DataFrame:
+def running_before(freq: DataFrame, key: str, value: str, weights: dict[str, str], cuts: dict,
+                   order: str | None = None) -> DataFrame:
     """For distinct ``(key, value)`` rows, the sum of each weight over smaller values of the key.
 
+    ``order`` names a column of finer order that ``value`` follows, such as long numbers beside their doubles.
+
     ``weights`` maps a weight column to the name of its running column. Cell totals carry the
     offsets: at most (bands x slices) rows per key, so they are broadcast for a few keys and
     joined by shuffle for many.
@@ -209,7 +200,7 @@ def running_before(freq: DataFrame, key: str, value: str, weights: dict[str, str
     ahead = Window.partitionBy(key).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = celled.groupBy(key, CELL).agg(*[F.sum(w).alias(f"__t_{w}") for w in weights]).select(
         key, CELL, *[F.coalesce(F.sum(f"__t_{w}").over(ahead), F.lit(0)).alias(f"__o_{w}") for w in weights])
-    inside = Window.partitionBy(key, CELL).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, CELL).orderBy(order or value).rowsBetween(Window.unboundedPreceding, -1)
     bands = len(next(iter(cuts.values()))) - 1
     few = len(cuts) * bands * SLICES <= MAX_BROADCAST_ROWS
     joined = celled.join(F.broadcast(offsets) if few else offsets, [key, CELL])

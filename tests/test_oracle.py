@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, sql, name):
     assert got == want
 
 
-# The same rows must come out of the way meant for tables too large to order in one task.
+# The same rows must come out whatever the sample proposes as cut points.
 LARGE = ("group_aggregate_median", "group_median_nullkey", "numeric_stats", "iqr_outliers_gaps", "histogram_auto",
          "box_by_group", "box_by_many_groups", "quantile_bin", "outlier_rows", "quality_score")
 

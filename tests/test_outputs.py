@@ -98,6 +98,10 @@ def test_last_turns(spark):
     df = spark.createDataFrame([("c", t) for t in range(9)] + [("d", 1)], "conv string, turn int")
     got = [tuple(r) for r in text.last_turns(df, "conv", "turn").collect()]
     assert got == [("c", t) for t in range(3, 9)] + [("d", 1)]
+    said = spark.createDataFrame([("c", t, "user" if t % 3 == 0 else "assistant") for t in range(9)] + [("d", 1, "assistant")],
+                                 "conv string, turn int, role string")
+    got = [tuple(r)[:2] for r in text.last_turns(said, "conv", "turn", 2, role="role").collect()]
+    assert got == [("c", t) for t in range(3, 9)] + [("d", 1)]
 
 
 def test_csv(spark, tmp_path):

@@ -180,4 +180,5 @@ def test_distribution_dispatch(rich):
 
 def test_top_with_other_merges_a_real_other(spark):
     df = spark.createDataFrame([("Other",)] * 5 + [("a",)] * 4 + [("b",)] * 3, "c string")
-    assert {r["value"]: r["count"] for r in rows(distribution.top_with_other(df, "c", 2))} == {"Other": 8, "a": 4}
+    assert {(r["value"], r["is_rest"]): r["count"] for r in rows(distribution.top_with_other(df, "c", 2))} == {
+        ("Other", False): 5, ("a", False): 4, ("Other", True): 3}
