@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import bytepairs, jaccard, languages, mixing, secrets
-from quarrylens.llm.common import cut
+from quarrylens.llm.common import cut, marked
 
 #: A document most of whose words fit no learned language is rejected.
 MOST_NOISE = 0.5
@@ -23,14 +23,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     own = F.concat_ws(":", F.xxhash64("text"), F.length("text"))
     judged = languages.identify(docs.select(own.alias("row"), "text"), model, "row")
     rejected = judged.where((F.col("lang_pred") == languages.UNKNOWN) | (F.col("noise") > MOST_NOISE)).select("row").distinct()
-    return docs.join(rejected, own == F.col("row"), "left_anti").select(docs.columns)
+    rejected = cut(rejected, "rejected")
+    parts = marked(docs, own, rejected, "__perhaps")  # texts of accepted documents are not shuffled
+    checked = parts.where("__perhaps").join(rejected, own == F.col("row"), "left_anti")
+    return parts.where("not __perhaps").select(docs.columns).union(checked.select(docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near duplicates, and one row of it."""
-    found = jaccard.join_components(docs, width=WIDTH, percent=PERCENT)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(docs.columns)
+    found = cut(jaccard.join_components(docs, width=WIDTH, percent=PERCENT).select("doc_id", "component_id"), "classes")
+    alone = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = found.where(alone).select(F.col("doc_id").alias("__kept")).distinct()
+    parts = marked(docs, F.col("doc_id"), found.where(~alone).select("doc_id"), "__perhaps")  # other texts are not shuffled
+    checked = parts.where("__perhaps").join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return parts.where("not __perhaps").select(docs.columns).union(checked.select(docs.columns))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,27 @@ def n_words(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(parts - edges).cast("long")
 
 
+#: Words of a bitmap that tells which rows may be wanted: 4 MB of bits, whatever the data.
+BITMAP = 1 << 19
+
+
+def marked(rows: DataFrame, value: Column, wanted: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: true where ``value`` may be in the single column of ``wanted``, false where it is not.
+
+    Wanted values set bits of a bitmap that is sent to the tasks, so no row is shuffled; equal types are asked for. Nulls
+    count as a value. Rows marked by chance are left to an exact join behind this one.
+    """
+    def word(v: Column) -> Column:
+        return F.shiftright(F.pmod(F.xxhash64(v), F.lit(BITMAP * 64)), 6)
+
+    bitmap = (wanted.toDF("__wanted").select(word(F.col("__wanted")).alias("__word"),
+                         F.expr("shiftleft(1L, cast(pmod(xxhash64(__wanted), 64) as int))").alias("__bit"))
+              .groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    bit = F.pmod(F.xxhash64(value), F.lit(64)).cast("int")
+    seen = F.getbit(F.coalesce(F.col("__bits"), F.lit(0).cast("long")), bit) == 1
+    return rows.join(F.broadcast(bitmap), word(value) == F.col("__word"), "left").withColumn(flag, seen).drop("__word", "__bits")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` for every end of ``links(a, b)``: the smallest id that can be reached.
 
