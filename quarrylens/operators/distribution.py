@@ -146,7 +146,7 @@ def numeric_distribution(df: DataFrame, column: str) -> DataFrame:
     require_numeric(df, [column])
     low, q1, median, q3, high = quantile_values(df, [column], BOX_PROBS)[column].q
     if low is None:
-        raise AnalysisError(f"{column} has no usable numeric values to describe")
+        raise AnalysisError(f"column: {column} holds no finite number")
     stats = numeric_statistics(df, [column])
     outliers = iqr_outliers(df, [column]).select("count").scalar()
     dropped = df.agg(F.count(present(df, column)) - F.count(finite_column(df, column))).scalar()

@@ -69,7 +69,7 @@ def outlier_rows(df: DataFrame, column: str, order_by: Sequence[str], limit: int
     require_numeric(df, [column])
     low, high = outlier_bounds(df, [column])[column]
     if low is None:
-        raise AnalysisError(f"{column} has no usable numeric values to inspect")
+        raise AnalysisError(f"column: {column} holds no finite number")
     infinity = float("inf")
     flagged = df.where(((df[column] < low) & (df[column] > -infinity)) | ((df[column] > high) & (df[column] < infinity)))
     return flagged if limit is None else flagged.orderBy(*order_by).limit(limit)
@@ -80,7 +80,7 @@ def outlier_report(df: DataFrame, column: str) -> DataFrame:
     require_numeric(df, [column])
     report = iqr_outliers(df, [column])
     if df.where(finite_column(df, column).isNotNull()).isEmpty():
-        raise AnalysisError(f"{column} has no usable numeric values to inspect")
+        raise AnalysisError(f"column: {column} holds no finite number")
     return report
 
 

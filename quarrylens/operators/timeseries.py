@@ -29,7 +29,7 @@ def _points(df: DataFrame, time: str, metric: str) -> DataFrame:
 def _time_column(df: DataFrame, time: str | None) -> str:
     time = time or first_datetime(df)
     if time is None:
-        raise AnalysisError("Trend analysis needs a date or time column")
+        raise AnalysisError("time: the table has no date or timestamp column to take")
     return time
 
 
@@ -64,7 +64,7 @@ def trend(df: DataFrame, metric: str, time: str | None = None) -> DataFrame:
     points = _points(df, time, metric)
     ends = points.agg(F.count("*").alias("n"), F.min("x").alias("first"), F.max("x").alias("last")).first()
     if ends["n"] < MIN_TREND_ROWS:
-        raise AnalysisError(f"Only {ends['n']} rows have both {time} and {metric}: too few for a trend")
+        raise AnalysisError(f"metric: {metric} and {time} are both given in {ends['n']} rows, too few to fit a line")
     first, last = ends["first"], ends["last"]
     return _fit(points, "x", first).select(
         F.lit(metric).alias("metric"), F.lit(time).alias("time_column"), F.col("slope").alias("slope_per_day"),
@@ -100,7 +100,7 @@ def trend_forecast(df: DataFrame, metric: str, time: str | None = None, periods:
     points = _points(df, time, metric)
     ends = points.agg(F.count("*").alias("n"), F.min("x").alias("first"), F.max("x").alias("last")).first()
     if ends["n"] < MIN_FORECAST_ROWS:
-        raise AnalysisError(f"Forecasting needs at least {MIN_FORECAST_ROWS} observations; found {ends['n']}")
+        raise AnalysisError(f"metric: {ends['n']} dated values, at least {MIN_FORECAST_ROWS} are needed")
     step = _median_step(points, distinct_days).scalar()
     row = _fit(points, "x", ends["first"]).withColumn("step", step)
     ahead = F.lit(ends["last"]) + F.col("step") * F.col("period")
@@ -135,7 +135,7 @@ def positional_forecast(df: DataFrame, metric: str, order_by: str, periods: int
     placed = running_before(rows, "key", "near", {"one": "x"}, cut_points(rows, ["near"]), order="at")
     n = rows.count()
     if n < MIN_FORECAST_ROWS:
-        raise AnalysisError(f"Forecasting needs at least {MIN_FORECAST_ROWS} observations; found {n}")
+        raise AnalysisError(f"metric: {n} ordered values, at least {MIN_FORECAST_ROWS} are needed")
     ahead = F.col("observations") - 1 + F.col("period")
     return (_fit(placed, "x", 0).withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(periods))))
             .select("period", ahead.cast("string").alias("label"),
@@ -149,7 +149,7 @@ def last_value_forecast(df: DataFrame, metric: str, order_by: str, periods: int
     require_numeric(df, [metric])
     y = finite_column(df, metric)
     if df.where(y.isNotNull()).isEmpty():
-        raise AnalysisError("Cannot forecast an empty series")
+        raise AnalysisError("metric: no value to carry on from")
     last = df.agg(F.max_by(y, F.when(y.isNotNull(), _order_value(df, order_by))).alias("forecast"))
     return last.select(F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("period"), "forecast")
 

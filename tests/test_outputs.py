@@ -35,8 +35,8 @@ def test_report_sections(rich):
     with pytest.raises(AnalysisError):
         reports.report(rich, ["nonsense"])
     row = reports.executive_summary(rich).first()
-    assert (row["rows"], row["columns"], row["numeric"]) == (120, 7, 3)
-    assert reports.data_summary(rich).first()["rows"] == 120
+    assert (row["rows"], row["columns"], row["numeric"]) == (96, 7, 3)
+    assert reports.data_summary(rich).first()["rows"] == 96
 
 
 def test_report_of_text_only(spark):

@@ -33,7 +33,7 @@ def test_unknown_operation_and_column(sample):
 
 def test_scalar_aggregate_uses_finite_values(wild, spark):
     assert rows(groups.scalar_aggregate(wild, "x", "sum")) == [{"metric": "x", "operation": "sum", "value": 6.0, "count": 2}]
-    with pytest.raises(AnalysisError, match="no usable"):
+    with pytest.raises(AnalysisError, match="in every row"):
         groups.scalar_aggregate(spark.createDataFrame([(None,)], "a double"), "a", "mean")
 
 
@@ -50,7 +50,7 @@ def test_group_means_equal_pandas(rich, rich_pandas):
 
 def test_segmentation_survives_a_column_named_rows(rich):
     table = rows(groups.segmentation(rich.withColumn("rows", F.lit(1)), "region", "revenue"))
-    assert sum(r["rows"] for r in table) == 120 and {r["segments"] for r in table} == {3}
+    assert sum(r["rows"] for r in table) == 96 and {r["segments"] for r in table} == {3}
 
 
 def test_small_segments(spark):
