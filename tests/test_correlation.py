@@ -62,7 +62,7 @@ def test_constant_column_is_undefined(spark, method):
 def test_errors(spark, sample):
     with pytest.raises(AnalysisError, match="Unsupported"):
         correlation.pair_table(sample, None, "voodoo")
-    with pytest.raises(AnalysisError, match="different"):
+    with pytest.raises(AnalysisError, match="one and the same"):
         correlation.pair_correlation(sample, "units", "units")
     with pytest.raises(AnalysisError, match="too few"):
         correlation.pair_correlation(sample.limit(2), "units", "revenue")
