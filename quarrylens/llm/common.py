@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: The characters that separate words.
 GAP = r"[\x20\x09-\x0D]"
-#: Label rounds that no set of links needs; every round at least halves the number of labels along a path.
-MOST_ROUNDS = 60
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -63,23 +61,28 @@ def marked(rows: DataFrame, value: Column, wanted: DataFrame, flag: str) -> Data
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` for every end of ``links(a, b)``: the smallest id that can be reached.
 
-    Each round takes the smallest label among a vertex's neighbours and then the label's own label, so the number of
-    rounds follows the logarithm of the longest path. Only rows of (id, label) and links are shuffled; a hub is summed up
-    map-side before the shuffle. Every round is written to the shared folder. No links give no rows.
+    Each round hooks every vertex to its smallest neighbour, jumps to the roots of the trees that come of it, and goes on with
+    the links between different roots. In two rounds a root either ends below another one or takes in at least one, so the
+    vertices left are halved at least, whatever the order of ids along a path; jumps are logarithmic in a tree's depth. A hub
+    is summed up map-side before the shuffle. Every step is written to the shared folder. No links give no rows.
     """
     ends = cut(links.select("a", "b").where("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))
                                                             .where("a <> b")).distinct(), "links")
-    labels = cut(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(MOST_ROUNDS):
-        near = (ends.join(labels.select(F.col("id").alias("b"), "component"), "b")
-                .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near")))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("old"),
-                                               F.least("component", "near").alias("low"))
-        # An old label's new label is at least as low as what its members knew of it.
-        jump = lower.select(F.col("id").alias("low"), F.col("low").alias("lowest"))
-        new = cut(lower.join(jump, "low", "left").select(
-            "id", F.least("low", "lowest").alias("component"), "old"), "labels")
-        labels = new.select("id", "component")
-        if new.where("component <> old").isEmpty():
-            return labels
-    raise RuntimeError("labels did not settle")
+    rounds: list[DataFrame] = []
+    while not rounds or not ends.isEmpty():
+        trees = cut(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "trees")
+        while True:
+            above = trees.select(F.col("id").alias("root"), F.col("root").alias("next"))
+            jumped = cut(trees.join(above, "root").select("id", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")), "trees")
+            trees = jumped.select("id", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        rounds.append(trees)
+        ends = cut(ends.join(trees.select(F.col("id").alias("a"), F.col("root").alias("x")), "a")
+                   .join(trees.select(F.col("id").alias("b"), F.col("root").alias("y")), "b")
+                   .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+    labels = rounds.pop()
+    while rounds:  # a root of an earlier round that has no link left is its own label
+        later = labels.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        labels = cut(rounds.pop().join(later, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "labels")
+    return labels.select("id", F.col("root").alias("component"))

@@ -77,6 +77,12 @@ def test_components_of_a_long_path(spark):
     assert {r.component for r in common.components(links).collect()} == {0}
 
 
+def test_components_of_a_long_path_in_any_order(spark):
+    ids = random.Random(5).sample(range(10**6), 400)
+    links = spark.createDataFrame([*zip(ids[:300], ids[1:300]), *zip(ids[300:], ids[301:])], "a long, b long")
+    assert {r.id: r.component for r in common.components(links).collect()} == {i: min(p) for p in (ids[:300], ids[300:]) for i in p}
+
+
 def test_word_count(spark, documents):
     got = {(r.text, r.n) for r in documents.select("text", common.n_words(F.col("text")).alias("n")).collect()}
     assert got == {(t, len(WORD.findall(t or ""))) for t, _ in got}
