@@ -30,13 +30,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near duplicates, and one row of it."""
-    found = cut(jaccard.join_components(docs, width=WIDTH, percent=PERCENT).select("doc_id", "component_id"), "classes")
+    """Keeps the document of the smallest id of each group of near duplicates, and one row of it.
+
+    An id that occurs once stands for its row. Rows of a repeated id are told apart by their sets: those of one id and group
+    are one document, whose row of the smallest digest stays.
+    """
+    found = cut(jaccard.set_classes(docs, width=WIDTH, percent=PERCENT).select("doc_id", "set", "component", "component_id"), "classes")
     alone = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = found.where(alone).select(F.col("doc_id").alias("__kept")).distinct()
-    parts = marked(docs, F.col("doc_id"), found.where(~alone).select("doc_id"), "__perhaps")  # other texts are not shuffled
-    checked = parts.where("__perhaps").join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return parts.where("not __perhaps").select(docs.columns).union(checked.select(docs.columns))
+    ids = cut(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("rows"), F.max(alone).alias("head"))
+              .where("rows > 1 or not head"), "ids")
+    parts = marked(docs, F.col("doc_id"), ids.select("__id"), "__perhaps")  # other texts are not shuffled
+    once = parts.where("__perhaps").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    more = ids.where("rows > 1 and head")
+    heads = (found.where(alone).join(more, F.col("doc_id").eqNullSafe(F.col("__id"))).select("__id", F.col("set").alias("__set"), "component").distinct())
+    several = jaccard.with_sets(marked(docs, F.col("doc_id"), more.select("__id"), "__several").where("__several").select(docs.columns), width=WIDTH)
+    digest = F.sha2("row.text", 256)
+    chosen = (several.join(heads, F.col("row.doc_id").eqNullSafe(F.col("__id")) & F.col("set").eqNullSafe(F.col("__set")))
+              .groupBy("__id", "component", F.when(F.col("set").isNull(), digest).alias("wordless"))
+              .agg(F.min_by("row", F.struct(digest, F.xxhash64("row"))).alias("row")))
+    return parts.where("not __perhaps").select(docs.columns).union(once.select(docs.columns)).union(chosen.select("row.*"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarrylens.llm.common import components, cut
 from quarrylens.llm.kernels import LOWER, Block, blocks, mixed, shingles, whole_sequences
@@ -416,8 +417,9 @@ def links_of(docs: DataFrame, sized: DataFrame, key: str, text: str, width: int,
     return whole
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """``(key, n_shingles, component_id)`` for every row: the smallest key that links of at least ``percent`` can reach.
+def set_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """``(key, n_shingles, set, component, component_id)`` for every row: the digests of its set and of its component, null without
+    words, and the smallest key that links of at least ``percent`` can reach.
 
     Copies are never paired: rows of one class share its component.
     """
@@ -427,6 +429,25 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     labelled = cut(classes.join(linked.select(F.col("id").alias("__set"), "component"), F.col("set") == F.col("__set"), "left")
                    .select("set", "smallest", F.coalesce("component", "set").alias("component")), "classes")
     lowest = labelled.groupBy(F.col("component").alias("__component")).agg(F.min("smallest").alias("component_id"))
-    named = labelled.join(lowest, F.col("component") == F.col("__component")).select(F.col("set").alias("__set"), "component_id")
+    named = labelled.join(lowest, F.col("component") == F.col("__component")).select(F.col("set").alias("__set"), "component", "component_id")
     return (sized.join(named, F.col("set") == F.col("__set"), "left")
-            .select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id")))
+            .select(key, F.col("n").alias("n_shingles"), "set", "component", F.coalesce("component_id", key).alias("component_id")))
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """``(key, n_shingles, component_id)`` for every row: the smallest key that links of at least ``percent`` can reach."""
+    return set_classes(docs, key, text, width, percent).select(key, "n_shingles", "component_id")
+
+
+def with_sets(docs: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
+    """``(row struct, set)``: every row and the digest of its set, null without words."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                h, ends = _sets(block, width)
+                sets = [_digest(h[a:b]) if b > a else None for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.row, block.n), pa.array(sets, pa.int64())], names=["row", "set"])
+
+    return rows.mapInArrow(digest, StructType([rows.schema["row"], StructField("set", LongType())]))

@@ -43,6 +43,20 @@ def test_pipeline_stages_keep_their_word(spark, documents):
     assert [name for name, _ in p.STAGES] == ["language", "near_duplicates", "secrets", "mixing", "tokens"]
 
 
+def test_near_duplicates_keep_one_row_of_a_repeated_id(spark):
+    from llm_samples import edited, prose
+
+    import corpus_pipeline as p
+
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c), (3, edited(a, 1, 0.005)), (3, edited(b, 2, 0.005)), (4, c), (5, None), (5, None), (6, prose(6, 90)), (None, prose(7, 90)),
+            (None, prose(7, 90))]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in p.near_duplicate_stage(spark, docs, FOLDER).collect()]
+    assert sorted(i or 0 for i, _ in kept) == [0, 1, 3, 3, 5, 6] and (1, a) in kept and (3, c) in kept
+    assert {t for i, t in kept if i == 3} - {c} <= {b, rows[6][1]}
+
+
 def test_pipeline_runs(spark):
     got = QUERIES["pipeline"].run(spark, FOLDER)
     assert set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and got.count() > 50
