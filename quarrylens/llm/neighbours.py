@@ -2,10 +2,11 @@
 
 A neighbour graph begins with vectors that lie next to each other along random projections and is refined in rounds: the
 neighbours of a vertex, in either direction, meet each other (a join of neighbours of neighbours), and every vertex keeps the
-best it has met. A list that is full of neighbours above the threshold is saturated; it is enlarged until it reaches the
-whole dense group. Groups are connected parts of the graph's threshold edges; inside them links are counted exactly, block
-by block, without writing pairs. Recall is audited against brute force for a fixed number of vectors; where it misses the
-target, projections are added and the rounds go on.
+best it has met, of all vectors and again of those outside its own group, so a list full of members of a dense group hides
+no other group. Groups are connected parts of all threshold edges that were ever met; the rounds go on until they bring next
+to nothing. Inside groups links are counted exactly, block by block, without writing pairs. Recall is audited against brute
+force, vertex by vertex, on fresh vertices each time: what an audit finds between groups joins them, and where it misses the
+target, projections are added and the rounds go on, however often it takes.
 
 Edge cases: vectors that are null, zero, of no length, or hold null or non-finite components have no links. Vectors of
 different length have no links with each other. Equal vectors are one vertex with a number of copies. Repeated ids are
@@ -15,6 +16,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,13 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import components, cut
 from quarrylens.llm.jaccard import grouped
 
-#: Neighbours that a list holds at first, and edges below this cosine that still guide the descent are dropped.
+#: Neighbours that each of a vertex's two lists holds, and edges below this cosine that still guide the descent are dropped.
 NEIGHBOURS, GUIDE = 8, 0.5
-#: Projections to begin with, vectors in a window along one, rounds of descent between audits, audits at most.
-PROJECTIONS, WINDOW, ROUNDS, AUDITS = 12, 48, 2, 4
-#: Vectors whose links are counted by brute force, and the recall that must be reached on them.
-AUDITED, RECALL = 1024, 0.999
+#: Vectors in a window along a projection, and the share of new edges of a graph at which the descent ends.
+WINDOW, NEW = 48, 0.001
+#: Vertices of a draw of the audit, those with links that must be seen, and the mean over them of the share of links found. The
+#: draws end at MOST_DRAWS: fewer than LINKED vertices with links in so many are less than 2 % of all.
+AUDITED, LINKED, RECALL, MOST_DRAWS = 1024, 256, 0.999, 16
 #: Members of one block of a group.
 CELL = 256
 SEED = 5
@@ -73,34 +76,66 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64(
 _EDGES_SQL = "a long, b long, cosine double"
 
 
-def _best(ids: np.ndarray, cosine: np.ndarray, most: int, threshold: float) -> pa.RecordBatch:
-    """For each row of a block the best others: ``most`` of them, from GUIDE on."""
+def _best(ids: np.ndarray, group: np.ndarray, cosine: np.ndarray, most: int, threshold: float) -> pa.RecordBatch:
+    """For each row of a block the ``most`` best others and the ``most`` best of other groups, from GUIDE on, and threshold edges
+    that connect all groups whose members are that near."""
     np.fill_diagonal(cosine, -2)
     k = min(most, len(ids) - 1)
-    at = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(ids)), k)
-    cols = at.ravel()
-    good = cosine[rows, cols] >= min(GUIDE, threshold)
-    rows, cols = rows[good], cols[good]
+    other = np.where(group[:, None] == group[None, :], -2, cosine)
+    kept = np.zeros(cosine.shape, bool)
+    for each in (cosine, other):
+        at = np.argpartition(-each, k - 1, axis=1)[:, :k]
+        good = np.take_along_axis(each, at, 1) >= min(GUIDE, threshold)
+        kept[np.nonzero(good)[0], at[good]] = True
+    rows, cols = np.nonzero(kept)
+    named, at = np.unique(group, return_inverse=True)
+    root = list(range(len(named)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    more = []
+    for x, y in zip(*np.nonzero(np.triu(other >= threshold))):
+        u, v = top(at[x]), top(at[y])
+        if u != v:
+            root[u] = v
+            more.append((x, y))
+    if more:
+        x, y = np.array(more).T
+        rows, cols = np.concatenate([rows, x]), np.concatenate([cols, y])
     return pa.record_batch([pa.array(ids[rows]), pa.array(ids[cols]), pa.array(cosine[rows, cols])], schema=_EDGES)
 
 
-def along_projection(points: DataFrame, seed: int, threshold: float) -> DataFrame:
-    """Edges between vectors that are near in order of (signs of a few projections, one more projection).
+def sign_bits(n: int) -> int:
+    """Signs of projections in a code: about a window of ``n`` vectors shares one, and at least 8 are used."""
+    return min(40, max(8, math.ceil(math.log2(max(n, 1) / WINDOW))))
+
+
+def projections(n: int, threshold: float) -> int:
+    """Projections after which a pair at the threshold has shared a code with a probability of RECALL."""
+    shared = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** sign_bits(n)
+    return 1 if shared >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - shared))
+
+
+def along_projection(points: DataFrame, seed: int, threshold: float, bits: int) -> DataFrame:
+    """Edges between vectors that are near in order of (signs of ``bits`` projections, one more projection).
 
     The order is a range partitioning, so neither a dense group nor a hot vector fills one task; windows overlap by half.
     """
-    schema = pa.schema([("vertex", pa.int64()), ("size", pa.int32()), ("unit", pa.binary()), ("code", pa.int64()), ("place", pa.float64())])
+    schema = pa.schema([("vertex", pa.int64()), ("size", pa.int32()), ("unit", pa.binary()), ("group", pa.int64()), ("code", pa.int64()), ("place", pa.float64())])
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(1).to_numpy()
             code, place = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             for size in np.unique(sizes):
-                planes = np.random.default_rng([SEED, seed, int(size)]).standard_normal((int(size), 9))
+                planes = np.random.default_rng([SEED, seed, int(size)]).standard_normal((int(size), bits + 1))
                 at = np.flatnonzero(sizes == size)
                 spots = _matrix(batch.column(2).take(pa.array(at)), int(size)) @ planes
-                code[at] = int(size) << 8 | (spots[:, 1:] > 0) @ (1 << np.arange(8))
+                code[at] = int(size) << bits | (spots[:, 1:] > 0) @ (1 << np.arange(bits))
                 place[at] = spots[:, 0]
             yield pa.record_batch([*batch.columns, pa.array(code), pa.array(place)], schema=schema)
 
@@ -111,10 +146,10 @@ def along_projection(points: DataFrame, seed: int, threshold: float) -> DataFram
             sizes = rows.column("size").to_numpy()
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                ids, x = rows.column("vertex").to_numpy()[at], _matrix(rows.column("unit").take(pa.array(at)), int(size))
+                ids, group, x = rows.column("vertex").to_numpy()[at], rows.column("group").to_numpy()[at], _matrix(rows.column("unit").take(pa.array(at)), int(size))
                 for a in range(0, max(1, len(at) - WINDOW // 2), WINDOW // 2):
                     if len(part := ids[a:a + WINDOW]) > 1:
-                        yield _best(part, x[a:a + WINDOW] @ x[a:a + WINDOW].T, NEIGHBOURS, threshold)
+                        yield _best(part, group[a:a + WINDOW], x[a:a + WINDOW] @ x[a:a + WINDOW].T, NEIGHBOURS, threshold)
 
         for batch in batches:
             held.append(batch)
@@ -125,36 +160,52 @@ def along_projection(points: DataFrame, seed: int, threshold: float) -> DataFram
         if held and sum(map(len, held)):
             yield from edges(pa.Table.from_batches(held))
 
-    placed = points.mapInArrow(project, "vertex long, size int, unit binary, code long, place double")
+    placed = points.mapInArrow(project, "vertex long, size int, unit binary, `group` long, code long, place double")
     return (placed.repartitionByRange("code", "place", "vertex").sortWithinPartitions("code", "place", "vertex")
             .mapInArrow(windows, _EDGES_SQL))
 
 
-def best_of(edges: DataFrame, most: int) -> DataFrame:
-    """The ``most`` best neighbours of each vertex; packed map-side, so no vertex fills a task."""
-    packed = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).groupBy("a").agg(
-        F.collect_list(F.struct((-F.col("cosine")).alias("less"), "b")).alias("list"))
-    return (packed.select("a", F.explode(F.slice(F.array_sort("list"), 1, most)).alias("e"))
-            .select("a", F.col("e.b").alias("b"), (-F.col("e.less")).alias("cosine")))
+def best_of(edges: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best neighbours of each vertex, and the ``most`` best outside its group of ``labels(id, component)``; packed
+    map-side, so no vertex fills a task."""
+    one = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    one = (one.join(labels.select(F.col("id").alias("a"), F.col("component").alias("x")), "a")
+           .join(labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b"))
+    packed = one.groupBy("a").agg(F.collect_list(F.struct((-F.col("cosine")).alias("less"), "b", (F.col("x") != F.col("y")).alias("outside"))).alias("list"))
+    packed = packed.select("a", F.array_sort("list").alias("list"))
+    both = F.array_union(F.slice("list", 1, most), F.slice(F.filter("list", lambda e: e["outside"]), 1, most))
+    return packed.select("a", F.explode(both).alias("e")).select("a", F.col("e.b").alias("b"), (-F.col("e.less")).alias("cosine"))
 
 
-def descend(graph: DataFrame, points: DataFrame, most: int, threshold: float) -> DataFrame:
+def descend(graph: DataFrame, points: DataFrame, labels: DataFrame, most: int, threshold: float) -> DataFrame:
     """Edges between neighbours of a common vertex: lists of either direction meet, each list in one task."""
     there = graph.select("a", "b")
     back = graph.groupBy(F.col("b").alias("a")).agg(F.collect_list(F.struct(F.xxhash64("a", "b").alias("draw"), F.col("a").alias("b"))).alias("list"))
-    back = back.select("a", F.explode(F.slice(F.array_sort("list"), 1, most)).alias("e")).select("a", F.col("e.b").alias("b"))
+    back = back.select("a", F.explode(F.slice(F.array_sort("list"), 1, 2 * most)).alias("e")).select("a", F.col("e.b").alias("b"))
     lists = there.unionByName(back).unionByName(there.select("a", F.col("a").alias("b")).distinct()).distinct()
-    rows = lists.join(points, F.col("b") == F.col("vertex")).select("a", "vertex", "size", "unit")
+    rows = (lists.join(points, F.col("b") == F.col("vertex")).join(labels, F.col("b") == F.col("id"))
+            .select("a", "vertex", "size", "unit", F.col("component").alias("group")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in grouped(batches):
             if len(part) > 1:
                 x = _matrix(part.column("unit"), part.column("size")[0].as_py())
-                yield _best(part.column("vertex").to_numpy(), x @ x.T, most, threshold)
+                yield _best(part.column("vertex").to_numpy(), part.column("group").to_numpy(), x @ x.T, most, threshold)
 
     return rows.repartition("a").sortWithinPartitions("a").mapInArrow(meet, _EDGES_SQL)
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
+    """``labels(id, component)`` after ``edges(a, b)`` have joined groups, and whether any did."""
+    across = cut(edges.join(labels.select(F.col("id").alias("a"), F.col("component").alias("x")), "a")
+                 .join(labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+                 .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "across")
+    if across.isEmpty():
+        return labels, False
+    found = components(across).select(F.col("id").alias("component"), F.col("component").alias("lower"))
+    return cut(labels.join(found, "component", "left").select("id", F.coalesce("lower", "component").alias("component")), "groups"), True
+
+
 def count_links(points: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """``(vertex, links)``: other rows within the threshold, exact inside each group of ``groups(id, component)``.
 
@@ -183,14 +234,17 @@ def count_links(points: DataFrame, groups: DataFrame, threshold: float) -> DataF
     return found.groupBy("vertex").agg(F.sum("links").alias("links"))
 
 
-def brute_force(points: DataFrame, threshold: float, most: int = AUDITED) -> DataFrame:
-    """``(vertex, links)`` of ``most`` vertices, chosen by hash, counted against all vectors: their block is sent to every task."""
-    chosen = points.orderBy(F.xxhash64("vertex", F.lit(2)), "vertex").limit(most).select("vertex", "size", "unit").collect()
+def brute_force(points: DataFrame, threshold: float, salt: int, at: int, most: int = AUDITED) -> DataFrame:
+    """``(a, b, group, links)`` of ``most`` vertices of ``points(vertex, size, unit, group, copies)``, those behind the first ``at``
+    in order of a hash: ``links`` rows of ``group`` are linked with ``a``, one of them of the vertex ``b``. All vectors are
+    compared with the chosen ones, whose block is sent to every task; pairs are not written."""
+    chosen = (points.orderBy(F.xxhash64("vertex", F.lit(2 + salt)), "vertex").offset(at).limit(most)
+              .select("vertex", "size", "unit").collect())
     sent = points.sparkSession.sparkContext.broadcast([(r.vertex, r["size"], bytes(r.unit)) for r in chosen])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64()), ("links", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        total = dict.fromkeys((v for v, _, _ in own), 0)
         for batch in batches:
             sizes = batch.column(1).to_numpy()
             for size in np.unique(sizes):
@@ -199,15 +253,39 @@ def brute_force(points: DataFrame, threshold: float, most: int = AUDITED) -> Dat
                     continue
                 at = np.flatnonzero(sizes == size)
                 x = _matrix(batch.column(2).take(pa.array(at)), int(size))
+                ids, groups, copies = (batch.column(c).to_numpy()[at] for c in (0, 3, 4))
                 q = np.frombuffer(b"".join(u for _, u in mine), "<f8").reshape(len(mine), int(size))
                 near = q @ x.T >= threshold
-                near &= np.array([v for v, _ in mine])[:, None] != batch.column(0).to_numpy()[at][None, :]
-                for (v, _), n in zip(mine, near @ batch.column(3).to_numpy()[at]):
-                    total[v] += int(n)
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["vertex", "links"])
-
-    return (points.select("vertex", "size", "unit", "copies").mapInArrow(count, "vertex long, links long")
-            .groupBy("vertex").agg(F.sum("links").alias("links")))
+                near &= np.array([v for v, _ in mine])[:, None] != ids[None, :]
+                found = []
+                for (v, _), linked in zip(mine, near):
+                    k = np.flatnonzero(linked)
+                    names, first, where = np.unique(groups[k], return_index=True, return_inverse=True)
+                    links = np.bincount(where, copies[k], len(names)).astype(np.int64)
+                    found += [(v, int(ids[k[f]]), int(g), int(n)) for g, f, n in zip(names, first, links)]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 4, schema=schema)
+
+    return (points.select("vertex", "size", "unit", "group", "copies").mapInArrow(count, "a long, b long, `group` long, links long")
+            .groupBy("a", "group").agg(F.min("b").alias("b"), F.sum("links").alias("links")).select("a", "b", "group", "links"))
+
+
+def audited(points: DataFrame, labels: DataFrame, threshold: float, salt: int, n: int) -> tuple[float, DataFrame]:
+    """The recall of ``labels``, as the mean over audited vertices with links of the share of links inside their group, and the
+    edges ``(a, b)`` that lead out of groups."""
+    grouped_ = points.join(labels, F.col("vertex") == F.col("id")).select("vertex", "size", "unit", F.col("component").alias("group"), "copies")
+    linked, total, out = 0, 0.0, None
+    for draw in range(MOST_DRAWS):
+        true = cut(brute_force(grouped_, threshold, salt, draw * AUDITED)
+                   .join(labels.select(F.col("id").alias("a"), F.col("component").alias("own")), "a")
+                   .select("a", "b", "links", (F.col("own") == F.col("group")).alias("inside")), "audit")
+        share = true.groupBy("a").agg((F.sum(F.when(F.col("inside"), F.col("links")).otherwise(0)) / F.sum("links")).alias("share"))
+        told = share.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("sum")).first()
+        linked, total = linked + told["n"], total + told["sum"]
+        missed = true.where("not inside").select("a", "b")
+        out = missed if out is None else out.unionByName(missed)
+        if linked >= LINKED or (draw + 1) * AUDITED >= n:
+            break
+    return (total / linked if linked else 1.0), out
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -215,25 +293,36 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = cut(vertices(vectors, key, vector), "vectors")
     points = cut(rows.where("vertex is not null").groupBy("vertex").agg(
         F.first("size").alias("size"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("smallest")), "points")
-    true = cut(brute_force(points, threshold), "audit")
-    bare = points.select("vertex", "size", "unit")
-    graph, seeds, most = None, 0, NEIGHBOURS
-    for _ in range(AUDITS):
-        for _ in range(PROJECTIONS):
-            more = along_projection(bare, seeds, threshold)
-            graph = more if graph is None else graph.unionByName(more)
+    n, bare = points.count(), points.select("vertex", "size", "unit")
+    labels = cut(points.select(F.col("vertex").alias("id"), F.col("vertex").alias("component")), "groups")
+    near = F.col("cosine") >= threshold
+    graph, seeds, audits = None, 0, 0
+    while True:
+        here = bare.join(labels, F.col("vertex") == F.col("id")).select("vertex", "size", "unit", F.col("component").alias("group"))
+        found = None
+        for _ in range(projections(n, threshold)):
+            more = along_projection(here, seeds, threshold, sign_bits(n))
+            found = more if found is None else found.unionByName(more)
             seeds += 1
-        graph = cut(best_of(graph, most), "graph")
-        for _ in range(ROUNDS):
-            graph = cut(best_of(graph.unionByName(descend(graph, bare, most, threshold)), most), "graph")
-        near = graph.where(F.col("cosine") >= threshold)
-        groups = cut(components(near.select("a", "b")), "groups")
-        counted = cut(count_links(points, groups, threshold), "counted")
-        told = true.join(counted.withColumnRenamed("links", "found"), "vertex", "left").agg(
-            F.sum("links").alias("all"), F.sum(F.least("links", F.coalesce("found", F.lit(0)))).alias("found")).first()
-        if (told["found"] or 0) >= RECALL * (told["all"] or 0):
+        found = cut(found, "found")
+        labels, _ = merged(labels, found.where(near))
+        graph = cut(best_of(found if graph is None else graph.unionByName(found), labels, NEIGHBOURS), "graph")
+        while True:
+            found = cut(descend(graph, bare, labels, NEIGHBOURS, threshold), "found")
+            labels, joined = merged(labels, found.where(near))
+            better = cut(best_of(graph.unionByName(found), labels, NEIGHBOURS), "graph")
+            new = better.join(graph, ["a", "b"], "left_anti").count()
+            graph = better
+            if not joined and new <= NEW * graph.count():
+                break
+        recall, missed = audited(points, labels, threshold, audits, n)
+        audits += 1
+        labels, joined = merged(labels, missed)  # an audit that misses the target joins groups, so there is a last one
+        if recall >= RECALL or not joined:
             break
-        most *= 2  # saturated lists are enlarged
+    groups = cut(labels.join(labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("component"), "component")
+                 .select("id", "component"), "groups")
+    counted = cut(count_links(points, groups, threshold), "counted")
     # Copies of one vector are links of each other; equal cosines of copies with others are counted by their number.
     named = (points.join(groups, F.col("vertex") == F.col("id"), "left").select("vertex", "copies", "smallest", F.coalesce("component", "vertex").alias("component")))
     lowest = named.groupBy(F.col("component").alias("__c")).agg(F.min("smallest").alias("component_id"))

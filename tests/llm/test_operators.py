@@ -112,6 +112,22 @@ def test_neighbours_match_brute_force(spark, monkeypatch, cell):
     assert got == {i: (len(linked[i]), label[i], label[i] == i) for i, _, _ in rows}
 
 
+def _checked(spark, x):
+    near = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.9
+    np.fill_diagonal(near, False)
+    label = _reached(range(len(x)), [np.flatnonzero(row).tolist() for row in near])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
+    assert got == {k: (int(near[k].sum()), label[k]) for k in label}
+
+
+def test_neighbours_of_tight_groups_inside_a_dense_one(spark):
+    draw = np.random.default_rng(2)
+    first, second = np.linalg.qr(draw.standard_normal((32, 2)))[0].T
+    centres = [first, 0.925 * first + np.sqrt(1 - 0.925**2) * second]
+    _checked(spark, np.concatenate([c + 0.004 * draw.standard_normal((100, 32)) for c in centres]))
+
+
 def test_neighbours_of_nothing(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
