@@ -128,6 +128,15 @@ def test_neighbours_of_tight_groups_inside_a_dense_one(spark):
     _checked(spark, np.concatenate([c + 0.004 * draw.standard_normal((100, 32)) for c in centres]))
 
 
+def test_neighbours_missed_by_the_search_are_found_by_the_audit(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WINDOW", 4)
+    monkeypatch.setattr(neighbours, "PROJECTIONS", 1, raising=False)
+    monkeypatch.setattr(neighbours, "projections", lambda n, threshold: 1, raising=False)
+    draw = np.random.default_rng(3)
+    dense, pairs = draw.standard_normal(32), draw.standard_normal((100, 32))
+    _checked(spark, np.concatenate([dense + 0.05 * draw.standard_normal((200, 32)), pairs, pairs + 0.4 * draw.standard_normal((100, 32))]))
+
+
 def test_neighbours_of_nothing(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
