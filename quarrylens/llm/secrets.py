@@ -1,12 +1,12 @@
 """Secret scans: candidate strings, judged by a random forest.
 
-Candidates are long runs of characters that keys and tokens are made of. A random forest, trained from labelled findings,
+Candidates are long runs of characters that keys and tokens are made of, and whatever is assigned to a word that names a secret. A random forest, trained from labelled findings,
 removes false positives by the candidate's length, its transitions between kinds of characters, how far words of a
 dictionary cover it, the path it comes from, and the words around it. The dictionary is what ordinary text repeats: the
 letter 4-grams of all texts, counted in a table of fixed size.
 
 Edge cases: a null or empty text has no candidates. Repeated rows are scanned alike, each once. Labels of one class only, or
-none, train no forest: every candidate then stays a finding, with a null probability. An empty table gives no findings.
+none, train no forest: every candidate then stays a finding with a null probability, a secret if its context says so. An empty table gives no findings.
 Only the key, text and path columns are read; ``redacted`` keeps all columns and changes the text alone.
 """
 
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from quarrylens.llm.kernels import blocks
 from quarrylens.llm.languages import _arrow
 
-#: What a candidate looks like.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}(?![A-Za-z0-9+/_=-])")
 #: Labelled findings used for training at most (chosen by a hash of the string).
 TRAIN_FINDINGS = 20_000
 TREES, DEPTH, SEED = 40, 8, 11
@@ -44,6 +42,15 @@ MASK = "[SECRET]"
 SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "private_key", "credential", "auth", "bearer")
 HARMLESS_WORDS = ("sha256", "sha1", "md5", "checksum", "commit", "uuid", "guid", "isbn", "example", "card", "phone", "http", "https", "www")
 
+#: A secret's name and what stands between it and the value.
+_NAMED = rf"(?:{'|'.join(SECRET_WORDS)})[\"'`]?\s{{0,8}}[=:]\s{{0,8}}[\"'`]?"
+#: What a candidate looks like: the value assigned to a secret's name, of any length and characters but blanks, or else a long run
+#: of characters that keys are made of. A run ends at ``=`` unless that is its padding. For Java: bounded lookbehind; the first
+#: two only spare the third.
+CANDIDATE = (r"(?<=[=:\s\"'`])(?=\S)(?<=[=:]\s{0,8}[\"'`]?)" + rf"(?<=(?i:{_NAMED}))"
+             r"(?:(?<=\")[^\s\"]+|(?<=')[^\s']+|(?<=`)[^\s`]+|(?<![\"'`])[^\s\"'`]*[^\s\"'`,;)\]}])"
+             r"|(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+
 FEATURES = ("length", "digits", "upper", "lower", "marks", "changes", "entropy", "hex", "covered", "longest_letters", "quoted", "assigned",
             "secret_word", "harmless_word", "checksum", *(f"word_{k}" for k in range(NEIGHBOURS)), *(f"path_{k}" for k in range(PATHS)))
 
@@ -97,7 +104,7 @@ def features(value: str, before: str, after: str, path: str, known: np.ndarray)
     entropy = -sum(p * math.log2(p) for p in (value.count(c) / n for c in set(value)))
     b = np.frombuffer(value.lower().encode(), np.uint8).astype(np.uint32)
     hit = known[_gram(b)] if len(b) > 3 else np.zeros(0, bool)
-    covered = np.zeros(n, bool)
+    covered = np.zeros(len(b), bool)
     for k in range(4):
         covered[k:k + len(hit)] |= hit
     words = re.findall(r"[\w.-]+", before.lower())[-3:] + re.findall(r"[\w.-]+", after.lower())[:2]
@@ -107,7 +114,7 @@ def features(value: str, before: str, after: str, path: str, known: np.ndarray)
            max((len(m) for m in re.findall(r"[A-Za-z]+", value)), default=0),
            float(before[-1:] in ("\"", "'", "`")), float(re.search(r"[=:]\s*[\"'`]?$", before) is not None),
            float(any(w in near for w in SECRET_WORDS)), float(any(w in near for w in HARMLESS_WORDS)),
-           float(value.isdigit() and _checksum(value))]
+           float(value.isdecimal() and _checksum(value))]
     counts = [0.0] * NEIGHBOURS
     for w in words:
         counts[_bucket(w, NEIGHBOURS)] += 1
@@ -119,7 +126,8 @@ def features(value: str, before: str, after: str, path: str, known: np.ndarray)
 def candidates(docs: DataFrame, known: np.ndarray, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """``(key, begin, value, before, features)`` of every candidate in every text; ``begin`` counts code points."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
-    rows = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text"),
+    whole = F.col(text).cast("string")
+    rows = docs.select(F.col(key).alias(key), F.split(whole, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0)).alias("values"),
                        (F.lit("") if path is None else F.coalesce(F.col(path).cast("string"), F.lit(""))).alias("path"))
     schema = pa.schema([(key, _arrow(rows, key)), ("begin", pa.int64()), ("value", pa.string()), ("before", pa.string()),
                         ("features", pa.list_(pa.float64()))])
@@ -128,14 +136,19 @@ def candidates(docs: DataFrame, known: np.ndarray, key: str = "doc_id", text: st
         dictionary_ = sent.value
         for batch in batches:
             at, begin, value, before, row = [], [], [], [], []
-            for k, whole in enumerate(batch.column(1)):
-                whole = whole.as_py()
-                for m in CANDIDATE.finditer(whole) if whole else ():
+            for k, found in enumerate(batch.column(2)):
+                if not (found := found.as_py()):
+                    continue
+                gaps, place = batch.column(1)[k].as_py(), 0
+                text_ = "".join(x for pair in zip(gaps, [*found, ""]) for x in pair)
+                for gap, m in zip(gaps, found):
+                    place += len(gap)
                     at.append(k)
-                    begin.append(m.start())
-                    value.append(m[0])
-                    before.append(whole[max(0, m.start() - AROUND):m.start()])
-                    row.append(features(m[0], before[-1], whole[m.end():m.end() + AROUND], batch.column(2)[k].as_py(), dictionary_))
+                    begin.append(place)
+                    value.append(m)
+                    before.append(text_[max(0, place - AROUND):place])
+                    place += len(m)
+                    row.append(features(m, before[-1], text_[place:place + AROUND], batch.column(3)[k].as_py(), dictionary_))
             yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(begin, pa.int64()), pa.array(value, pa.string()),
                                    pa.array(before, pa.string()), pa.array(row, pa.list_(pa.float64()))], schema=schema)
 
@@ -144,13 +157,12 @@ def candidates(docs: DataFrame, known: np.ndarray, key: str = "doc_id", text: st
 
 def labelled(found: DataFrame) -> DataFrame:
     """Findings whose label is beyond doubt from their context: an assignment to a word that names a secret, of mixed letters
-    and digits (1); prose, addresses, numbers, and strings named as harmless (0). Others carry no label."""
-    words = "|".join(SECRET_WORDS)
-    said = F.lower("before").rlike(rf"(?:{words})\s*[=:]\s*[\"'`]?$")
+    and digits (1); prose, addresses, numbers, and strings named as harmless (0). Others have a null label."""
+    said = F.lower("before").rlike(rf"{_NAMED}$")
     mixed = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")
     harmless = (~F.col("value").rlike("[0-9]") | F.col("value").rlike(r"^[0-9.+-]+$") | F.col("value").rlike(r"[a-z]\.[a-z]")
                 | F.lower("before").rlike(rf"(?:{'|'.join(HARMLESS_WORDS)})\W*$"))
-    return found.withColumn("label", F.when(said & mixed, 1.0).when(harmless & ~said, 0.0)).where("label is not null")
+    return found.withColumn("label", F.when(said & mixed, 1.0).when(harmless & ~said, 0.0))
 
 
 def train(findings: DataFrame, most: int = TRAIN_FINDINGS):
@@ -161,7 +173,7 @@ def train(findings: DataFrame, most: int = TRAIN_FINDINGS):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    ones = findings.groupBy("value", "label").agg(F.min("features").alias("features"))
+    ones = findings.where("label is not null").groupBy("value", "label").agg(F.min("features").alias("features"))
     parts = [ones.where(F.col("label") == y).orderBy(F.xxhash64("value"), "value").limit(most // 2) for y in (0.0, 1.0)]
     rows = parts[0].unionByName(parts[1]).select("label", array_to_vector("features").alias("features")).persist()
     try:
@@ -177,7 +189,8 @@ def judged(found: DataFrame, forest, threshold: float = THRESHOLD) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     if forest is None:
-        return found.withColumn("probability", F.lit(None).cast("double")).withColumn("secret", F.lit(True)).drop("features")
+        return (labelled(found).withColumn("probability", F.lit(None).cast("double"))
+                .withColumn("secret", F.coalesce(F.col("label") == 1, F.lit(False))).drop("features", "label"))
     rated = forest.transform(found.withColumn("features", array_to_vector("features")))
     return (rated.withColumn("probability", vector_to_array("probability")[1])
             .select(*[c for c in found.columns if c != "features"], "probability", (F.col("probability") >= threshold).alias("secret")))
@@ -198,15 +211,14 @@ def redacted(docs: DataFrame, findings: DataFrame, text: str = "text") -> DataFr
     their task. A secret found once is masked wherever it occurs as a candidate.
     """
     columns = docs.columns
-    form = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}(?![A-Za-z0-9+/_=-])"
     secret = findings.where("secret").select(F.sha2("value", 256).alias("__digest")).distinct()
-    seen = docs.withColumn("__values", F.regexp_extract_all(F.col(text), F.lit(form), F.lit(0)))
+    seen = docs.withColumn("__values", F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)))
     some = F.size(F.coalesce("__values", F.array())) > 0
     with_some = seen.where(some).withColumn("__row", F.sha2(F.col(text), 256))
     values = with_some.select("__row", F.explode(F.array_distinct("__values")).alias("value")).distinct()
     masks = (values.join(secret, F.sha2("value", 256) == F.col("__digest"), "left_semi")
              .groupBy(F.col("__row").alias("__of")).agg(F.collect_set("value").alias("__secret")))
-    gaps: Column = F.split(F.col(text), form, -1)
+    gaps: Column = F.split(F.col(text), CANDIDATE, -1)
     masked = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(
         F.when(F.array_contains("__secret", F.get("__values", i)), F.lit(MASK)), F.get("__values", i), F.lit("")))), "")
     done = with_some.join(masks, with_some["__row"] == masks["__of"], "left")
