@@ -38,7 +38,9 @@ FORMS = {
     "name": rf"(?=[MFSHГ])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[  ]\p{{Lu}}\p{{L}}+(?:[  -]\p{{Lu}}\p{{L}}+)?",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "phone": r"(?<![\p{L}\d+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)"
-             r"|(?<![\p{L}\d.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
+             r"|(?<![\p{L}\d.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])"
+             r"|(?<![\p{L}\d+])\+(?=(?:[ ()/.-]{0,2}\d){7,15}(?![ .-]?\d))\d{1,15}(?:[ ./-]?\(?\d{2,8}\)?){0,6}(?!\d)"
+             r"|(?<![\p{L}\d+.-])(?=(?:[ ()/-]{0,2}\d){10,15}(?![ -]?\d))(?:\(0\d{1,5}\)|0\d{1,5})(?:[ /-]{1,2}\d{2,8}){1,5}(?![\d-])",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\d.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\d-])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",

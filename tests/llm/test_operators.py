@@ -224,6 +224,15 @@ def test_surrogates_are_distinct_and_consistent(spark, no_documents):
     assert out.count() == 0 and out.columns[:len(no_documents.columns)] == no_documents.columns
 
 
+def test_surrogates_of_phone_forms(spark):
+    forms = ["+15551234567", "+49 30 12345678", "+49 170 1234567", "020 7946 0958", "(020) 7946 0958", "0170 1234567", "06 12 34 56 78"]
+    rows = [(k, f"call {f} now") for k, f in enumerate(forms)] + [(90, "on 01-02-2024, 01 02 2024, 0.123456789012")]
+    got = {r.doc_id: (r.entities, r.text) for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[90] == (0, rows[-1][1])
+    for k, t in rows[:-1]:
+        assert got[k][0] == 1 and got[k][1] != t and re.sub(r"\d", "d", got[k][1]) == re.sub(r"\d", "d", t)
+
+
 def test_surrogates_redraw_collisions(spark, monkeypatch):
     rows = [(f"ssn:{k:09d}", "ssn") for k in range(40)]
     old = surrogates._digits
