@@ -279,17 +279,18 @@ def _split(members: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     is also placed with every pivot within twice the radius of that, as a core member there may be linked to it.
     """
     radius = 1 - percent / 100
-    chosen = members.where(F.pmod(F.xxhash64("set", "region"), F.greatest(F.lit(1), F.floor(F.col("total") / FANOUT))) == 0)
-    pivots = chosen.groupBy(F.col("region").alias("__region")).agg(F.collect_list(F.struct("set", "text")).alias("pivots"))
+    drawn = F.pmod(F.xxhash64("set", "region"), F.greatest(F.lit(1), F.floor(F.col("total") / FANOUT))) == 0
+    # Where none is drawn, the smallest member is the pivot, told before the join: every task of a region sees the same ones.
+    pivots = members.groupBy(F.col("region").alias("__region")).agg(
+        F.collect_list(F.when(drawn, F.struct("set", "text"))).alias("drawn"), F.min(F.struct("set", "text")).alias("least"))
+    pivots = pivots.select("__region", F.when(F.size("drawn") > 0, F.col("drawn")).otherwise(F.array("least")).alias("pivots"))
     schema = pa.schema([("of", pa.int64()), ("total", pa.int64()), ("region", pa.int64()), ("set", pa.int64()), ("core", pa.bool_()),
                         ("first", pa.bool_()), ("link", pa.bool_()), ("text", pa.binary())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for region, rows in grouped(batches):
-            names = [p["set"] for p in rows.column("pivots")[0].as_py()] if rows.column("pivots")[0].is_valid else []
-            sets = [p["text"] for p in rows.column("pivots")[0].as_py()] if names else []
-            if not names:  # no pivot fell into the region: it stays as it is
-                names, sets = [rows.column("set")[0].as_py()], [rows.column("text")[0].as_py()]
+            names = [p["set"] for p in rows.column("pivots")[0].as_py()]
+            sets = [p["text"] for p in rows.column("pivots")[0].as_py()]
             for part in rows.to_batches(max_chunksize=512):
                 own = part.column(part.schema.get_field_index("set")).to_numpy()
                 data = part.column(part.schema.get_field_index("text"))
@@ -310,7 +311,7 @@ def _split(members: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
                                        pa.array(names_[p] == own[x], pa.bool_()), pa.array(near[p, x], pa.bool_()),
                                        data.take(pa.array(x))], schema=schema)
 
-    placed = cut(members.join(pivots, members["region"] == pivots["__region"], "left").select("region", "total", "set", "core", "text", "pivots")
+    placed = cut(members.join(pivots, members["region"] == pivots["__region"]).select("region", "total", "set", "core", "text", "pivots")
                  .mapInArrow(place, "of long, total long, region long, set long, core boolean, first boolean, link boolean, text binary"),
                  "regions")
     heads = placed.where("first").select(F.col("region").alias("__r"), F.col("set").alias("head")).dropDuplicates(["__r"])

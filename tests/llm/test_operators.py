@@ -68,6 +68,14 @@ def test_jaccard_join_of_a_dense_group_splits_regions(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == components
 
 
+def test_jaccard_split_without_a_drawn_pivot_has_one_for_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FANOUT", 1e-12)
+    rows = [(1, 40, k + 1, True, bytearray(edited(prose(3, 60), k, 0.02).encode())) for k in range(40)]
+    members = spark.createDataFrame(rows, "region long, total long, set long, core boolean, text binary").repartition(4)
+    _, placed = jaccard._split(members, 4, 85)
+    assert placed.select("region").distinct().count() == 1 and placed.count() == 40
+
+
 def test_jaccard_join_of_nothing(no_documents):
     assert jaccard.join_components(no_documents).count() == 0
 
