@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import archives, bytepairs, chats, jaccard, languages, mixing, neighbours, quality, secrets, surrogates
+from quarrylens.llm import (archives, bytepairs, chats, jaccard, languages, mixing, neighbours, quality, ranking, secrets,
+                            surrogates)
 from quarrylens.llm.common import cut, scratch
 from quarrylens.plans.registry import Query, read
 
@@ -140,6 +141,30 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, compo
 FROM embeddings e JOIN c ON c.id = e.vec_id""")
 
 
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+#: Lower-cases A-Z only; DuckDB's lower() would change other letters too.
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+QUERIES["op12_ranked_search"] = Query(ranked_search, rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all({_LOW.format("text")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS words FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(words))::BIGINT AS length FROM w WHERE len(words) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM w) GROUP BY r, term),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term, docs),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, term, count(*) AS times FROM (SELECT item_id, text,
+    unnest(regexp_extract_all({_LOW.format("text")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM i) GROUP BY ALL),
+h AS (SELECT item_id, text, doc_id, r, sum(times * weight * ((1000000000 * tf) //
+    (1000 * tf + 8 * (25 + (75 * len(words) * docs) // length))))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN f USING (term) JOIN w USING (r), s GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM h WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
