@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import (archives, bytepairs, chats, jaccard, languages, mixing, neighbours, quality, ranking, secrets,
-                            surrogates)
+from quarrylens.llm import (archives, bytepairs, chats, contamination, jaccard, languages, mixing, neighbours, quality,
+                            ranking, secrets, surrogates)
 from quarrylens.llm.common import cut, scratch
 from quarrylens.plans.registry import Query, read
 
@@ -165,6 +165,31 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DES
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""")
 
 
+def contamination_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES["op13_contamination"] = Query(contamination_join, rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all({_LOW.format("text")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOW.format("text")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS words FROM benchmark),
+i AS (SELECT item_id, words, least(len(words), 10) AS size FROM b WHERE len(words) > 0),
+w AS (SELECT DISTINCT item_id, size, array_to_string(words[k:k + size - 1], ' ') AS said
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS k FROM i)),
+p AS (SELECT r, size, k, array_to_string(words[k:k + size - 1], ' ') AS said
+  FROM (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS k
+        FROM d, (SELECT DISTINCT size FROM i) WHERE len(words) >= size)),
+h AS (SELECT p.r, p.k, p.size, item_id FROM p JOIN w USING (size, said)),
+c AS (SELECT r, count(DISTINCT place)::BIGINT AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS place FROM h) GROUP BY r),
+g AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN g USING (r)""")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
