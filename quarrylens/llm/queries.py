@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import (archives, bytepairs, chats, contamination, jaccard, languages, mixing, neighbours, quality,
-                            ranking, secrets, surrogates)
+                            ranking, repair, secrets, surrogates)
 from quarrylens.llm.common import cut, scratch
 from quarrylens.plans.registry import Query, read
 
@@ -141,6 +141,65 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, compo
 FROM embeddings e JOIN c ON c.id = e.vec_id""")
 
 
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(repair.damaged(read(spark, folder, "conversations")), gone="gone")
+
+
+def _way(way: str, cost: str, edit: str, line: str | None = None) -> str:
+    """SQL: a way (cost, audit, lines) that goes on with an edit."""
+    said = f"list_append({way}.said, {line})" if line else f"{way}.said"
+    return f"{{'cost': {way}.cost + {cost}, 'audit': {way}.audit || '{edit}', 'said': {said}}}"
+
+
+def _best(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_NO_WAY = "{'cost': 1000000000::BIGINT, 'audit': '', 'said': []::VARCHAR[]}"
+_PUT_U = _best("u", _way("e", "3", "I", "'user:'"), _way("s", "3", "I", "'user:'"), _way("a", "3", "I", "'user:'"))
+_PUT_A = _best("a", _way("pu", "3", "I", "'assistant:'"))
+
+
+def _goes(role: str, before: str) -> str:
+    """SQL: the way to a state over a kept or reroled row, from the state before."""
+    name = {"s": "system", "u": "user", "a": "assistant"}[role]
+    kept = f"CASE WHEN stays AND c = '{role}' THEN {_way(before, 'more', 'K', 'line')} ELSE {_NO_WAY} END"
+    given = f"CASE WHEN stays THEN {_way(before, '3 + more', 'R', chr(39) + name + ':' + chr(39) + ' || text')} ELSE {_NO_WAY} END"
+    return kept if role == "s" else f"{kept}, {given}"
+
+
+QUERIES["op11_conversation_repair"] = Query(conversation_repair, rf"""
+WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations),
+y AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(id) * 8),
+    lambda k: ((ascii(substr(id, (k // 8 + 1)::BIGINT, 1)) >> (k % 8)::INTEGER) & 1)::BIGINT)),
+    lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))), 4294967295) % 20 AS kind FROM x),
+z AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT * FROM y UNION ALL SELECT * FROM y WHERE kind = 3) WHERE kind <> 0),
+r AS (SELECT *, left(role, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM z),
+f AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE 'none' END AS fault FROM r),
+n AS (SELECT conv_id, i, c, role || ':' || text AS line, text, fault NOT IN ('blank', 'duplicate') AS stays,
+    CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM f),
+g AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]}} AS e, {_NO_WAY} AS s, {_NO_WAY} AS u,
+    {_NO_WAY} AS a FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {_way("e", "4", "D")}, {_best(_way("s", "4", "D"), _goes("s", "e"))},
+    {_best(_way("pu", "4", "D"), _goes("u", "e"), _goes("u", "s"), _goes("u", "pa"))}, {_best(_way("pa", "4", "D"), _goes("a", "pu"))}
+  FROM (SELECT *, {_PUT_A} AS pa FROM (SELECT n.*, e, s, u, a, {_PUT_U} AS pu FROM g JOIN n ON n.conv_id IS NOT DISTINCT FROM g.conv_id AND n.i = g.i + 1))),
+l AS (SELECT conv_id, {_best("e", "pa")} AS way FROM (SELECT *, {_PUT_A} AS pa FROM (SELECT *, {_PUT_U} AS pu FROM g
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1))),
+k AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, way.cost AS cost, way.audit AS audit, sha256(array_to_string(way.said, chr(10))) AS repaired_sha256
+FROM l LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM l.conv_id""")
+
+
 def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
