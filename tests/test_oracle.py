@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from conftest import FOLDER
+from folders import FOLDER
 
 from quarrylens.plans import QUERIES
 
