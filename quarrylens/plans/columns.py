@@ -173,10 +173,72 @@ def _labelled(spark: SparkSession, folder: str) -> DataFrame:
             .withColumn("quality", F.col("quality").cast("string")))
 
 
+def _fit_sql(rows: str, features: int) -> str:
+    """SQL: a logistic model of ``y`` on standardised ``f0`` (and ``f1``) of the training rows, by twelve Newton steps, and its scores.
+
+    ``rows`` selects ``name`` (the class), ``y`` (0 or 1), the features and ``key``; of each class the quarter of the smallest
+    keys is held out.
+    """
+    at = range(features)
+    terms = ["1.0", *(f"x{i}" for i in at)]
+    size = features + 1
+    logit = " + ".join(f"b{i} * {t}" for i, t in enumerate(terms))
+    sums = ", ".join([f"sum((p - y) * {t}) AS g{i}" for i, t in enumerate(terms)] + [
+        f"sum(p * (1 - p) * {a} * {b}) AS h{i}{j}" for i, a in enumerate(terms) for j, b in enumerate(terms) if i <= j])
+
+    def h(i: int, j: int) -> str:
+        i, j = min(i, j), max(i, j)
+        return f"(h{i}{j} + 1)" if i == j and i else f"h{i}{j}"
+
+    def minor(rows_: list[int], columns: list[int]) -> str:
+        if not rows_:
+            return "1"
+        first, rest = rows_[0], rows_[1:]
+        parts = [f"{'-' if k % 2 else '+'} {h(first, c)} * ({minor(rest, [x for x in columns if x != c])})" for k, c in enumerate(columns)]
+        return " ".join(parts)
+
+    every = list(range(size))
+    gradient = [f"(g{i} + b{i})" if i else "g0" for i in every]
+    steps = ", ".join(f"b{i} - (" + " + ".join(
+        f"({'-' if (i + j) % 2 else ''}1) * ({minor([x for x in every if x != j], [x for x in every if x != i])}) * {gradient[j]}" for j in every)
+        + f") / ({minor(every, every)}) AS b{i}" for i in every)
+    betas = ", ".join(f"b{i}" for i in every)
+    return f"""WITH RECURSIVE r AS ({rows}),
+d AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ('0x' || substr(md5(key), 1, 15))::BIGINT) <= ceil(count(*) OVER (PARTITION BY name) / 4)
+  AS held FROM r),
+m AS (SELECT {", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}" for i in at)} FROM d WHERE NOT held),
+t AS (SELECT name, y, held, {", ".join(f"(f{i} - m{i}) / s{i} AS x{i}" for i in at)} FROM d, m),
+b AS (SELECT 0 AS step, {", ".join(f"0.0::DOUBLE AS b{i}" for i in every)} UNION ALL SELECT step + 1, {steps}
+  FROM (SELECT step, {betas}, {sums} FROM (SELECT b.*, t.*, 1 / (1 + exp(-({logit}))) AS p FROM b, t WHERE NOT held AND step < 12) GROUP BY step, {betas})),
+v AS (SELECT name, y, held, ({logit} > 0)::INT AS said FROM t, (SELECT * FROM b WHERE step = 12)),
+k AS (SELECT y, count(*) AS here, count(*) FILTER (said = y) AS hit, (SELECT count(*) FROM v AS o WHERE o.held AND o.said = v.y) AS told
+  FROM v WHERE held GROUP BY y),
+w AS (SELECT sum(here) AS test_rows, sum(hit) / sum(here) AS accuracy, sum(here * CASE WHEN told > 0 THEN hit / told ELSE 0 END) / sum(here) AS precision,
+    sum(hit) / sum(here) AS recall, sum(here * CASE WHEN hit > 0 THEN 2.0 * hit / (told + here) ELSE 0 END) / sum(here) AS f1 FROM k),
+c AS (SELECT count(*) AS rows, count(*) FILTER (NOT held) AS train_rows FROM d),
+z AS (SELECT max(n) / sum(n) AS baseline FROM (SELECT count(*) AS n FROM d GROUP BY name))"""
+
+
+_QUALITY_SQL = _fit_sql("""SELECT quality::VARCHAR AS name, quality AS y, n_chars::DOUBLE AS f0, doc_id::VARCHAR AS key
+  FROM labels JOIN documents USING (doc_id)""", 1)
+_STATUS_SQL = _fit_sql("""SELECT l_linestatus AS name, (l_linestatus = 'O')::INT AS y, l_quantity::DOUBLE AS f0, l_tax::DOUBLE AS f1,
+  l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR AS key FROM lineitem""", 2)
+
 QUERIES["logistic_classification"] = Query(
-    lambda spark, folder: rounded(models.train_classifier(_labelled(spark, folder), ["n_chars"], "quality").select(
+    lambda spark, folder: rounded(models.train_classifier(_labelled(spark, folder), ["n_chars"], "quality", keys=["doc_id"]).select(
         "model", "target", "classes", "rows", "train_rows", "test_rows", "accuracy", "precision", "recall", "f1",
-        "strongest_feature", "baseline_accuracy", "beats_baseline")))
+        "strongest_feature", "baseline_accuracy", "beats_baseline", F.round(F.col("feature_importance")["n_chars"], 3).alias("importance"))),
+    f"""{_QUALITY_SQL}
+SELECT 'logistic_regression' AS model, 'quality' AS target, ['0', '1'] AS classes, rows, train_rows, test_rows::BIGINT AS test_rows,
+  round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+  'n_chars' AS strongest_feature, round(baseline, 6) AS baseline_accuracy, accuracy > baseline AS beats_baseline,
+  (SELECT round(abs(b1), 3) FROM b WHERE step = 12) AS importance FROM w, c, z""")
+
+QUERIES["classifier_parts"] = Query(
+    on("lineitem", lambda df: models.train_classifier(df, ["l_quantity", "l_tax"], "l_returnflag",
+                                                      keys=["l_orderkey", "l_linenumber"]).select("classes", "rows", "train_rows", "test_rows")),
+    """SELECT list(c ORDER BY c) AS classes, sum(n)::BIGINT AS rows, sum(n - ceil(n / 4))::BIGINT AS train_rows, sum(ceil(n / 4))::BIGINT AS test_rows
+FROM (SELECT l_returnflag AS c, count(*) AS n FROM lineitem GROUP BY 1)""")
 
 QUERIES["logistic_baseline"] = Query(
     lambda spark, folder: rounded(models.train_classifier(
@@ -187,8 +249,12 @@ QUERIES["logistic_baseline"] = Query(
 FROM labels JOIN documents USING (doc_id)""")
 
 QUERIES["classification_report"] = Query(
-    on("lineitem", lambda df: models.classification_report(df, "l_linestatus", ["l_quantity", "l_tax"]).select(
-        "target", "rows", "train_rows", "test_rows", "accuracy", "baseline_accuracy", "verdict")))
+    on("lineitem", lambda df: models.classification_report(df, "l_linestatus", ["l_quantity", "l_tax"], keys=["l_orderkey", "l_linenumber"]).select(
+        "target", "rows", "train_rows", "test_rows", "accuracy", "baseline_accuracy", "verdict")),
+    f"""{_STATUS_SQL}
+SELECT 'l_linestatus' AS target, rows, train_rows, test_rows::BIGINT AS test_rows, round(accuracy, 4) AS accuracy,
+  round(baseline, 4) AS baseline_accuracy, CASE WHEN accuracy > baseline THEN 'ahead of the majority-class baseline'
+    ELSE 'at or below the majority-class baseline' END AS verdict FROM w, c, z""")
 
 QUERIES["feature_choice"] = Query(
     on("lineitem", lambda df: df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in models.choose_features(
