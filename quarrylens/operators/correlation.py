@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.errors import AnalysisError
 from quarrylens.functions.bands import LEAKAGE, STRONG, direction, strength
 from quarrylens.functions.kinds import numeric_columns, require_columns, require_numeric
 from quarrylens.functions.values import finite_column
-from quarrylens.scale.cells import CELL, Summary, cut_points, ranges, running_before, with_cell
+from quarrylens.scale.cells import COLUMN, VALUE, Summary, numbers_long, ranges
+from quarrylens.scale.even import even_cuts, running_before
+from quarrylens.scale.inversions import equal_pairs, inversions, opposed_cells
 from quarrylens.scale.longform import one_row_per
 from quarrylens.scale.lookups import attach
 
@@ -68,109 +73,158 @@ def _complete_pearson(views: DataFrame, columns: list[str], pairs: list[tuple[in
     return sums.select("left", "right", "n", r.alias("r"))
 
 
-class _PairTables:
-    """Value-pair counts of every column pair, and what ranks need from them."""
+class _Contexts:
+    """Sets of complete rows that pairs of columns share, and the columns that are ranked in each.
 
-    def __init__(self, df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> None:
-        self.columns, self.pairs = columns, pairs
-        views = _views(df, columns)
-        self.rows = views.count()
-        cuts = cut_points(df, columns)
-        empty = [0.0] * len(next(iter(cuts.values())))
-        self.x_cuts = {p: cuts.get(i, empty) for p, (i, _) in enumerate(pairs)}
-        self.y_cuts = {p: cuts.get(j, empty) for p, (_, j) in enumerate(pairs)}
-        stacked = F.stack(F.lit(len(pairs)), *[
-            c for p, (i, j) in enumerate(pairs) for c in (F.lit(p), F.col(f"__x{i}"), F.col(f"__x{j}"))])
-        self.counts = (views.select(stacked.alias("pair", "x", "y"))
-                       .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-                       .groupBy("pair", "x", "y").agg(F.count("*").alias("c")))
-
-    def margin(self, side: str) -> DataFrame:
-        return self.counts.groupBy("pair", side).agg(F.sum("c").alias("c"))
+    Columns with equal gaps have the same rows, and a pair whose one side has a value wherever the other has one has the rows of
+    that other; so a table without gaps is one context, in which every column is ranked once for all its pairs.
+    """
 
-    def named(self, table: DataFrame) -> DataFrame:
-        left = F.array(*[F.lit(self.columns[i]) for i, _ in self.pairs])
-        right = F.array(*[F.lit(self.columns[j]) for _, j in self.pairs])
-        return table.select(left[F.col("pair")].alias("left"), right[F.col("pair")].alias("right"), "n", "r")
+    def __init__(self, views: DataFrame, pairs: list[tuple[int, int]]) -> None:
+        names = views.columns
+        width = len(names)
+        there = [F.col(c).isNotNull() for c in names]
+        row = views.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(names)], *[
+            F.count_if(there[i] & there[j]).alias(f"n{i}_{j}") for i, j in pairs]).first()
+        alone = [row[f"n{i}"] for i in range(width)]
+        self.n = {(i, j): row[f"n{i}_{j}"] for i, j in pairs}
+
+        def both(i: int, j: int) -> int:
+            return alone[i] if i == j else self.n[min(i, j), max(i, j)]
+
+        same = [next(a for a in range(width) if (a == i or (min(a, i), max(a, i)) in self.n) and both(a, i) == alone[a] == alone[i])
+                for i in range(width)]
+        held: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for i, j in pairs:
+            key = (same[i],) if both(i, j) == alone[i] else (same[j],) if both(i, j) == alone[j] else tuple(sorted((same[i], same[j])))
+            held.setdefault(key, []).append((i, j))
+        self.pairs = list(held.values())
+        self.columns = [sorted({c for pair in some for c in pair}) for some in self.pairs]
+        self.rows = [self.n[some[0]] for some in self.pairs]
+        self.conditions = [F.lit(True) if not key else there[key[0]] & there[key[-1]] for key in held]
 
 
 def _spearman(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    """Correlation of average ranks.
+    """Correlation of average ranks: every column of a context is ranked once, and ranks of one row meet again by its digest.
 
-    Ranks are attached to one side only. The other side is summed per value first, so the final
-    join meets distinct values with distinct values and no key is hot.
+    The rows shuffled are one for each row, column and context. Equal rows have equal ranks, so they may share a digest.
     """
-    tables = _PairTables(df, columns, pairs)
-    mx, my = tables.margin("x"), tables.margin("y")
-    # One row per column pair: bounded by the schema.
-    sizes = F.broadcast(mx.groupBy("pair").agg(F.sum("c").alias("n")))
-
-    def centred(margin: DataFrame, side: str, cuts: dict, name: str) -> DataFrame:
-        before = running_before(margin, "pair", side, {"c": "before"}, cuts).join(sizes, "pair")
-        rank = F.col("before") + (F.col("c") + 1) / 2 - (F.col("n") + 1) / 2
-        return before.select("pair", side, F.col("c").alias(f"c{side}"), rank.alias(name))
-
-    rx = centred(mx, "x", tables.x_cuts, "rx")
-    ry = centred(my, "y", tables.y_cuts, "ry")
-    weighted = attach(tables.counts, ry, ["pair", "y"], "cy", tables.rows, ["ry"])
-    per_x = weighted.groupBy("pair", "x").agg(F.sum(F.col("c") * F.col("ry")).alias("sy"))
-    left = per_x.join(rx, ["pair", "x"]).groupBy("pair").agg(
-        F.sum(F.col("rx") * F.col("sy")).alias("sxy"), F.sum(F.col("cx") * F.col("rx") * F.col("rx")).alias("sxx"),
-        F.sum("cx").alias("n"))
-    right = ry.groupBy("pair").agg(F.sum(F.col("cy") * F.col("ry") * F.col("ry")).alias("syy"))
-    r = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
-    return tables.named(left.join(F.broadcast(right), "pair").select("pair", "n", r.alias("r")))
+    views = _views(df, columns)
+    contexts = _Contexts(views, pairs)
+    slots = [(k, c) for k, held in enumerate(contexts.columns) for c in held]
+    entries = views.select(F.xxhash64(*views.columns).alias("a"), F.xxhash64(*views.columns, F.lit(1)).alias("b"), F.inline(F.array(*[
+        F.struct(F.lit(s).alias("slot"), F.when(contexts.conditions[k], F.col(f"__x{c}")).alias("value")) for s, (k, c) in enumerate(slots)])))
+    entries = entries.where(F.col("value").isNotNull())
+    sizes = F.array(*[F.lit(contexts.rows[k]) for k, _ in slots])[F.col("slot")]
+    counts = entries.groupBy("slot", "value").agg(F.count("*").alias("c"))
+    ranked = running_before(counts, "slot", "value", {"c": "before"}).select(
+        "slot", "value", "c", (F.col("before") + (F.col("c") + 1) / 2 - (sizes + 1) / 2).alias("rank"))
+    total = sum(contexts.rows[k] for k, _ in slots)
+    met = attach(entries, ranked, ["slot", "value"], "c", total, ["rank"])
+    context = F.array(*[F.lit(k) for k, _ in slots])[F.col("slot")]
+    column = F.array(*[F.lit(c) for _, c in slots])[F.col("slot")]
+    many = F.array(*[F.lit(len(held)) for held in contexts.columns])[F.col("context")]
+    rows = met.groupBy(context.alias("context"), "a", "b").agg(F.count("*").alias("entries"), *[
+        F.max(F.when(column == i, F.col("rank"))).alias(f"r{i}") for i in range(len(columns))])
+    copies = F.col("entries") / many
+
+    def total_of(k: int, i: int, j: int) -> Column:
+        return F.sum(F.when(F.col("context") == k, copies * F.col(f"r{i}") * F.col(f"r{j}")))
+
+    sums = rows.agg(*[total_of(k, i, j).alias(f"p{i}_{j}") for k, held in enumerate(contexts.pairs) for i, j in held], *[
+        total_of(k, i, i).alias(f"q{k}_{i}") for k, i in slots])
+    return one_row_per(sums, [
+        {"left": F.lit(columns[i]), "right": F.lit(columns[j]), "n": F.lit(contexts.n[i, j]).cast("bigint"),
+         "r": F.try_divide(F.col(f"p{i}_{j}"), F.sqrt(F.col(f"q{k}_{i}") * F.col(f"q{k}_{j}")))}
+        for k, held in enumerate(contexts.pairs) for i, j in held])
+
+
+#: Kendall: rows that a cell should hold, and how many cells a column has at most.
+CELL_ROWS, MOST_CELLS = 1 << 16, 2048
 
 
 def _kendall(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    """Tau-b from exact discordant counts in O(n log n) rows.
-
-    Two rows with different y first differ at one binary digit of y's order number. So for every
-    digit, rows with equal higher digits are compared by x: a row with digit 0 is discordant with
-    every row of smaller x and digit 1. Within one x-cell that is a running sum; across cells only
-    cell totals are needed.
+    """Tau-b from exact discordant counts; every column is cut into cells once, for all its pairs.
+
+    Two rows of a pair (x, y) are either in different cells of both columns, which a table of counts by two cells tells; or in
+    one cell of x, or in one cell of y and different cells of x. So all rows are dealt once by the cells of each column, with
+    their other columns, and opposite pairs are counted inside a cell by its task. A cell of a single value holds no opposite
+    pair: it is told by the table of counts, and its rows, which may be most of the table, are not shuffled for that column.
+    Ties are counted beside. A cell of n rows needs memory in proportion to n: that is ``CELL_ROWS`` up to ``MOST_CELLS`` cells,
+    and a 2,048th of the rows beyond.
     """
-    tables = _PairTables(df, columns, pairs)
-    mx, my = tables.margin("x"), tables.margin("y")
-
-    def choose_two(c: str) -> Column:
-        n = F.col(c).cast("double")
-        return F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0))
-
-    codes = running_before(my.withColumn("one", F.lit(1).cast("bigint")), "pair", "y", {"one": "code"}, tables.y_cuts)
-    codes = codes.select("pair", "y", F.col("c").alias("cy"), "code")
-    # One row per column pair: bounded by the schema.
-    digits = F.broadcast(codes.groupBy("pair").agg(
-        F.greatest(F.ceil(F.log2(F.max("code") + 1.0)), F.lit(1)).cast("int").alias("digits")))
-    coded = attach(tables.counts, codes, ["pair", "y"], "cy", tables.rows, ["code"]).join(digits, "pair")
-    level = F.col("level")
-    spread = (coded.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)))
-              .select("pair", "x", "level", F.call_function("shiftright", F.col("code"), level + 1).alias("prefix"),
-                      F.col("c"), F.call_function("shiftright", F.col("code"), level).bitwiseAND(F.lit(1)).alias("digit"))
-              .groupBy("pair", "level", "prefix", "x")
-              .agg(F.sum(F.col("c") * F.col("digit")).cast("double").alias("ones"),
-                   F.sum(F.col("c") * (1 - F.col("digit"))).cast("double").alias("zeros")))
-    group = ["pair", "level", "prefix"]
-    celled = with_cell(spread, "pair", "x", tables.x_cuts)
-
-    def discordant(table: DataFrame, window) -> DataFrame:
-        ahead = F.coalesce(F.sum("ones").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        return table.withColumn("q", F.col("zeros") * ahead).groupBy("pair").agg(F.sum("q").alias("q"))
-
-    within = discordant(celled, Window.partitionBy(*group, CELL).orderBy("x"))
-    totals = celled.groupBy(*group, CELL).agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    across = discordant(totals, Window.partitionBy(*group).orderBy(CELL))
-    q = within.unionByName(across).groupBy("pair").agg(F.sum("q").alias("q"))
-    ties_x = mx.groupBy("pair").agg(F.sum("c").alias("n"), choose_two("c").alias("n1"))
-    ties_y = my.groupBy("pair").agg(choose_two("c").alias("n2"))
-    ties_xy = tables.counts.groupBy("pair").agg(choose_two("c").alias("n3"))
-    joined = ties_x
-    for small in (ties_y, ties_xy, q):
-        joined = joined.join(F.broadcast(small), "pair")
+    views = _views(df, columns)
+    long = numbers_long(df, columns)
+    summary = ranges(df, columns)
+    wanted = min(max(max((s.count for s in summary.values()), default=0) // CELL_ROWS, 64), MOST_CELLS)
+    cuts = even_cuts(long, COLUMN, VALUE, cells=wanted, apart=True, most_rows=1 << 62)
+    points = [cuts.get(i, []) for i in range(len(columns))]
+    depth = max(map(len, points)).bit_length()
+    padded = [[*p, *[math.inf] * ((1 << depth) - 1 - len(p))] for p in points]
+    single = [[False, *[b == math.nextafter(a, math.inf) for a, b in zip(p, [*p[1:], None]) if b is not None], False] for p in points]
+    sent = df.sparkSession.createDataFrame([(0, padded, [s or [False] for s in single])],
+                                           "__all int, cuts array<array<double>>, single array<array<boolean>>")
+    wide = views.withColumn("__all", F.lit(0)).join(F.broadcast(sent), "__all")
+    for i in range(len(columns)):
+        wide = wide.withColumn(f"c{i}", F.lit(0))
+        for level in reversed(range(depth)):
+            step = 1 << level
+            reached = F.coalesce(F.col(f"__x{i}") >= F.col("cuts")[i][F.col(f"c{i}") + (step - 1)], F.lit(False))
+            wide = wide.withColumn(f"c{i}", F.col(f"c{i}") + F.when(reached, F.lit(step)).otherwise(F.lit(0)))
+    wide = wide.select(*views.columns, *[f"c{i}" for i in range(len(columns))],
+                       *[F.coalesce(F.get(F.col("single")[i], F.col(f"c{i}")), F.lit(False)).alias(f"s{i}") for i in range(len(columns))])
+
+    def both(i: int, j: int) -> Column:
+        return F.col(f"__x{i}").isNotNull() & F.col(f"__x{j}").isNotNull()
+
+    tables = (wide.select(F.inline(F.array(*[F.struct(
+        F.when(both(i, j), F.lit(p)).alias("pair"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y"), F.col(f"s{i}").alias("sx"),
+        F.col(f"s{j}").alias("sy")) for p, (i, j) in enumerate(pairs)])))
+        .where(F.col("pair").isNotNull()).groupBy("pair", "x", "y", "sx", "sy").agg(F.count("*").alias("n")))
+    found = "pair int, n bigint, opposed double, n1 double, n2 double, n3 double"
+
+    def between(held: pd.DataFrame) -> pd.DataFrame:
+        """Rows in different cells of both columns, and ties that single values make: one pair of columns."""
+        grid = np.zeros((held["x"].max() + 1, held["y"].max() + 1), np.int64)
+        n = held["n"].to_numpy()
+        grid[held["x"], held["y"]] = n
+
+        def ties(some: pd.Series) -> float:
+            m = some.to_numpy(float)
+            return float((m * (m - 1) / 2).sum())
+
+        return pd.DataFrame([{"pair": held["pair"].iloc[0], "n": int(n.sum()), "opposed": opposed_cells(grid),
+                              "n1": ties(held[held["sx"]].groupby("x")["n"].sum()), "n2": ties(held[held["sy"]].groupby("y")["n"].sum()),
+                              "n3": ties(held[held["sx"] & held["sy"]]["n"])}])
+
+    dealt = wide.select("*", F.inline(F.array(*[F.struct(
+        F.when(F.col(f"__x{i}").isNotNull() & ~F.col(f"s{i}"), F.lit(i)).alias("column"), F.col(f"c{i}").alias("cell")) for i in range(len(columns))])))
+    dealt = dealt.where(F.col("column").isNotNull())
+
+    def within(held: pd.DataFrame) -> pd.DataFrame:
+        """The rows of one cell of a column: its pairs with every other column."""
+        c, rows = int(held["column"].iloc[0]), []
+        for p, (i, j) in enumerate(pairs):
+            if c not in (i, j):
+                continue
+            other = j if c == i else i
+            some = held[held[f"__x{other}"].notna()]
+            own, there = some[f"__x{c}"].to_numpy(), some[f"__x{other}"].to_numpy()
+            if c == i:
+                rows.append((p, 0, float(inversions(own, there)), equal_pairs(own), 0.0, equal_pairs(own, there)))
+            else:
+                alone = some[f"s{other}"].to_numpy()
+                rows.append((p, 0, float(inversions(some[f"c{other}"].to_numpy(), own)), 0.0, equal_pairs(own), equal_pairs(own[alone], there[alone])))
+        return pd.DataFrame(rows, columns=["pair", "n", "opposed", "n1", "n2", "n3"])
+
+    parts = (tables.groupBy("pair").applyInPandas(between, found)
+             .unionByName(dealt.groupBy("column", "cell").applyInPandas(within, found)))
+    sums = parts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "opposed", "n1", "n2", "n3")])
     n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
-    score = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("q")
+    score = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("opposed")
     tau = F.try_divide(score, F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2"))))
-    return tables.named(joined.select("pair", "n", tau.alias("r")))
+    left, right = (F.array(*[F.lit(columns[pair[side]]) for pair in pairs])[F.col("pair")] for side in (0, 1))
+    return sums.select(left.alias("left"), right.alias("right"), "n", tau.alias("r"))
 
 
 _COMPUTE = {"pearson": _pearson, "spearman": _spearman, "kendall": _kendall}

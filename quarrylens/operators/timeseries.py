@@ -9,7 +9,7 @@ from quarrylens.errors import AnalysisError
 from quarrylens.functions.bands import movement
 from quarrylens.functions.kinds import DATETIME, column_kind, first_datetime, require_kind, require_numeric
 from quarrylens.functions.values import finite_column
-from quarrylens.scale.cells import cut_points, running_before
+from quarrylens.scale.even import running_before
 
 MIN_TREND_ROWS, MIN_FORECAST_ROWS, FEW_ROWS, PERIODS = 3, 4, 20, 3
 # Fixed value: proleptic ordinal of 1970-01-01, so that slopes and intercepts count days from year 1.
@@ -46,16 +46,16 @@ def daily_mean(df: DataFrame, metric: str, time: str | None = None, limit: int |
     return rows.select(F.col("day").alias("date"), F.col("y").alias("value"))
 
 
-def _fit(points: DataFrame, x: str, origin: float) -> DataFrame:
-    """Least squares of y on ``x - origin`` in one aggregate; constant x gives nulls, constant y r2 = 0."""
+def _fit(points: DataFrame, x: str, origin: float, *more: Column) -> DataFrame:
+    """Least squares of y on ``x - origin`` in one aggregate, with ``more`` figures; constant x gives nulls, constant y r2 = 0."""
     shifted = F.col(x) - F.lit(origin)
     slope = F.try_divide(F.covar_pop("y", shifted), F.var_pop(shifted))
     r = F.try_divide(F.covar_pop("y", shifted), F.stddev_pop("y") * F.stddev_pop(shifted))
     row = points.agg(slope.alias("slope"), F.avg("y").alias("my"), F.avg(shifted).alias("mx"),
-                     r.alias("r"), F.count("*").alias("observations"), F.var_pop("y").alias("spread"))
+                     r.alias("r"), F.count("*").alias("observations"), F.var_pop("y").alias("spread"), *more)
     return row.select("slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("at_origin"),
                       F.when(F.col("spread") == 0, F.lit(0.0)).otherwise(F.col("r") * F.col("r")).alias("fit_r2"),
-                      "observations")
+                      "observations", *row.columns[6:])
 
 
 def trend(df: DataFrame, metric: str, time: str | None = None) -> DataFrame:
@@ -129,15 +129,18 @@ def positional_forecast(df: DataFrame, metric: str, order_by: str, periods: int
     rows = (df.select(F.lit(0).alias("key"), _order_value(df, order_by).alias("at"), finite_column(df, metric).alias("y"),
                       F.lit(1).cast("bigint").alias("one"))
             .where(F.col("y").isNotNull() & F.col("at").isNotNull()).withColumn("near", F.col("at").cast("double")))
-    repeated = rows.groupBy("at").count().where("count > 1")
-    if not repeated.isEmpty():
+    # Equal values meet in one cell, where the rows are ordered anyway.
+    placed = running_before(rows, "key", "near", {"one": "x"}, order="at", equal="equal")
+    line = _fit(placed, "x", 0, F.count_if("equal").alias("repeated")).first()
+    if line["repeated"]:
         raise AnalysisError(f"{order_by} has equal values, so it gives no order of rows")
-    placed = running_before(rows, "key", "near", {"one": "x"}, cut_points(rows, ["near"]), order="at")
-    n = rows.count()
+    n = line["observations"]
     if n < MIN_FORECAST_ROWS:
         raise AnalysisError(f"metric: {n} ordered values, at least {MIN_FORECAST_ROWS} are needed")
+    figures = df.sparkSession.createDataFrame([(line["slope"], line["at_origin"], line["fit_r2"], n)],
+                                              "slope double, at_origin double, fit_r2 double, observations bigint")
     ahead = F.col("observations") - 1 + F.col("period")
-    return (_fit(placed, "x", 0).withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(periods))))
+    return (figures.withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(periods))))
             .select("period", ahead.cast("string").alias("label"),
                     (F.col("at_origin") + F.col("slope") * ahead).alias("forecast"), "slope",
                     F.col("at_origin").alias("intercept"), "fit_r2", movement(F.col("slope")).alias("direction"),

@@ -185,7 +185,8 @@ def spearman_sql(source: str, columns) -> str:
 
 
 QUERIES["correlation_spearman"] = Query(
-    on("lineitem", lambda df: rounded(correlation.pair_table(df, list(_FOUR), "spearman"))), spearman_sql("lineitem", _FOUR))
+    on("lineitem", lambda df: rounded(correlation.pair_table(df, list(LINEITEM_NUMBERS), "spearman"))),
+    spearman_sql("lineitem", LINEITEM_NUMBERS))
 
 QUERIES["correlation_spearman_gaps"] = Query(
     on("events", lambda df: rounded(correlation.pair_table(
@@ -197,10 +198,20 @@ QUERIES["correlation_spearman_gaps"] = Query(
 _KENDALL = """SELECT '{a}' AS "left", '{b}' AS "right", (SELECT count(*) FROM {t}) AS n,
   round(sum(sign(l.{a} - r.{a}) * sign(l.{b} - r.{b})) /
     sqrt(sum(abs(sign(l.{a} - r.{a}))) * sum(abs(sign(l.{b} - r.{b})))), 6) AS r FROM {t} l, {t} r"""
-QUERIES["correlation_kendall"] = Query(
+QUERIES["correlation_kendall_supplier"] = Query(
     on("supplier", lambda df: rounded(correlation.pair_table(df, ["s_nationkey", "s_acctbal"], "kendall"))),
     _KENDALL.format(a="s_nationkey", b="s_acctbal", t="supplier"))
 
+_FEW = ("l_linenumber", "l_quantity", "l_discount", "l_tax")
+#: Columns of few values: the pairs of values are compared, each with its count.
+QUERIES["correlation_kendall"] = Query(
+    on("lineitem", lambda df: rounded(correlation.pair_table(df, list(_FEW), "kendall"))),
+    union_all(f"""SELECT '{a}' AS "left", '{b}' AS "right", (SELECT count(*) FROM lineitem) AS n,
+  round(sum(1.0 * l.c * r.c * sign(l.x - r.x) * sign(l.y - r.y)) /
+    sqrt(sum(1.0 * l.c * r.c * abs(sign(l.x - r.x))) * sum(1.0 * l.c * r.c * abs(sign(l.y - r.y)))), 6) + 0.0 AS r
+FROM (SELECT {a} AS x, {b} AS y, count(*) AS c FROM lineitem GROUP BY 1, 2) l, (SELECT {a} AS x, {b} AS y, count(*) AS c FROM lineitem GROUP BY 1, 2) r"""
+              for a, b in combinations(_FEW, 2)))
+
 QUERIES["correlation_kendall_customer"] = Query(
     on("customer", lambda df: rounded(correlation.pair_table(df, ["c_acctbal", "c_nationkey"], "kendall"))),
     _KENDALL.format(a="c_acctbal", b="c_nationkey", t="customer"))

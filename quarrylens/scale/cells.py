@@ -21,7 +21,6 @@ COLUMN, VALUE, CELL, COUNT = "__column", "__value", "__cell", "__n"
 SAMPLE_ROWS = 100_000
 MARGIN = 0.01
 SLICES = 1024
-MAX_BROADCAST_ROWS = 500_000
 EVEN_CUTS = tuple(i / 16 for i in range(1, 16))
 
 
@@ -184,27 +183,3 @@ def _from_cells(df: DataFrame, columns: list[str], probs: Sequence[float], by: l
             .select(*[F.col(f"c.{k}").alias(k) for k in [*keys, CELL, VALUE]], "c.__rows", "t.__start", "t.__total")
             .groupBy(*keys, CELL, "__start", "__total", VALUE).agg(F.sum("__rows").alias(COUNT)))
     return _pick(freq, keys, [*keys, CELL], probs)
-
-
-def running_before(freq: DataFrame, key: str, value: str, weights: dict[str, str], cuts: dict,
-                   order: str | None = None) -> DataFrame:
-    """For distinct ``(key, value)`` rows, the sum of each weight over smaller values of the key.
-
-    ``order`` names a column of finer order that ``value`` follows, such as long numbers beside their doubles.
-
-    ``weights`` maps a weight column to the name of its running column. Cell totals carry the
-    offsets: at most (bands x slices) rows per key, so they are broadcast for a few keys and
-    joined by shuffle for many.
-    """
-    celled = with_cell(freq, key, value, cuts)
-    ahead = Window.partitionBy(key).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = celled.groupBy(key, CELL).agg(*[F.sum(w).alias(f"__t_{w}") for w in weights]).select(
-        key, CELL, *[F.coalesce(F.sum(f"__t_{w}").over(ahead), F.lit(0)).alias(f"__o_{w}") for w in weights])
-    inside = Window.partitionBy(key, CELL).orderBy(order or value).rowsBetween(Window.unboundedPreceding, -1)
-    bands = len(next(iter(cuts.values()))) - 1
-    few = len(cuts) * bands * SLICES <= MAX_BROADCAST_ROWS
-    joined = celled.join(F.broadcast(offsets) if few else offsets, [key, CELL])
-    for weight, out in weights.items():
-        joined = joined.withColumn(
-            out, F.col(f"__o_{weight}") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return joined.drop(CELL, *[f"__o_{w}" for w in weights])

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.scale import cells
+from quarrylens.scale import cells, even
 from quarrylens.scale.lookups import attach
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -55,7 +55,7 @@ def test_running_before(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"k": 0, "v": np.unique(rng.normal(0, 1, 2000)), }).assign(w=lambda d: rng.integers(1, 9, len(d)))
     df = spark.createDataFrame(frame).withColumn("k", F.col("k").cast("int"))
-    got = cells.running_before(df, "k", "v", {"w": "before"}, cells.cut_points(df, ["v"])).toPandas().sort_values("v")
+    got = even.running_before(df, "k", "v", {"w": "before"}).toPandas().sort_values("v")
     want = frame["w"].cumsum() - frame["w"]
     assert got["before"].tolist() == want.tolist()
 
