@@ -13,10 +13,13 @@ from quarrylens.functions.kinds import (
 )
 from quarrylens.functions.values import as_key, as_text, finite_column, missing, present, tidy
 from quarrylens.scale.cells import Summary, quantile_values
-from quarrylens.scale.longform import distinct_counts, one_row_per, value_counts
+from quarrylens.scale.longform import LONG_TEXT, distinct_counts, distinct_profile, one_row_per, value_counts
 
 TOP_VALUES, CATALOGUE_COLUMNS, LOW_CARDINALITY = 10, 60, 50
 QUARTILES = (0.25, 0.5, 0.75)
+# Top-level types of a variant that count as one kind: values of two kinds in a column are mixed, two shapes of object are not.
+VARIANT_KINDS = (("BIGINT",), ("DOUBLE", "FLOAT", "DECIMAL"), ("STRING",), ("BOOLEAN",), ("OBJECT",), ("ARRAY",),
+                 ("DATE", "TIMESTAMP"), ("BINARY", "UUID"))
 
 
 def _number(value) -> Column:
@@ -111,9 +114,6 @@ def missing_summary(df: DataFrame) -> DataFrame:
         for i, c in enumerate(df.columns)]).where(F.col("count") > 0)
 
 
-LONG_TEXT = 64
-
-
 def _row_key(df: DataFrame, name: str) -> Column:
     """A compact stand-in for a cell: long texts shuffle as their SHA-256 digest.
 
@@ -151,14 +151,15 @@ def data_bytes(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))
 
 
-def column_overview(df: DataFrame) -> DataFrame:
+def column_overview(df: DataFrame, approximate: bool = False) -> DataFrame:
     """``column, type, kind, non_null, missing, unique, sample`` in schema order.
 
-    The sample is the smallest value, so that it does not depend on how the table is read.
+    The sample is the smallest value, so that it does not depend on how the table is read. ``approximate`` spares the shuffle
+    of distinct values and is right to about 2 percent.
     """
     kind = F.array(*[F.lit(k) for k in kinds(df).values()])
     declared = F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema])
-    return (distinct_counts(value_counts(df, df.columns))
+    return (distinct_profile(df, df.columns, approximate)
             .select("column", declared[F.col("position")].alias("type"), kind[F.col("position")].alias("kind"),
                     (F.col("rows") - F.col("missing")).alias("non_null"), "missing",
                     F.col("distinct").alias("unique"), "sample", "position"))
@@ -187,7 +188,7 @@ def column_catalogue(df: DataFrame, limit: int = CATALOGUE_COLUMNS) -> DataFrame
         [(c, k, order[k], i) for i, (c, k) in enumerate(found.items())],
         "name string, kind string, place int, position int")
     if counted:
-        distinct = distinct_counts(value_counts(df, counted)).select(F.col("column").alias("name"), "distinct")
+        distinct = distinct_counts(value_counts(df, counted, texts=False)).select(F.col("column").alias("name"), "distinct")
         schema = schema.join(F.broadcast(distinct), "name", "left")
     else:
         schema = schema.withColumn("distinct", F.lit(None).cast("bigint"))
@@ -198,13 +199,30 @@ def column_catalogue(df: DataFrame, limit: int = CATALOGUE_COLUMNS) -> DataFrame
 
 
 def datatype_summary(df: DataFrame) -> DataFrame:
-    """``column, dtype, value_types``: the declared type and the types the values really have."""
+    """``column, dtype, value_types``: the declared type and the types the values really have.
+
+    Variants and texts that are JSON are told by the kinds of their values at the top (``bigint``, ``string``, ``object``, ...),
+    of which there are a fixed number, so that the state of the scan is bounded whatever the documents hold.
+    """
     def types_of(field: T.StructField) -> Column:
+        value = df[field.name]
         if isinstance(field.dataType, T.VariantType):
-            return F.sort_array(F.collect_set(F.when(df[field.name].isNotNull(), F.schema_of_variant(df[field.name]))))
-        return F.collect_set(F.when(present(df, field.name).isNotNull(), F.lit(field.dataType.simpleString())))
+            return top_kinds(value, value.isNotNull())
+        return F.when(F.count_if(present(df, field.name).isNotNull()) > 0, F.array(F.lit(field.dataType.simpleString()))).otherwise(
+            F.array().cast("array<string>"))
 
     row = df.agg(*[types_of(f).alias(f"t{i}") for i, f in enumerate(df.schema)])
     return one_row_per(row, [
         {"column": F.lit(f.name), "dtype": F.lit(f.dataType.simpleString()), "value_types": F.col(f"t{i}")}
         for i, f in enumerate(df.schema)])
+
+
+def top_kind(variant: Column) -> Column:
+    """The kind of a variant's value: the name of its type without what is inside it."""
+    return F.regexp_extract(F.schema_of_variant(variant), "^[A-Z]+", 0)
+
+
+def top_kinds(variant: Column, where: Column) -> Column:
+    """The sorted kinds of the values of a variant column, from one flag for each kind there is."""
+    found = F.array(*[F.when(F.coalesce(F.max(where & top_kind(variant).isin(*names)), F.lit(False)), F.lit(names[0].lower())) for names in VARIANT_KINDS])
+    return F.array_sort(F.array_compact(found))

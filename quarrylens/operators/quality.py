@@ -14,7 +14,7 @@ from quarrylens.functions.kinds import BOOLEAN, NUMERIC, kinds, numeric_columns,
 from quarrylens.functions.values import (
     CHECK_DATE_TOKENS, finite_column, missing, present, tidy, to_number, to_timestamp,
 )
-from quarrylens.operators.profile import duplicate_summary, missing_summary
+from quarrylens.operators.profile import duplicate_summary, missing_summary, top_kinds
 from quarrylens.scale.cells import Summary, quantile_values
 from quarrylens.scale.longform import distinct_counts, one_row_per, value_counts
 
@@ -22,9 +22,6 @@ IQR_FACTOR, EXAMPLES = 1.5, 10
 # Shares and counts the type rules and the score depend on.
 LIKE_TYPE, LIKE_DATE_NAMED = 0.9, 0.7
 MANY_DISTINCT_SHARE, MANY_DISTINCT, FLAG_VALUES = 0.5, 20, 2
-# Top-level types of a variant that count as one kind: values of two kinds in a column are mixed, two shapes of object are not.
-VARIANT_KINDS = (("BIGINT",), ("DOUBLE", "FLOAT", "DECIMAL"), ("STRING",), ("BOOLEAN",), ("OBJECT",), ("ARRAY",),
-                 ("DATE", "TIMESTAMP"), ("BINARY", "UUID"))
 WEIGHT_COMPLETE, WEIGHT_UNIQUE, WEIGHT_INLIER = 0.55, 0.25, 0.2
 
 
@@ -92,16 +89,20 @@ def _variant_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.VariantType)]
 
 
-def datatype_issues(df: DataFrame) -> DataFrame:
-    """``column, dtype, issue, severity, distinct`` for columns whose type and values disagree.
+def datatype_issues(df: DataFrame, json_text: Sequence[str] = ()) -> DataFrame:
+    """``column, dtype, issue, detail, severity, distinct`` for columns whose type and values disagree.
 
-    One scan reads the parse shares of all text columns and the value range of all numeric ones.
-    Exact distinct counts are shuffled only for the columns whose rule needs them.
+    One scan reads the parse shares of all text columns, the kinds of variants and the value range of all numeric columns.
+    Texts of the columns ``json_text`` are read as JSON, so that mixed kinds show; a text that is no JSON counts as a string.
+    Exact distinct counts are shuffled only for the columns whose rule needs them, long texts as digests.
     """
     found = kinds(df)
     numeric = [c for c, k in found.items() if k == NUMERIC]
     others = [c for c, k in found.items() if k not in (NUMERIC, BOOLEAN)]
-    text, variants = _text_columns(df), _variant_columns(df)
+    text = [c for c in _text_columns(df) if c not in json_text]
+    variants = {c: df[c] for c in _variant_columns(df)}
+    variants |= {c: F.coalesce(F.try_parse_json(df[c]), df[c].cast("variant")) for c in json_text}
+    require_columns(df, list(json_text))
     parse = [a for i, c in enumerate(df.columns) for a in _probes(df, c, i, text, variants)]
     row = df.agg(F.count("*").alias("rows"), *parse)
     if numeric:
@@ -116,42 +117,55 @@ def datatype_issues(df: DataFrame) -> DataFrame:
     for i, c in enumerate(df.columns):
         filled = F.col(f"n{i}") > 0
         base = {"column": F.lit(c), "dtype": F.lit(df.schema[c].dataType.simpleString())}
-        issue = F.when(~filled, "empty_column")
+        issue, seen = F.when(~filled, "empty_column"), F.lit(None).cast("string")
         if c in variants:
-            issue = issue.when(F.col(f"t{i}") > 1, "mixed_types")
+            issue = issue.when(F.size(f"t{i}") > 1, "mixed_types")
+            seen = F.array_join(f"t{i}", ", ")
         if c in text:
             dates = F.col(f"date{i}") / F.col(f"n{i}")
             named = any(token in c.lower() for token in CHECK_DATE_TOKENS)
             issue = issue.when(F.col(f"num{i}") / F.col(f"n{i}") >= LIKE_TYPE, "numeric_stored_as_text").when(
                 dates >= (LIKE_DATE_NAMED if named else LIKE_TYPE), "date_stored_as_text")
-        rules.append({**base, "issue": issue, "position": F.lit(i)})
+            seen = F.when(issue == "numeric_stored_as_text", F.col(f"num{i}")).otherwise(F.col(f"date{i}")).cast("string")
+        rules.append({**base, "issue": issue, "seen": seen, "filled": F.col(f"n{i}"), "rows": F.col("rows"), "position": F.lit(i)})
         if c in numeric:
             inner = between[f"b{numeric.index(c)}"]
-            rules.append({**base, "issue": F.when(filled & (inner == 0), "numeric_flag"), "position": F.lit(i)})
+            rules.append({**base, "issue": F.when(filled & (inner == 0), "numeric_flag"), "seen": F.lit(None).cast("string"),
+                          "filled": F.col(f"n{i}"), "rows": F.col("rows"), "position": F.lit(i)})
     plain = (one_row_per(row, rules).where(F.col("issue").isNotNull())
              .withColumn("distinct", F.lit(None).cast("bigint")))
     if others:
-        crowded = (distinct_counts(value_counts(df, others))
+        crowded = (distinct_counts(value_counts(df, others, texts=False))
                    .where((F.col("distinct") / F.col("rows") >= MANY_DISTINCT_SHARE)
                           & (F.col("distinct") > MANY_DISTINCT)))
         dtype = F.create_map(*[x for c in others for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))])
         place = F.create_map(*[x for c in others for x in (F.lit(c), F.lit(df.columns.index(c)))])
         plain = plain.unionByName(crowded.select(
             "column", dtype[F.col("column")].alias("dtype"), F.lit("high_cardinality").alias("issue"),
+            F.col("distinct").cast("string").alias("seen"), (F.col("rows") - F.col("missing")).alias("filled"), "rows",
             place[F.col("column")].alias("position"), "distinct"))
     severity = (F.when(F.col("issue").isin("empty_column", "mixed_types", "numeric_stored_as_text"), "high")
                 .when(F.col("issue") == "date_stored_as_text", "medium").otherwise("low"))
-    return plain.select("column", "dtype", "issue", severity.alias("severity"), "distinct", "position")
+    return plain.select("column", "dtype", "issue", _detail().alias("detail"), severity.alias("severity"), "distinct", "position")
 
 
-def _probes(df: DataFrame, c: str, i: int, text: list[str], variants: list[str]) -> list[Column]:
+def _detail() -> Column:
+    """What was seen, in words with its figures."""
+    of_filled = F.concat(F.col("seen"), F.lit(" of "), F.col("filled"), F.lit(" values read as "))
+    return (F.when(F.col("issue") == "empty_column", F.concat(F.lit("none of "), F.col("rows"), F.lit(" rows has a value")))
+            .when(F.col("issue") == "mixed_types", F.concat(F.lit("values of several kinds: "), F.col("seen")))
+            .when(F.col("issue") == "numeric_stored_as_text", F.concat(of_filled, F.lit("numbers")))
+            .when(F.col("issue") == "date_stored_as_text", F.concat(of_filled, F.lit("dates")))
+            .when(F.col("issue") == "high_cardinality", F.concat(F.col("seen"), F.lit(" different values in "), F.col("rows"), F.lit(" rows")))
+            .otherwise(F.lit("no value lies between the smallest and the largest")))
+
+
+def _probes(df: DataFrame, c: str, i: int, text: list[str], variants: dict[str, Column]) -> list[Column]:
     probes = [F.count(present(df, c)).alias(f"n{i}")]
     if c in text:
         probes += [F.count(to_number(df[c])).alias(f"num{i}"), F.count(to_timestamp(df[c])).alias(f"date{i}")]
     if c in variants:
-        found = F.regexp_extract(F.schema_of_variant(df[c]), "^[A-Z]+", 0)
-        probes.append(sum((F.coalesce(F.max(found.isin(*names)), F.lit(False)).cast("int") for names in VARIANT_KINDS), F.lit(0))
-                      .alias(f"t{i}"))
+        probes.append(top_kinds(variants[c], df[c].isNotNull()).alias(f"t{i}"))
     return probes
 
 

@@ -45,6 +45,14 @@ SELECT i::INTEGER AS l_extendedprice_bin_index, round(e[i + 1], 4) AS l_extended
 FROM (SELECT (l_extendedprice > e[2])::INT + (l_extendedprice > e[3])::INT + (l_extendedprice > e[4])::INT
         + (l_extendedprice > e[5])::INT AS i, e FROM lineitem, q) GROUP BY i, e""")
 
+QUERIES["quantile_bin_labels"] = Query(
+    on("lineitem", lambda df: features.quantile_bins(df, "l_quantity", 4).groupBy("l_quantity_bin", "l_quantity_bin_index").agg(F.count("*").alias("rows"))),
+    """WITH q AS (SELECT list_distinct(quantile_cont(l_quantity, [0.0, 0.25, 0.5, 0.75, 1.0])) AS e FROM lineitem),
+s AS (SELECT list_sort(e) AS e FROM q)
+SELECT '(' || CASE WHEN i = 0 THEN (e[1] - 0.001)::DECIMAL(9, 3)::VARCHAR ELSE e[i + 1]::VARCHAR END || ', ' || e[i + 2]::VARCHAR || ']' AS l_quantity_bin,
+  i::INTEGER AS l_quantity_bin_index, count(*) AS rows
+FROM (SELECT len(list_filter(e[2:len(e) - 1], lambda x: l_quantity > x)) AS i, e FROM lineitem, s) GROUP BY i, e""")
+
 QUERIES["quantile_bin_ties"] = Query(
     on("lineitem", lambda df: features.transform_feature(df, "l_linenumber", "bin", bins=10).groupBy(
         "l_linenumber_bin", "l_linenumber_bin_index").agg(F.count("*").alias("rows"))),

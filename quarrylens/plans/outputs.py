@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import charts, reports, text
+from quarrylens.operators import charts, profile, reports, text
 from quarrylens.plans.registry import LINEITEM_NUMBERS, Query, on, read, rounded, shared_folder, union_all
 from quarrylens.plans.shapes import RELATED_SQL, _RELATED, _related, histogram_sql, matrix_sql, pearson_sql
-from quarrylens.plans.tables import GAPS_SQL, _with_gaps, iqr_sql, score_sql, stats_sql, top_sql
+from quarrylens.plans.tables import GAPS_SQL, QUERIES as TABLES, _typed_orders, _with_gaps, iqr_sql, score_sql, stats_sql, top_sql
 from quarrylens.sources import catalog, files, sinks, typing
 
 QUERIES: dict[str, Query] = {}
@@ -87,6 +87,23 @@ QUERIES["report_quality"] = Query(
     on("events", lambda df: reports.report(_with_gaps(df), ["quality"])["quality"]["outliers"]),
     f"SELECT * FROM ({iqr_sql(GAPS_SQL, ['event_id', 'user_id', 'value'])}) WHERE count > 0")
 
+QUERIES["report_quality_score"] = Query(
+    on("events", lambda df: reports.report(_with_gaps(df), ["quality"])["quality"]["score"]), TABLES["quality_score"].sql)
+
+QUERIES["report_quality_missing"] = Query(
+    on("events", lambda df: reports.report(_with_gaps(df), ["quality"])["quality"]["missing"]), TABLES["missing_summary"].sql)
+
+QUERIES["report_quality_types"] = Query(
+    on("orders", lambda df: reports.report(_typed_orders(df), ["quality"])["quality"]["datatypes"]
+       .select("column", "issue", "detail", "severity", "distinct")), TABLES["datatype_issues"].sql)
+
+QUERIES["report_matrix"] = Query(
+    on("lineitem", lambda df: rounded(reports.report(_related(df), ["correlation"])["correlation"]["matrix"])), matrix_sql(RELATED_SQL, _RELATED))
+
+QUERIES["first_rows"] = Query(
+    on("orders", lambda df: profile.first_rows(df.select("o_orderkey", "o_orderstatus"), ["o_orderkey"])),
+    "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 8")
+
 _REPORTED = ["count", "mean", "median", "std", "min", "max"]
 QUERIES["report_statistics"] = Query(
     on("orders", lambda df: rounded(reports.statistics_tables(df)["numeric"], 4)),

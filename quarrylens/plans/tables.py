@@ -105,6 +105,15 @@ SELECT n1 AS n_left, n2 AS n_right, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5
        round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 5) AS degrees
 FROM s""")
 
+#: The p-value by Simpson's rule over the density of Student's t.
+QUERIES["welch_p_value"] = Query(
+    on("lineitem", lambda df: rounded(groups.welch_t_test(df, "l_quantity", "l_returnflag", "R", "N").select("n_left", "n_right", "p_value"), 6)),
+    f"""WITH w AS (SELECT n_left, n_right, abs(statistic) AS t, degrees AS d FROM ({QUERIES["welch_t"].sql.replace(", 5)", ", 12)")})),
+f AS (SELECT n_left, n_right, t, t / 2000 AS h, i, exp(lgamma((d + 1) / 2) - lgamma(d / 2)) / sqrt(d * pi()) * pow(1 + pow(i * t / 2000, 2) / d, -(d + 1) / 2) AS y
+  FROM w, range(2001) r(i))
+SELECT n_left, n_right, round(1 - 2 * sum(y * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * any_value(h) / 3, 6) AS p_value
+FROM f GROUP BY n_left, n_right""")
+
 QUERIES["majority_baseline"] = Query(
     on("orders", lambda df: rounded(groups.majority_baseline(df, "o_orderpriority"))),
     """SELECT o_orderpriority AS predicted_class,
@@ -174,9 +183,16 @@ SELECT d.n - u.n AS count, round((d.n - u.n) * 100.0 / d.n, 2) AS percent FROM d
 
 _LINEITEM_COLUMNS = {**dict.fromkeys(LINEITEM_NUMBERS, "numeric"), "l_returnflag": "categorical",
                      "l_linestatus": "categorical", "l_shipdate": "datetime"}
+
+
+def _type_sql(column: str) -> str:
+    return (f"CASE typeof(any_value({column})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+            "WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END")
+
+
 QUERIES["column_overview"] = Query(
-    on("lineitem", lambda df: profile.column_overview(df).drop("type", "position")),
-    union_all(f"SELECT '{c}' AS \"column\", '{k}' AS kind, count({c}) AS non_null, count(*) - count({c}) AS missing, "
+    on("lineitem", lambda df: profile.column_overview(df).drop("position")),
+    union_all(f"SELECT '{c}' AS \"column\", {_type_sql(c)} AS type, '{k}' AS kind, count({c}) AS non_null, count(*) - count({c}) AS missing, "
               f"count(DISTINCT {c}) AS \"unique\", min({c}::VARCHAR) AS sample FROM lineitem"
               for c, k in _LINEITEM_COLUMNS.items()))
 
@@ -252,23 +268,44 @@ def _typed_orders(df: DataFrame) -> DataFrame:
 
 
 QUERIES["datatype_issues"] = Query(
-    on("orders", lambda df: quality.datatype_issues(_typed_orders(df)).select("column", "issue", "severity", "distinct")),
+    on("orders", lambda df: quality.datatype_issues(_typed_orders(df)).select("column", "issue", "detail", "severity", "distinct")),
     """WITH t AS (SELECT o_totalprice::VARCHAR AS price_text, o_orderdate::VARCHAR AS date_text,
                   o_orderkey % 2 AS flag, count(*) OVER () AS n FROM orders)
 SELECT * FROM (
 SELECT 'price_text' AS "column", CASE WHEN count(TRY_CAST(price_text AS DOUBLE)) >= 0.9 * count(price_text)
-         THEN 'numeric_stored_as_text' END AS issue, 'high' AS severity, NULL::BIGINT AS "distinct" FROM t
+         THEN 'numeric_stored_as_text' END AS issue,
+         count(TRY_CAST(price_text AS DOUBLE)) || ' of ' || count(price_text) || ' values read as numbers' AS detail,
+         'high' AS severity, NULL::BIGINT AS "distinct" FROM t
 UNION ALL SELECT 'date_text', CASE WHEN count(TRY_CAST(date_text AS TIMESTAMP)) >= 0.7 * count(date_text)
-         THEN 'date_stored_as_text' END, 'medium', NULL FROM t
-UNION ALL SELECT 'nothing', 'empty_column', 'high', NULL
-UNION ALL SELECT 'flag', CASE WHEN count(DISTINCT flag) <= 2 THEN 'numeric_flag' END, 'low', NULL FROM t
+         THEN 'date_stored_as_text' END, count(TRY_CAST(date_text AS TIMESTAMP)) || ' of ' || count(date_text) || ' values read as dates', 'medium', NULL FROM t
+UNION ALL SELECT 'nothing', 'empty_column', 'none of ' || count(*) || ' rows has a value', 'high', NULL FROM t
+UNION ALL SELECT 'flag', CASE WHEN count(DISTINCT flag) <= 2 THEN 'numeric_flag' END, 'no value lies between the smallest and the largest', 'low', NULL FROM t
 UNION ALL SELECT 'price_text', CASE WHEN count(DISTINCT price_text) >= 0.5 * count(*) AND count(DISTINCT price_text) > 20
-         THEN 'high_cardinality' END, 'low', count(DISTINCT price_text) FROM t
+         THEN 'high_cardinality' END, count(DISTINCT price_text) || ' different values in ' || count(*) || ' rows', 'low', count(DISTINCT price_text) FROM t
 UNION ALL SELECT 'date_text', CASE WHEN count(DISTINCT date_text) >= 0.5 * count(*) AND count(DISTINCT date_text) > 20
-         THEN 'high_cardinality' END, 'low', count(DISTINCT date_text) FROM t)
+         THEN 'high_cardinality' END, count(DISTINCT date_text) || ' different values in ' || count(*) || ' rows', 'low', count(DISTINCT date_text) FROM t)
 WHERE issue IS NOT NULL""")
 
 
+def _mixed_events(df: DataFrame) -> DataFrame:
+    """Events whose value is JSON of two kinds, as text and as a variant, beside JSON of one kind."""
+    mixed = F.expr("case when user_id % 3 = 0 then to_json(named_struct('of', event_type)) when user_id % 3 = 1 then cast(user_id as string) end")
+    return df.select("event_id", mixed.alias("mixed_text"), F.parse_json(mixed).alias("mixed_variant"), F.parse_json("props").alias("plain"), "props")
+
+
+_MIXED_SQL = """SELECT CASE WHEN count(*) FILTER (user_id % 3 = 0) > 0 AND count(*) FILTER (user_id % 3 = 1) > 0 THEN 'mixed_types' END AS issue FROM events"""
+QUERIES["mixed_types"] = Query(
+    on("events", lambda df: quality.datatype_issues(_mixed_events(df), ["mixed_text", "props"]).where("severity = 'high'")
+       .select("column", "dtype", "issue", "detail")),
+    f"""SELECT c AS "column", t AS dtype, issue, 'values of several kinds: bigint, object' AS detail
+FROM ({_MIXED_SQL}), (VALUES ('mixed_text', 'string'), ('mixed_variant', 'variant')) v(c, t) WHERE issue IS NOT NULL""")
+
+QUERIES["datatype_kinds"] = Query(
+    on("events", lambda df: profile.datatype_summary(_mixed_events(df)).select("column", "dtype", F.array_join("value_types", ",").alias("value_types"))),
+    """SELECT c AS "column", t AS dtype, v AS value_types FROM (VALUES ('event_id', 'bigint', 'bigint'), ('mixed_text', 'string', 'string'),
+  ('mixed_variant', 'variant', 'bigint,object'), ('plain', 'variant', 'object'), ('props', 'string', 'string')) x(c, t, v), (SELECT count(*) AS n FROM events) WHERE n > 0""")
+
+
 def score_sql(source: str, columns, numeric) -> str:
     gaps = " + ".join(f"(count(*) - count({c}))" for c in columns)
     outliers = " + ".join(

@@ -182,3 +182,28 @@ def test_top_with_other_merges_a_real_other(spark):
     df = spark.createDataFrame([("Other",)] * 5 + [("a",)] * 4 + [("b",)] * 3, "c string")
     assert {(r["value"], r["is_rest"]): r["count"] for r in rows(distribution.top_with_other(df, "c", 2))} == {
         ("Other", False): 5, ("a", False): 4, ("Other", True): 3}
+
+
+def test_counts_of_every_type_read_like_the_values(spark):
+    df = spark.sql("""SELECT * FROM VALUES
+        (1, true, 1.5D, float(0.1), date'2020-02-03', timestamp'2020-02-03 04:05:06.7', 2.50BD, 'a', binary('x')),
+        (1, false, double('NaN'), float(0.1), null, timestamp'2020-02-03 04:05:06.7', null, '(missing)', null),
+        (null, null, -0.0D, null, date'2020-02-03', null, 2.50BD, null, binary('x')) AS t(i, b, d, f, day, at, c, s, raw)""")
+    from quarrylens.scale.longform import value_counts
+
+    got = {(r["column"], r["value"]): (r["n"], r["n_missing"]) for r in rows(value_counts(df, df.columns))}
+    assert got == {("i", "1"): (2, 0), ("i", "(missing)"): (1, 1), ("b", "true"): (1, 0), ("b", "false"): (1, 0), ("b", "(missing)"): (1, 1),
+                   ("d", "1.5"): (1, 0), ("d", "0.0"): (1, 0), ("d", "(missing)"): (1, 1), ("f", "0.1"): (2, 0), ("f", "(missing)"): (1, 1),
+                   ("day", "2020-02-03"): (2, 0), ("day", "(missing)"): (1, 1), ("at", "2020-02-03 04:05:06.7"): (2, 0), ("at", "(missing)"): (1, 1),
+                   ("c", "2.50"): (2, 0), ("c", "(missing)"): (1, 1), ("s", "a"): (1, 0), ("s", "(missing)"): (2, 1),
+                   ("raw", "eA=="): (2, 0), ("raw", "(missing)"): (1, 1)}
+
+
+def test_long_texts_are_told_apart_and_counted_approximately(spark):
+    df = spark.range(3000).selectExpr("concat(repeat('x', 100), id % 700) AS t", "id % 41 AS k")
+    exact = {r["column"]: r for r in rows(profile.column_overview(df))}
+    assert (exact["t"]["unique"], exact["k"]["unique"]) == (700, 41) and exact["t"]["sample"] == "x" * 100 + "0"
+    near = {r["column"]: r["unique"] for r in rows(profile.column_overview(df, approximate=True))}
+    assert abs(near["t"] - 700) < 70 and abs(near["k"] - 41) < 5
+    plan = profile.column_overview(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(position") == 1  # the values, once
