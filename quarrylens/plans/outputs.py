@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import charts, profile, reports, text
+from quarrylens.operators import charts, dictionary, profile, reports, text
 from quarrylens.plans.registry import LINEITEM_NUMBERS, Query, on, read, rounded, shared_folder, union_all
 from quarrylens.plans.shapes import RELATED_SQL, _RELATED, _related, histogram_sql, matrix_sql, pearson_sql
 from quarrylens.plans.tables import GAPS_SQL, QUERIES as TABLES, _typed_orders, _with_gaps, iqr_sql, score_sql, stats_sql, top_sql
@@ -202,6 +202,92 @@ SELECT p_partkey, intent,
        WHEN intent = 'aggregation' THEN CASE WHEN brand THEN 'brand' WHEN "type" THEN 'type' END END AS "group"
 FROM i""")
 
+def _dated_table(df: DataFrame) -> DataFrame:
+    return _asked_table(df).withColumn("made", F.lit("2024-01-01").cast("date"))
+
+
+_PLAN_SQL = QUERIES["intent_tags"].sql.rsplit("SELECT p_partkey, intent,", 1)[0]
+_PLAN_SQL = _PLAN_SQL.replace("WHEN outlier THEN 'outlier'", f"WHEN outlier THEN 'outlier' WHEN {_word_sql(*text.TREND_WORDS)} THEN 'trend'")
+QUERIES["intent_plan"] = Query(
+    on("part", lambda df: text.intent_plan(_questions(df), "question", _dated_table(df)).select(
+        "p_partkey", "plan.intent", "plan.operation", "plan.row_limit", "plan.group", "plan.metric", "plan.x", "plan.y", "plan.target",
+        F.array_join("plan.features", ",").alias("features"), "plan.chart")),
+    _PLAN_SQL + f""", n AS (SELECT *, [x.name FOR x IN list_sort(list_filter([
+    {{'at': strpos(replace(q, 'retail_price', 'retail price'), 'retail price'), 'name': 'retail_price'}},
+    {{'at': CASE WHEN {_word_sql("size")} THEN strpos(q, 'size') ELSE 0 END, 'name': 'size'}}], lambda x: x.at > 0))] AS named FROM i)
+SELECT p_partkey, intent,
+  CASE WHEN intent = 'aggregation' THEN CASE WHEN means THEN 'mean' WHEN medians THEN 'median' WHEN counts THEN 'count' ELSE 'sum' END ELSE 'sum' END AS operation,
+  CASE WHEN intent = 'ranking' AND regexp_matches(q, '(?:top|bottom|first|last)\\s+(\\d+)')
+       THEN least(regexp_extract(q, '(?:top|bottom|first|last)\\s+(\\d+)', 1)::BIGINT, 50) ELSE 5 END AS row_limit,
+  CASE WHEN intent IN ('segmentation', 'ranking') THEN grp WHEN intent = 'aggregation' THEN CASE WHEN brand THEN 'brand' WHEN "type" THEN 'type' END END AS "group",
+  CASE WHEN intent NOT IN ('summary', 'classification', 'correlation', 'regression') THEN m END AS metric,
+  CASE WHEN intent IN ('forecast', 'trend') THEN 'made' WHEN intent = 'correlation' AND len(named) = 2 THEN named[1] END AS x,
+  CASE WHEN intent = 'correlation' AND len(named) = 2 THEN named[2] END AS y,
+  CASE intent WHEN 'regression' THEN m WHEN 'classification' THEN grp END AS target,
+  CASE intent WHEN 'regression' THEN array_to_string(list_filter(named, lambda c: c <> m), ',') WHEN 'classification' THEN array_to_string(named, ',') ELSE '' END AS features,
+  CASE WHEN intent = 'correlation' AND len(named) < 2 THEN 'heatmap' END AS chart FROM n""")
+
+
+def _proposed(df: DataFrame) -> DataFrame:
+    """Plans over the orders table as another source might propose them: some name missing columns or such of the wrong kind."""
+    names = F.array(*[F.lit(n) for n in ("o_totalprice", "o_orderstatus", "o_orderdate", "o_nothing", None)])
+
+    def pick(step: int) -> Column:
+        return F.get(names, (F.col("p_partkey") * step % 5).cast("int"))
+
+    intent = F.array(*[F.lit(i) for i in ("ranking", "trend", "regression")])[(F.col("p_partkey") % 3).cast("int")]
+    return df.select("p_partkey", F.struct(
+        intent.alias("intent"), F.lit("sum").alias("operation"), F.lit(5).cast("bigint").alias("row_limit"), pick(1).alias("group"), pick(2).alias("metric"),
+        pick(3).alias("x"), F.lit(None).cast("string").alias("y"), pick(4).alias("target"),
+        F.array(F.lit("o_custkey"), F.lit("o_orderstatus")).alias("features"), F.lit(None).cast("string").alias("chart")).alias("plan"))
+
+
+def _slot_sql(slot: str, step: int) -> str:
+    """SQL: the name in a slot of a proposed plan, its kind, and the kinds wanted."""
+    wanted = {slot_kind[0]: kind for (intent, own), kind in text.SLOT_KINDS.items() if own == slot for slot_kind in [(intent,)]}
+    cases = " ".join(f"WHEN '{i}' THEN {list(wanted[i])}" for i in ("ranking", "trend", "regression") if i in wanted)
+    return (f"['o_totalprice', 'o_orderstatus', 'o_orderdate', 'o_nothing', NULL][p_partkey * {step} % 5 + 1] AS {slot}_name, "
+            f"['numeric', 'categorical', 'datetime', NULL, NULL][p_partkey * {step} % 5 + 1] AS {slot}_kind, "
+            + (f"CASE intent {cases} END" if cases else "NULL::VARCHAR[]") + f" AS {slot}_wanted")
+
+
+_SLOTS = {"group": 1, "metric": 2, "x": 3, "target": 4}
+_WHY = {slot: f"""CASE WHEN {slot}_name IS NULL THEN NULL WHEN {slot}_kind IS NULL THEN '{slot}: no column ' || {slot}_name
+  WHEN {slot}_wanted IS NOT NULL AND NOT list_contains({slot}_wanted, {slot}_kind)
+  THEN '{slot}: ' || {slot}_name || ' is ' || {slot}_kind || ', wanted ' || array_to_string({slot}_wanted, ' or ') END""" for slot in _SLOTS}
+QUERIES["checked_plan"] = Query(
+    lambda spark, folder: text.checked_plan(_proposed(read(spark, folder, "part")), "plan", read(spark, folder, "orders")).select(
+        "p_partkey", "checked.group", "checked.metric", "checked.x", "checked.target", F.array_join("checked.features", ",").alias("features"),
+        F.array_join("rejected", "; ").alias("rejected")),
+    f"""WITH p AS (SELECT p_partkey, ['ranking', 'trend', 'regression'][p_partkey % 3 + 1] AS intent FROM part),
+s AS (SELECT p_partkey, intent, {", ".join(_slot_sql(slot, step) for slot, step in _SLOTS.items())} FROM p),
+w AS (SELECT *, {", ".join(f"{why} AS {slot}_why" for slot, why in _WHY.items())} FROM s),
+k AS (SELECT *, {", ".join(f"CASE WHEN {slot}_why IS NULL THEN {slot}_name END AS {slot}_kept" for slot in _SLOTS)} FROM w)
+SELECT p_partkey, CASE WHEN group_kept IS DISTINCT FROM metric_kept THEN group_kept END AS "group", metric_kept AS metric, x_kept AS x, target_kept AS target,
+  CASE WHEN intent = 'regression' THEN 'o_custkey' ELSE 'o_custkey,o_orderstatus' END AS features,
+  concat_ws('; ', group_why, metric_why, x_why, target_why,
+    CASE WHEN intent = 'regression' THEN 'features: o_orderstatus is categorical, wanted numeric' END) AS rejected FROM k""")
+
+
+def _benchmark_names(df: DataFrame) -> DataFrame:
+    """Every word of the benchmark, and every two neighbours joined by an underscore."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    both = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda at: F.array_join(F.slice("w", at, 2), "_"))
+    rows = df.select(words.alias("w")).select("w", F.when(F.size("w") > 1, both).otherwise(F.array().cast("array<string>")).alias("b"))
+    return rows.select(F.explode(F.concat("w", "b")).alias("name")).distinct()
+
+
+QUERIES["dictionary_mentions"] = Query(
+    lambda spark, folder: dictionary.dictionary_mentions(read(spark, folder, "documents"), "doc_id", "text",
+                                                         _benchmark_names(read(spark, folder, "benchmark")), "name").select(
+        "doc_id", F.size("mentioned").alias("mentioned"), F.get("mentioned", F.lit(0)).alias("first"), "resolved"),
+    r"""WITH b AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+n AS (SELECT DISTINCT unnest(w) AS name FROM b UNION SELECT DISTINCT unnest([w[i] || '_' || w[i + 1] FOR i IN range(1, len(w))]) FROM b),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+') AS t FROM documents),
+e AS (SELECT doc_id, i, t[i] AS a, CASE WHEN t[i + 1] = ' ' THEN t[i] || '_' || t[i + 2] END AS ab FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d)),
+m AS (SELECT doc_id, name, min(i) AS place FROM (SELECT doc_id, i, a AS name FROM e UNION ALL SELECT doc_id, i, ab FROM e WHERE ab IS NOT NULL) JOIN n USING (name) GROUP BY ALL)
+SELECT doc_id, count(*)::INTEGER AS mentioned, arg_min(name, row(place, name)) AS first, arg_min(name, row(-length(name), name)) AS resolved FROM m GROUP BY doc_id""")
+
 _NAMES = ("the", "is", "des", "of_the", "and", "le", "en")
 QUERIES["name_mentions"] = Query(
     on("documents", lambda df: text.name_mentions(df, "text", _NAMES).select(
