@@ -7,13 +7,15 @@ no cut (a pre-token longer than the overlap), they are joined into one piece. Th
 encoded in any task and their ids concatenated by document; decoding concatenates the raw bytes of the tokens.
 
 Edge cases: null counts as an empty text, which has no ids and no bytes. Repeated rows are encoded once per row; rows with
-equal keys and different texts are kept apart. Control strings in a text are ordinary text. Other columns are not read.
+equal keys and different texts are kept apart. Control strings in a text are ordinary text. A pre-token of any length, such as
+a million blanks, is encoded whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +48,19 @@ def _pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+#: From so many blanks in a row, a text's pre-tokens are found by ``regex``: the coder's own matcher ends the process on very long ones.
+_BLANKS = re.compile(r"\s{4096}")
+
+
+def _ids(coder, pattern: str, text: str) -> list[int]:
+    """The ids of a text, whatever the length of its pre-tokens."""
+    if not text:
+        return []
+    if not _BLANKS.search(text):
+        return coder.encode_ordinary(text)
+    return [i for m in _pattern(pattern).finditer(text) for i in coder._encode_single_piece(m.group())]
+
+
 def cuts(text: str, pattern: str, begin: int, end: int) -> list[int]:
     """Where pre-tokens begin in ``text[begin:end]``, relative to ``text``."""
     return [m.start() for m in _pattern(pattern).finditer(text, begin, end)]
@@ -63,7 +78,7 @@ def _encode_rows(path: str, pattern: str, keys: int, encoded: pa.Schema):
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                ids = [coder.encode_ordinary(t) if t else [] for t in part.column(keys).to_pylist()]
+                ids = [_ids(coder, pattern, t) for t in part.column(keys).to_pylist()]
                 decoded = [coder.decode_bytes(x) for x in ids]
                 yield pa.record_batch([*part.columns[:keys], pa.array(ids, pa.list_(pa.int32())),
                                        pa.array(decoded, pa.binary())], schema=encoded)
