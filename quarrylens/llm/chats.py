@@ -7,7 +7,8 @@ strings in texts are escaped reversibly: one backslash is put behind the first c
 
 Edge cases: a null text or role is an empty one; turns with a null number come first; ties of the number are ordered by
 role, then text; repeated rows are repeated turns. A null conversation id is a conversation of its own. No rows give no
-conversations. Other columns are not read, so their names cannot clash.
+conversations. Very long texts and conversations of many turns are formatted whole, in time that grows with them. Other columns
+are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 OPEN, BODY, NEXT, CLOSE = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 #: Forms that are control strings in chat templates, behind their first character.
 _FORMS = r"(\||/?s>|/?INST\]|/?SYS>>)"
+#: Turns whose spans are summed at once.
+BLOCK = 256
 _PLAIN, _ESCAPED = r"([<\[])(\\*)" + _FORMS, r"([<\[])\\(\\*)" + _FORMS
 
 
@@ -47,22 +50,28 @@ def format_chats(turns: DataFrame, key: str = "conv_id", turn: str = "turn", rol
                         escaped(F.coalesce(F.col(role).cast("string"), F.lit(""))).alias("role"),
                         escaped(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
     sorted_turns = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    # A turn opens a block where its role differs from that of the turn before it.
-    opens = F.transform("turns", lambda t, i: (i == 0) | (F.get("turns", i - 1)["role"] != t["role"]))
-    flagged = sorted_turns.select(key, "turns", opens.alias("opens"))
-    head = lambda t, i: (F.when(~F.get("opens", i), F.lit(NEXT))
-                         .when(i == 0, F.concat(F.lit(OPEN), t["role"], F.lit(BODY)))
+    # A turn opens a block where its role differs from that of the turn before it, which is read from the sorted list itself:
+    # a list of flags would be built again for every turn.
+    head = lambda t, i: (F.when(i == 0, F.concat(F.lit(OPEN), t["role"], F.lit(BODY)))
+                         .when(F.get("turns", i - 1)["role"] == t["role"], F.lit(NEXT))
                          .otherwise(F.concat(F.lit(CLOSE + OPEN), t["role"], F.lit(BODY))))
-    parts = flagged.select(key, F.transform("turns", lambda t, i: F.struct(
+    parts = sorted_turns.select(key, F.transform("turns", lambda t, i: F.struct(
         head(t, i).alias("head"), t["text"].alias("text"), (t["role"] == escaped(F.lit(learned))).alias("learned"))).alias("parts"))
     lengths = parts.select(key, "parts", F.transform("parts", lambda p: F.struct(
         F.length(p["head"]).alias("head"), F.length(p["text"]).alias("text"), p["learned"].alias("learned"))).alias("sizes"))
-    # Where each turn's text begins is a running sum of lengths.
-    spans = F.expr("""aggregate(sizes, named_struct('at', 0, 'spans', cast(array() as array<struct<begin:int,length:int>>)),
+    # Where each turn's text begins is a running sum of lengths, taken over blocks of turns, as a list is copied when it grows.
+    spans = F.expr(f"""transform(sequence(0, greatest(size(sizes) - 1, 0) div {BLOCK}), b -> aggregate(slice(sizes, cast(b * {BLOCK} + 1 as int), {BLOCK}),
+        named_struct('at', 0, 'spans', cast(array() as array<struct<begin:int,length:int>>)),
         (done, s) -> named_struct('at', done.at + s.head + s.text, 'spans', if(s.learned,
-            concat(done.spans, array(named_struct('begin', done.at + s.head, 'length', s.text))), done.spans)), done -> done.spans)""")
+            concat(done.spans, array(named_struct('begin', done.at + s.head, 'length', s.text))), done.spans))))""")
+    blocks = lengths.select(key, "parts", spans.alias("blocks"))
+    moved = F.expr("""aggregate(blocks, named_struct('at', 0, 'starts', cast(array() as array<int>)),
+        (done, b) -> named_struct('at', done.at + b.at, 'starts', concat(done.starts, array(done.at))), done -> done.starts)""")
+    placed = blocks.select(key, "parts", F.arrays_zip(F.col("blocks.spans").alias("spans"), moved.alias("start")).alias("blocks"))
+    loss = F.flatten(F.transform("blocks", lambda b: F.transform(b["spans"], lambda s: F.struct(
+        (s["begin"] + b["start"]).alias("begin"), s["length"].alias("length")))))
     formatted = F.concat(F.concat_ws("", F.transform("parts", lambda p: F.concat(p["head"], p["text"]))), F.lit(CLOSE))
-    return lengths.select(key, formatted.alias("formatted"), spans.alias("loss"))
+    return placed.select(key, formatted.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(chats: DataFrame, key: str = "conv_id") -> DataFrame:
