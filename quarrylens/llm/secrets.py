@@ -1,13 +1,17 @@
 """Secret scans: candidate strings, judged by a random forest.
 
-Candidates are long runs of characters that keys and tokens are made of, and whatever is assigned to a word that names a secret. A random forest, trained from labelled findings,
-removes false positives by the candidate's length, its transitions between kinds of characters, how far words of a
-dictionary cover it, the path it comes from, and the words around it. The dictionary is what ordinary text repeats: the
-letter 4-grams of all texts, counted in a table of fixed size.
-
-Edge cases: a null or empty text has no candidates. Repeated rows are scanned alike, each once. Labels of one class only, or
-none, train no forest: every candidate then stays a finding with a null probability, a secret if its context says so. An empty table gives no findings.
-Only the key, text and path columns are read; ``redacted`` keeps all columns and changes the text alone.
+Candidates are private key blocks, passwords in addresses, what follows ``Bearer`` or ``Basic``, whatever is assigned to a word that
+names a secret, and long runs of characters that keys and tokens are made of. Some findings have a label that is beyond doubt: by
+the word that names them, or by a form that only keys have (1); by a word that names them harmless, or as plain words, numbers and
+addresses (0). A random forest learns from these what a secret looks like: its length, its transitions between kinds of characters,
+how far words of a dictionary cover it, the path it comes from, and the words around it. The words that give a label are no feature,
+so the forest also judges findings that nothing names; these alone are left to it. The dictionary is what ordinary text repeats:
+the letter 4-grams of all texts, counted in a table of fixed size.
+
+Edge cases: a null or empty text has no candidates; very long texts are scanned whole. Repeated rows are scanned alike, each once.
+With fewer than LEAST_OF_CLASS different strings of either label no forest is trained: the probability is null, and a finding
+is a secret if its label says so. An empty table gives no findings. Only the key, text and path columns are read; ``redacted`` keeps
+all columns and changes the text alone.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from quarrylens.llm.languages import _arrow
 #: Labelled findings used for training at most (chosen by a hash of the string).
 TRAIN_FINDINGS = 20_000
 TREES, DEPTH, SEED = 40, 8, 11
+#: Different strings that each label needs before a forest is trained.
+LEAST_OF_CLASS = 10
 #: A candidate is a secret from this probability on.
 THRESHOLD = 0.5
 #: Cells of the dictionary of letter 4-grams, and how often a word occurs per million for its 4-grams to be in it.
@@ -44,15 +50,23 @@ HARMLESS_WORDS = ("sha256", "sha1", "md5", "checksum", "commit", "uuid", "guid",
 
 #: A secret's name and what stands between it and the value.
 _NAMED = rf"(?:{'|'.join(SECRET_WORDS)})[\"'`]?\s{{0,8}}[=:]\s{{0,8}}[\"'`]?"
-#: What a candidate looks like: the value assigned to a secret's name, of any length and characters but blanks, or else a long run
-#: of characters that keys are made of. A run ends at ``=`` unless that is its padding. For Java: bounded lookbehind; the first
-#: two only spare the third.
-CANDIDATE = (r"(?<=[=:\s\"'`])(?=\S)(?<=[=:]\s{0,8}[\"'`]?)" + rf"(?<=(?i:{_NAMED}))"
+#: What a candidate looks like: a private key block; the password of an address; what follows an authorisation scheme; the value
+#: assigned to a secret's name, of any length and characters but blanks; or else a long run of characters that keys are made of,
+#: which ends at ``=`` unless that is its padding. For Java: bounded lookbehind; short ones only spare the long ones behind them.
+CANDIDATE = (r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----"
+             r"|(?<=:)(?<=://[^\s:/@]{1,64}:)[^\s/@]+(?=@)"
+             r"|(?<=[rRcC]\s)(?<=(?i:bearer|basic)\s)[A-Za-z0-9+/_.~-]{8,}={0,2}"
+             r"|(?<=[=:\s\"'`])(?=\S)(?<=[=:]\s{0,8}[\"'`]?)" + rf"(?<=(?i:{_NAMED}))(?!(?i:bearer|basic)\s)"
              r"(?:(?<=\")[^\s\"]+|(?<=')[^\s']+|(?<=`)[^\s`]+|(?<![\"'`])[^\s\"'`]*[^\s\"'`,;)\]}])"
              r"|(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+# Forms that only keys have.
+SURE_FORM = (r"^(?:-----BEGIN |gh[pousr]_[A-Za-z0-9]{36}|AKIA[A-Z0-9]{16}$|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}"
+             r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}$)")
+#: What stands before the password of an address, and before a credential in a header.
+_CARRIED = r"(?:://[^\s:/@]{1,64}:|\b(?:bearer|basic)\s)$"
 
-FEATURES = ("length", "digits", "upper", "lower", "marks", "changes", "entropy", "hex", "covered", "longest_letters", "quoted", "assigned",
-            "secret_word", "harmless_word", "checksum", *(f"word_{k}" for k in range(NEIGHBOURS)), *(f"path_{k}" for k in range(PATHS)))
+FEATURES = ("length", "digits", "upper", "lower", "marks", "changes", "entropy", "hex", "covered", "longest_letters", "quoted",
+            "checksum", *(f"word_{k}" for k in range(NEIGHBOURS)), *(f"path_{k}" for k in range(PATHS)))
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -108,13 +122,11 @@ def features(value: str, before: str, after: str, path: str, known: np.ndarray)
     for k in range(4):
         covered[k:k + len(hit)] |= hit
     words = re.findall(r"[\w.-]+", before.lower())[-3:] + re.findall(r"[\w.-]+", after.lower())[:2]
-    near = " ".join(words)
+    words = [w for w in words if not any(name in w for name in (*SECRET_WORDS, *HARMLESS_WORDS))]  # those give labels
     row = [n, share[0], share[2], share[1], share[3], sum(x != y for x, y in zip(kinds, kinds[1:])) / n, entropy,
            float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None), float(covered.mean()),
            max((len(m) for m in re.findall(r"[A-Za-z]+", value)), default=0),
-           float(before[-1:] in ("\"", "'", "`")), float(re.search(r"[=:]\s*[\"'`]?$", before) is not None),
-           float(any(w in near for w in SECRET_WORDS)), float(any(w in near for w in HARMLESS_WORDS)),
-           float(value.isdecimal() and _checksum(value))]
+           float(before[-1:] in ("\"", "'", "`")), float(value.isdecimal() and _checksum(value))]
     counts = [0.0] * NEIGHBOURS
     for w in words:
         counts[_bucket(w, NEIGHBOURS)] += 1
@@ -156,19 +168,20 @@ def candidates(docs: DataFrame, known: np.ndarray, key: str = "doc_id", text: st
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Findings whose label is beyond doubt from their context: an assignment to a word that names a secret, of mixed letters
-    and digits (1); prose, addresses, numbers, and strings named as harmless (0). Others have a null label."""
-    said = F.lower("before").rlike(rf"{_NAMED}$")
-    mixed = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")
-    harmless = (~F.col("value").rlike("[0-9]") | F.col("value").rlike(r"^[0-9.+-]+$") | F.col("value").rlike(r"[a-z]\.[a-z]")
-                | F.lower("before").rlike(rf"(?:{'|'.join(HARMLESS_WORDS)})\W*$"))
-    return found.withColumn("label", F.when(said & mixed, 1.0).when(harmless & ~said, 0.0))
+    """Findings whose label is beyond doubt: named as a secret, carried as one, or of a form that only keys have (1); words, numbers,
+    addresses and strings named as harmless (0). Others have a null label."""
+    value, before = F.col("value"), F.lower("before")
+    said = before.rlike(rf"{_NAMED}$") & value.rlike("[0-9]|[^\\w.,:-]")
+    sure = value.rlike(SURE_FORM) | before.rlike(_CARRIED)
+    harmless = (value.rlike(r"^[A-Za-z/_.-]+$") | value.rlike(r"^[0-9.+-]+$") | value.rlike(r"^[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,6}(?:/|$)")
+                | before.rlike(rf"(?:{'|'.join(HARMLESS_WORDS)})\W*$"))
+    return found.withColumn("label", F.when(said | sure, 1.0).when(harmless & ~before.rlike(rf"{_NAMED}$"), 0.0))
 
 
 def train(findings: DataFrame, most: int = TRAIN_FINDINGS):
-    """A forest from ``findings(value, features, label)``; copies of a string count once. None where a class is missing.
+    """A forest from ``findings(value, features, label)``; copies of a string count once. None where a class has too few strings.
 
-    Strings are taken in order of a hash, at most ``most`` of them, half of them at most of each label.
+    Strings are taken in order of a hash, at most ``most`` of them, half of them at most of each label; both labels weigh the same.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
@@ -177,23 +190,27 @@ def train(findings: DataFrame, most: int = TRAIN_FINDINGS):
     parts = [ones.where(F.col("label") == y).orderBy(F.xxhash64("value"), "value").limit(most // 2) for y in (0.0, 1.0)]
     rows = parts[0].unionByName(parts[1]).select("label", array_to_vector("features").alias("features")).persist()
     try:
-        if rows.select("label").distinct().count() < 2:
+        sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if len(sizes) < 2 or min(sizes.values()) < LEAST_OF_CLASS:
             return None
-        return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2).fit(rows)
+        weight = F.when(F.col("label") == 1, F.lit(0.5 / sizes[1.0])).otherwise(F.lit(0.5 / sizes[0.0])) * F.lit(float(sum(sizes.values())))
+        return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2, weightCol="weight").fit(
+            rows.withColumn("weight", weight))
     finally:
         rows.unpersist()
 
 
 def judged(found: DataFrame, forest, threshold: float = THRESHOLD) -> DataFrame:
-    """``found`` with ``probability`` and ``secret``."""
+    """``found`` with ``probability`` and ``secret``: the label where it is beyond doubt, else what the forest says."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    rated = labelled(found)
     if forest is None:
-        return (labelled(found).withColumn("probability", F.lit(None).cast("double"))
-                .withColumn("secret", F.coalesce(F.col("label") == 1, F.lit(False))).drop("features", "label"))
-    rated = forest.transform(found.withColumn("features", array_to_vector("features")))
-    return (rated.withColumn("probability", vector_to_array("probability")[1])
-            .select(*[c for c in found.columns if c != "features"], "probability", (F.col("probability") >= threshold).alias("secret")))
+        rated = rated.withColumn("probability", F.lit(None).cast("double"))
+    else:
+        rated = forest.transform(rated.withColumn("features", array_to_vector("features"))).withColumn("probability", vector_to_array("probability")[1])
+    secret = F.coalesce(F.col("label") == 1, F.col("probability") >= threshold, F.lit(False))
+    return rated.select(*[c for c in found.columns if c != "features"], "probability", secret.alias("secret"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
