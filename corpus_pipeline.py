@@ -17,15 +17,16 @@ WIDTH, PERCENT = 5, 80
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without text or letters and those whose words mostly fit no learned language.
 
-    Rows are judged by their text alone: equal texts share a verdict.
+    Rows are judged by their text alone: equal texts share a verdict. Null and empty texts go, long ones are read whole; an empty
+    table gives no rows, and all columns are kept, whatever their names.
     """
     model = languages.learn(docs)
     own = F.concat_ws(":", F.xxhash64("text"), F.length("text"))
     judged = languages.identify(docs.select(own.alias("row"), "text"), model, "row")
-    rejected = judged.where((F.col("lang_pred") == languages.UNKNOWN) | (F.col("noise") > MOST_NOISE)).select("row").distinct()
+    rejected = judged.where((F.col("lang_pred") == languages.UNKNOWN) | (F.col("noise") > MOST_NOISE)).select(F.col("row").alias("__rejected")).distinct()
     rejected = cut(rejected, "rejected")
     parts = marked(docs, own, rejected, "__perhaps")  # texts of accepted documents are not shuffled
-    checked = parts.where("__perhaps").join(rejected, own == F.col("row"), "left_anti")
+    checked = parts.where("__perhaps").join(rejected, own == F.col("__rejected"), "left_anti")
     return parts.where("not __perhaps").select(docs.columns).union(checked.select(docs.columns))
 
 
@@ -52,18 +53,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets; ``n_chars`` follows the text."""
+    """Masks secrets; ``n_chars`` follows the text. A null text stays null; every row and column is kept."""
     masked = secrets.redacted(docs, cut(secrets.scan(docs), "findings"))
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out documents so that sources meet their target weights."""
+    """Repeats and leaves out documents so that sources meet their target weights.
+
+    Documents without words have nothing to give. Rows that share an id are taken alike. Columns are kept, an empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of ids and decoded bytes."""
+    """Digests of the token ids of every document and of the bytes that they decode to; null texts have no ids, other columns go."""
     import public_tokenizers
 
     coded = bytepairs.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
