@@ -7,8 +7,8 @@ another, are the globally ordered capture histories.
 
 Edge cases: a null payload is an empty one; a null URL is empty and has an empty key. Pages with equal ids are captures of
 their own. Equal payloads of at least SMALLEST bytes become revisits of the smallest id among them; ties of that id go to
-one row only if the rows are equal in all else, otherwise every such row is a response. An empty table gives no files and
-an empty index. Other columns are not read.
+one row only if the rows are equal in all else, otherwise every such row is a response. A long payload makes files of fewer
+records. An empty table gives no files and an empty index. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Payloads below this many bytes are never revisits.
 SMALLEST = 100
-#: Records of one file at most: bounds the memory of a task that reads a file.
-FILE_RECORDS = 2_000
+#: Records of one file at most, and payload bytes that the records of a file may come to: bounds the memory of a task that reads it.
+FILE_RECORDS, FILE_BYTES = 2_000, 128 << 20
 #: Index entries of one key range, about.
 RANGE_ENTRIES = 10_000
+# Fixed value: says that a revisit repeats a payload of the same digest.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: First capture time where the pages carry none; page_id seconds are added.
 EPOCH = "2024-01-01 00:00:00"
 
@@ -58,7 +60,12 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
 
 def write_archives(captures: DataFrame, path: str) -> None:
-    """One WARC file per task and FILE_RECORDS captures of ``with_revisits``; revisits carry no payload."""
+    """WARC files of captures of ``with_revisits``; revisits carry no payload.
+
+    A file has at most FILE_RECORDS records, and no more than FILE_BYTES hold of the longest payload there is; a longer one is alone.
+    """
+    longest = captures.agg(F.max("length")).first()[0] or 0
+    most = max(1, min(FILE_RECORDS, FILE_BYTES // max(longest, 1)))
     ident = lambda k: F.concat(F.lit("<urn:page:"), k.cast("string"), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
@@ -69,11 +76,11 @@ def write_archives(captures: DataFrame, path: str) -> None:
         line("WARC-Record-ID", ident(F.coalesce(F.col("page_id").cast("string"), F.lit("")))), line("WARC-Date", F.coalesce(when, F.lit(""))),
         line("WARC-Target-URI", clean), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         line("WARC-Payload-Length", F.col("length").cast("string")),
-        F.when(revisit, line("WARC-Refers-To", ident(F.col("refers_to")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Refers-To", ident(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("length").cast("string"))), F.lit("\r\n"))
     record = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("html")), F.lit("\r\n\r"))
-    (captures.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS)
+    (captures.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", most)
      .option("compression", "gzip").text(path))
 
 
@@ -188,3 +195,11 @@ def merged_index(entries: DataFrame, ranges: int | None = None) -> DataFrame:
 
     return cut.mapInArrow(merge, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema[:]) + ", range long, capture long"
                           ).select(*columns, "range", "capture")
+
+
+def histories(merged: DataFrame) -> DataFrame:
+    """A written ``merged_index`` with ``place``, the number of an entry in the whole history, from 0: its range's start and its capture."""
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range of RANGE_ENTRIES entries.
+    starts = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return merged.join(starts, "range").withColumn("place", F.col("start") + F.col("capture")).drop("start")

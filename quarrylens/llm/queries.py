@@ -97,18 +97,24 @@ def warc_index(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "warc")
     archives.write_archives(archives.with_revisits(read(spark, folder, "pages")), path)
     entries = cut(archives.index_entries(spark, path), "index")
-    return archives.merged_index(entries).select(
+    merged = cut(archives.merged_index(entries), "history")
+    return archives.histories(merged).select(
         F.expr("try_cast(page_id AS BIGINT)").alias("page_id"), F.col("length").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
-        F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"))
+        F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"), "url_key", F.col("time").alias("captured"), "place")
 
 
-QUERIES["op6_warc_index"] = Query(warc_index, """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+QUERIES["op6_warc_index"] = Query(warc_index, r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS bytes,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured,
+    regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?(?:www\d*\.)?', '') AS bare FROM pages),
+u AS (SELECT *, array_to_string(list_reverse(string_split(regexp_extract(bare, '^([^/:?#]*)', 1), '.')), ',') AS host,
+    regexp_replace(regexp_replace(bare, '^[^/?#]*', ''), '#.*$', '') AS path FROM p),
+f AS (SELECT *, host || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key, min(page_id) OVER (PARTITION BY html) AS first FROM u)
 SELECT page_id, bytes::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
   CASE WHEN bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""")
+  CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to, url_key, captured,
+  row_number() OVER (ORDER BY url_key, captured, page_id::VARCHAR) - 1 AS place FROM f""")
 
 
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,9 +185,11 @@ z AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
   FROM (SELECT * FROM y UNION ALL SELECT * FROM y WHERE kind = 3) WHERE kind <> 0),
 r AS (SELECT *, left(role, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM z),
 f AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE 'none' END AS fault FROM r),
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE 'none' END AS fault FROM r),
 n AS (SELECT conv_id, i, c, role || ':' || text AS line, text, fault NOT IN ('blank', 'duplicate') AS stays,
     CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM f),
 g AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]}} AS e, {_NO_WAY} AS s, {_NO_WAY} AS u,

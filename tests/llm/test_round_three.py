@@ -9,7 +9,7 @@ import pytest
 from llm_samples import prose
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bytepairs, chats, secrets
+from quarrylens.llm import archives, bytepairs, chats, common, secrets
 
 
 def test_a_million_blanks_are_encoded(spark):
@@ -105,3 +105,24 @@ def test_sure_labels_are_not_overruled(spark):
     rows += [(100, f"token = \"{_keys(1)[0]}\"", "p")]
     found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert [r.doc_id for r in found.where("secret").collect()] == [100]
+
+
+def test_histories_and_files_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(archives, "FILE_BYTES", 20_000)
+    rows = [(k, f"http://www.h{k % 3}.org/p{k % 7}", "x" * (5000 if k % 10 == 0 else 50 + k), 1, "r") for k in range(60)] + [(60, None, None, 2, "s")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, range long, capture string").coalesce(1)
+    path = common.scratch(spark, "warc-test")
+    archives.write_archives(archives.with_revisits(pages), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    assert files.count() >= 61 // 4
+    import gzip
+
+    said = b"".join(gzip.decompress(bytes(r.content)) for r in files.select("content").collect())
+    assert said.count(b"WARC-Type: revisit") == said.count(b"WARC-Profile: ") == said.count(b"WARC-Refers-To: ") == 5
+    merged = common.cut(archives.merged_index(archives.index_entries(spark, path), ranges=4), "history-test")
+    got = archives.histories(merged).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(61))
+    assert [(r.url_key, r.time, r.page_id) for r in got] == sorted((r.url_key, r.time, r.page_id) for r in got)
+    empty = common.scratch(spark, "warc-none")
+    archives.write_archives(archives.with_revisits(pages.where("false")), empty)
+    assert archives.index_entries(spark, empty).count() == 0
