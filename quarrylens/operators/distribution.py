@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,8 @@ from quarrylens.scale.longform import MISSING_LABEL
 
 DISTRIBUTION_VALUES, TOP_CATEGORIES, OTHER = 30, 12, "Other"
 BOX_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
-MAX_BINS = 1_000_000
+#: A longer run of empty bins is one row of a histogram, from the lower edge of its first to the upper edge of its last bin.
+LONG_RUN = 10_000
 
 
 def automatic_bins(s: Summary, whole_numbers: bool) -> tuple[float, float, int]:
@@ -39,8 +40,6 @@ def automatic_bins(s: Summary, whole_numbers: bool) -> tuple[float, float, int]:
     if whole_numbers:
         width = max(width, 1.0)
     bins = max(math.ceil(span / width), 1)
-    if bins > MAX_BINS:
-        raise AnalysisError(f"The automatic width would give {bins} bins; choose columns without extreme values")
     return s.low, s.high, bins
 
 
@@ -48,42 +47,53 @@ def _is_whole(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.IntegralType)
 
 
-def histogram(df: DataFrame, columns: Sequence[str] | None = None, color: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, columns: Sequence[str] | None = None, color: str | None = None, runs: bool = False) -> DataFrame:
     """``column[, color], bin, lower, upper, count`` for every automatic bin, empty ones included.
 
     Bins are half-open, the last one closed. Edges come from one pass of order statistics, the
-    counts of all columns from one further grouped scan. With ``color`` the edges are shared.
+    counts of all columns from one further grouped scan. With ``color`` the edges are shared and empty bins are left out.
+
+    Only filled bins are ever counted and ordered, so far values may call for any number of bins: a run of more than LONG_RUN
+    empty ones is one row. With ``runs`` every run of empty bins is one row, and ``bins`` says how many bins a row stands for.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     require_columns(df, [*columns, color])
     summaries = quantile_values(df, columns, (0.25, 0.75))
     bins = {i: automatic_bins(summaries[c], _is_whole(df, c)) for i, c in enumerate(columns) if summaries[c].count}
+    number = "bigint" if any(b[2] > 2**31 - 1 for b in bins.values()) else "int"
     if not bins:
         colors = "" if color is None else "color string, "
         return df.sparkSession.createDataFrame(
-            [], f"column string, {colors}bin int, lower double, upper double, count bigint")
+            [], f"column string, {colors}bin int, lower double, upper double, count bigint" + (", bins bigint" if runs else ""))
     plan = df.sparkSession.createDataFrame(
-        [(i, *b) for i, b in bins.items()], f"{COLUMN} int, low double, high double, bins int")
+        [(i, *b) for i, b in bins.items()], f"{COLUMN} int, low double, high double, all_bins bigint")
     by = [] if color is None else ["__color"]
     source = df if color is None else df.withColumn("__color", as_text(df, color))
     # One row per column: bounded by the schema.
     placed = numbers_long(source, columns, by).join(F.broadcast(plan), COLUMN)
-    step = (F.col("high") - F.col("low")) / F.col("bins")
-    guess = F.least(F.floor((F.col(VALUE) - F.col("low")) / step), F.col("bins") - 1).cast("int")
+    step, last = (F.col("high") - F.col("low")) / F.col("all_bins"), F.col("all_bins") - 1
+    guess = F.least(F.floor((F.col(VALUE) - F.col("low")) / step), last).cast("bigint")
     # The division may round across an edge: the edges shown decide.
     index = (guess + F.when(F.col(VALUE) < F.col("low") + guess * step, -1)
-             .when((guess < F.col("bins") - 1) & (F.col(VALUE) >= F.col("low") + (guess + 1) * step), 1).otherwise(0))
-    counts = placed.groupBy(*by, COLUMN, index.alias("bin")).agg(F.count("*").alias("count"))
-    grid = plan.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    edges = [(F.col("low") + F.col("bin") * step).alias("lower"),
-             F.when(F.col("bin") == F.col("bins") - 1, F.col("high"))
-             .otherwise(F.col("low") + (F.col("bin") + 1) * step).alias("upper")]
+             .when((guess < last) & (F.col(VALUE) >= F.col("low") + (guess + 1) * step), 1).otherwise(0))
+    counts = placed.groupBy(*by, COLUMN, index.alias("bin")).agg(F.count("*").alias("count")).join(F.broadcast(plan), COLUMN)
     if color is None:
-        full = grid.join(counts, [COLUMN, "bin"], "left")
-        return full.select(name_of(columns).alias("column"), "bin", *edges,
-                           F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
-    full = counts.join(grid, [COLUMN, "bin"])
-    return full.select(name_of(columns).alias("column"), F.col("__color").alias("color"), "bin", *edges, "count")
+        # The smallest value lies in the first bin and the greatest in the last, so gaps are between filled bins.
+        gap = F.coalesce(F.lead("bin").over(Window.partitionBy(COLUMN).orderBy("bin")), F.col("all_bins")) - F.col("bin") - 1
+        empty = F.struct((F.col("bin") + 1).alias("bin"), F.col("gap").alias("bins"), F.lit(0).cast("bigint").alias("count"))
+        filled = F.struct("bin", F.lit(1).cast("bigint").alias("bins"), "count")
+        counts = counts.withColumn("gap", gap).select(COLUMN, "low", "high", "all_bins", F.inline(
+            F.when(F.col("gap") > 0, F.array(filled, empty)).otherwise(F.array(filled))))
+        if not runs:
+            apart = (F.col("bins") > 1) & (F.col("bins") <= LONG_RUN)
+            each = F.when(apart, F.sequence(F.col("bin"), F.col("bin") + F.col("bins") - 1)).otherwise(F.array("bin"))
+            counts = counts.select(COLUMN, "low", "high", "all_bins", "count", F.when(apart, 1).otherwise(F.col("bins")).alias("bins"), F.explode(each).alias("bin"))
+    else:
+        counts = counts.withColumn("bins", F.lit(1).cast("bigint"))
+    after = F.col("bin") + F.col("bins")
+    upper = F.when(after == F.col("all_bins"), F.col("high")).otherwise(F.col("low") + after * step)
+    return counts.select(name_of(columns).alias("column"), *([] if color is None else [F.col("__color").alias("color")]), F.col("bin").cast(number).alias("bin"),
+                         (F.col("low") + F.col("bin") * step).alias("lower"), upper.alias("upper"), "count", *(["bins"] if runs else []))
 
 
 def box(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.operators import correlation, distribution
-from quarrylens.plans.registry import LINEITEM_NUMBERS, Query, on, rounded, union_all
+from quarrylens.plans.registry import LINEITEM_NUMBERS, Query, on, read, rounded, union_all
 from quarrylens.plans.tables import GAPS_SQL, _with_gaps
 
 QUERIES: dict[str, Query] = {}
 
 
+def _far(df: DataFrame) -> DataFrame:
+    """All bins of a column with a far value, summed up: rows, bins, and whether they join without a gap."""
+    latest = df.agg(F.max("l_orderkey")).scalar()
+    far = df.select((F.col("l_extendedprice") + F.when(F.col("l_orderkey") == latest, F.lit(1e10)).otherwise(F.lit(0.0))).alias("far"))
+    rows = distribution.histogram(far, ["far"], runs=True)
+    follows = F.coalesce(F.lag(F.col("bin") + F.col("bins")).over(Window.orderBy("bin")) == F.col("bin"), F.col("bin") == 0)
+    return rows.withColumn("follows", follows).agg(
+        F.sum("count").alias("rows"), F.sum("bins").alias("bins"), (F.sum("bins") > 1_000_000).alias("many"), F.min("follows").alias("whole"))
+
+
 def histogram_sql(source: str, column: str, whole: bool) -> str:
     """Automatic bins: the smaller of the two widths, half-open, the last bin closed; values are joined to the edges."""
     least = "greatest(w, 1.0)" if whole else "w"
@@ -37,6 +47,15 @@ QUERIES["histogram_auto"] = Query(
                histogram_sql("lineitem", "l_linenumber", True)]))
 
 # Values that lie on edges: hundredths.
+#: A far value and narrow quartiles: millions of bins, of which a few thousand are filled.
+_FAR_SQL = "(SELECT l_extendedprice + CASE WHEN l_orderkey = (SELECT max(l_orderkey) FROM lineitem) THEN 1e10 ELSE 0 END AS far FROM lineitem)"
+QUERIES["histogram_far_value"] = Query(
+    lambda spark, folder: _far(read(spark, folder, "lineitem")),
+    f"""WITH p AS (SELECT far, min(far) OVER () AS low, max(far) OVER () AS high FROM {_FAR_SQL}),
+s AS (SELECT count(*) AS n, min(far) AS low, max(far) AS high, quantile_cont(far, 0.25) AS q1, quantile_cont(far, 0.75) AS q3 FROM {_FAR_SQL}),
+b AS (SELECT *, ceil((high - low) / least((high - low) / (log2(n) + 1), 2 * (q3 - q1) / pow(n, 1 / 3.0)))::BIGINT AS bins FROM s)
+SELECT n AS rows, bins, (bins > 1000000) AS many, true AS whole FROM b""")
+
 QUERIES["histogram_edges"] = Query(
     on("lineitem", lambda df: rounded(distribution.histogram(df, ["l_discount", "l_tax"]))),
     union_all([histogram_sql("lineitem", "l_discount", False), histogram_sql("lineitem", "l_tax", False)]))

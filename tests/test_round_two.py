@@ -73,3 +73,15 @@ def test_split_of_equal_rows(spark):
     few = df.drop("id").withColumn("x", F.lit(1.0))  # two different rows, parted by weight
     row = models.train_classifier(few, ["x"], "c").first()
     assert (row["train_rows"], row["test_rows"], row["accuracy"]) == (300, 100, 0.5)
+
+
+def test_histogram_of_a_far_value(spark):
+    from quarrylens.operators import distribution
+
+    df = spark.range(1000).selectExpr("if(id = 0, 1e9, double(id) / 1000) AS x", "id % 2 AS c")
+    rows = sorted(distribution.histogram(df, ["x"], runs=True).collect(), key=lambda r: r["bin"])
+    assert sum(r["count"] for r in rows) == 1000 and sum(r["bins"] for r in rows) > 10**9 and len(rows) < 100
+    assert all(a["bin"] + a["bins"] == b["bin"] and a["upper"] == pytest.approx(b["lower"]) for a, b in zip(rows, rows[1:]))
+    plain = distribution.histogram(df, ["x"]).collect()
+    assert sum(r["count"] for r in plain) == 1000 and len(plain) < 10_100
+    assert sum(r["count"] for r in distribution.histogram(df, ["x"], "c").collect()) == 1000
