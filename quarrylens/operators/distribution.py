@@ -13,7 +13,7 @@ from quarrylens.errors import AnalysisError
 from quarrylens.functions.bands import shape
 from quarrylens.functions.kinds import NUMERIC, column_kind, numeric_columns, require_columns, require_numeric
 from quarrylens.functions.values import as_text, finite_column, missing, present, tidy
-from quarrylens.operators.profile import numeric_statistics
+from quarrylens.operators.profile import numeric_statistics, quartiles
 from quarrylens.operators.quality import iqr_outliers
 from quarrylens.scale.cells import COLUMN, VALUE, Summary, grouped_quantiles, name_of, numbers_long, quantile_values
 from quarrylens.scale.longform import MISSING_LABEL
@@ -27,14 +27,14 @@ LONG_RUN = 10_000
 def automatic_bins(s: Summary, whole_numbers: bool) -> tuple[float, float, int]:
     """``(low, high, bins)`` by the smaller of the Freedman-Diaconis and Sturges widths.
 
-    ``s.q`` holds the two outer quartiles. Whole-number columns get bins at least 1 wide; a
+    ``s.q`` begins and ends with the outer quartiles. Whole-number columns get bins at least 1 wide; a
     constant column gets one bin around its value.
     """
     if s.low == s.high:
         return s.low - 0.5, s.high + 0.5, 1
     span = s.high - s.low
     width = span / (math.log2(s.count) + 1)
-    spread = 2 * (s.q[1] - s.q[0]) / s.count ** (1 / 3)
+    spread = 2 * (s.q[-1] - s.q[0]) / s.count ** (1 / 3)
     if spread > 0:
         width = min(width, spread)
     if whole_numbers:
@@ -47,7 +47,8 @@ def _is_whole(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.IntegralType)
 
 
-def histogram(df: DataFrame, columns: Sequence[str] | None = None, color: str | None = None, runs: bool = False) -> DataFrame:
+def histogram(df: DataFrame, columns: Sequence[str] | None = None, color: str | None = None, runs: bool = False,
+              summaries: dict[str, Summary] | None = None) -> DataFrame:
     """``column[, color], bin, lower, upper, count`` for every automatic bin, empty ones included.
 
     Bins are half-open, the last one closed. Edges come from one pass of order statistics, the
@@ -58,7 +59,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, color: str |
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     require_columns(df, [*columns, color])
-    summaries = quantile_values(df, columns, (0.25, 0.75))
+    summaries = summaries or quantile_values(df, columns, (0.25, 0.75))
     bins = {i: automatic_bins(summaries[c], _is_whole(df, c)) for i, c in enumerate(columns) if summaries[c].count}
     number = "bigint" if any(b[2] > 2**31 - 1 for b in bins.values()) else "int"
     if not bins:
@@ -151,14 +152,15 @@ def top_with_other(df: DataFrame, column: str, limit: int = TOP_CATEGORIES) -> D
     return top.unionByName(rest)
 
 
-def numeric_distribution(df: DataFrame, column: str) -> DataFrame:
+def numeric_distribution(df: DataFrame, column: str, summaries: dict[str, Summary] | None = None) -> DataFrame:
     """One row about a numeric column: moments, box, shape words, outliers and non-finite cells."""
     require_numeric(df, [column])
-    low, q1, median, q3, high = quantile_values(df, [column], BOX_PROBS)[column].q
+    known = summaries or quartiles(df, [column])
+    low, q1, q3, high = known[column].low, known[column].q[0], known[column].q[2], known[column].high
     if low is None:
         raise AnalysisError(f"column: {column} holds no finite number")
-    stats = numeric_statistics(df, [column])
-    outliers = iqr_outliers(df, [column]).select("count").scalar()
+    stats = numeric_statistics(df, [column], known)
+    outliers = iqr_outliers(df, [column], known).select("count").scalar()
     dropped = df.agg(F.count(present(df, column)) - F.count(finite_column(df, column))).scalar()
     return stats.select(
         "column", "count", "mean", "median", "std", "skewness", *[
@@ -174,7 +176,8 @@ def distribution(df: DataFrame, column: str) -> dict[str, DataFrame]:
     distinct and non-missing counts.
     """
     if column_kind(df, column) == NUMERIC:
-        return {"summary": numeric_distribution(df, column), "histogram": histogram(df, [column])}
+        known = quartiles(df, [column])
+        return {"summary": numeric_distribution(df, column, known), "histogram": histogram(df, [column], summaries=known)}
     cells = df.select(as_text(df, column).alias("v"), missing(df, column).alias("gone"))
     summary = (cells.groupBy("v").agg(F.count_if(~F.col("gone")).alias("n"))
                .agg(F.count_if(F.col("n") > 0).alias("unique"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")))

@@ -60,17 +60,24 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         "column", "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
-def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, Summary]:
+    """Count, range, mean and the three quartiles of columns: what reports share, from one pass of order statistics."""
+    return quantile_values(df, list(columns), QUARTILES)
+
+
+def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None,
+                       summaries: dict[str, Summary] | None = None) -> DataFrame:
     """Statistics of the finite values of each numeric column, rounded to 6 decimals.
 
-    One scan for all moments; range, mean and quartiles come in as literals from :func:`quantile_values`.
+    One scan for all moments; range, mean and quartiles come in as literals from :func:`quartiles`.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     if not columns:
         return df.sparkSession.createDataFrame([], (
             "column string, count bigint, mean double, median double, std double, min double, q25 double, "
             "q75 double, max double, skewness double, kurtosis double"))
-    summaries = quantile_values(df, columns, QUARTILES)
+    known = summaries or quartiles(df, columns)
+    summaries = {c: known[c] for c in columns}
     views = df.select(*[finite_column(df, c).alias(f"__x{i}") for i, c in enumerate(columns)])
     row = views.agg(*[m for i, c in enumerate(columns) for m in _moments(i, summaries[c].mean)])
     sums = one_row_per(row, [{

@@ -14,7 +14,7 @@ from quarrylens.functions.kinds import BOOLEAN, NUMERIC, kinds, numeric_columns,
 from quarrylens.functions.values import (
     CHECK_DATE_TOKENS, finite_column, missing, present, tidy, to_number, to_timestamp,
 )
-from quarrylens.operators.profile import duplicate_summary, missing_summary, top_kinds
+from quarrylens.operators.profile import duplicate_summary, missing_summary, quartiles, top_kinds
 from quarrylens.scale.cells import Summary, quantile_values
 from quarrylens.scale.longform import distinct_counts, one_row_per, value_counts
 
@@ -28,13 +28,15 @@ WEIGHT_COMPLETE, WEIGHT_UNIQUE, WEIGHT_INLIER = 0.55, 0.25, 0.2
 def _fences(s: Summary) -> tuple[float | None, float | None]:
     if not s.count:
         return None, None
-    q1, q3 = s.q
+    q1, q3 = s.q[0], s.q[-1]
     return q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
 
 
-def outlier_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
-    """The two fences of every column, as numbers for use as literals."""
-    return {c: _fences(s) for c, s in quantile_values(df, columns, (0.25, 0.75)).items()}
+def outlier_bounds(df: DataFrame, columns: Sequence[str],
+                   summaries: dict[str, Summary] | None = None) -> dict[str, tuple[float | None, float | None]]:
+    """The two fences of every column, as numbers for use as literals; ``summaries`` are quartiles that are known already."""
+    known = summaries or quantile_values(df, columns, (0.25, 0.75))
+    return {c: _fences(known[c]) for c in columns}
 
 
 def _beyond(x: Column, bounds: tuple[float | None, float | None]) -> Column:
@@ -42,14 +44,14 @@ def _beyond(x: Column, bounds: tuple[float | None, float | None]) -> Column:
     return F.lit(False) if low is None else (x < low) | (x > high)
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, summaries: dict[str, Summary] | None = None) -> DataFrame:
     """``column, count, percent, lower_bound, upper_bound`` per numeric column, finite values only."""
     columns = list(columns) if columns is not None else numeric_columns(df)
     require_columns(df, columns)
     if not columns:
         return df.sparkSession.createDataFrame(
             [], "column string, count bigint, percent double, lower_bound double, upper_bound double")
-    bounds = outlier_bounds(df, columns)
+    bounds = outlier_bounds(df, columns, summaries)
     row = df.agg(*[f for i, c in enumerate(columns) for f in (
         F.count(finite_column(df, c)).alias(f"n{i}"),
         F.count_if(_beyond(finite_column(df, c), bounds[c])).alias(f"o{i}"))])
@@ -169,10 +171,10 @@ def _probes(df: DataFrame, c: str, i: int, text: list[str], variants: dict[str,
     return probes
 
 
-def quality_score(df: DataFrame) -> DataFrame:
+def quality_score(df: DataFrame, summaries: dict[str, Summary] | None = None) -> DataFrame:
     """One row: score, its parts, and counts of duplicates, gap cells and outlier cells."""
     numeric = numeric_columns(df)
-    bounds = outlier_bounds(df, numeric)
+    bounds = outlier_bounds(df, numeric, summaries)
     gaps = sum((missing(df, c).cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
     beyond = sum((F.coalesce(_beyond(finite_column(df, c), bounds[c]).cast("bigint"), F.lit(0)) for c in numeric),
                  F.lit(0).cast("bigint"))
@@ -194,15 +196,17 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 def quality_verdict(df: DataFrame) -> DataFrame:
     """Score, its word, and how many columns have outliers, gaps and type problems."""
-    outliers = iqr_outliers(df).where(F.col("count") > 0).agg(F.count("*")).scalar()
+    known = quartiles(df, numeric_columns(df))
+    outliers = iqr_outliers(df, summaries=known).where(F.col("count") > 0).agg(F.count("*")).scalar()
     gaps = missing_summary(df).agg(F.count("*")).scalar()
     issues = datatype_issues(df).agg(F.count("*")).scalar()
-    return quality_score(df).select("score", verdict(F.col("score")).alias("verdict"),
+    return quality_score(df, known).select("score", verdict(F.col("score")).alias("verdict"),
                                     outliers.alias("columns_with_outliers"), gaps.alias("columns_with_gaps"),
                                     issues.alias("type_issues"))
 
 
 def quality_tables(df: DataFrame) -> dict[str, DataFrame]:
     """The parts of a quality report as separate tables, each computed only when used."""
-    return {"score": quality_score(df), "missing": missing_summary(df), "outliers": iqr_outliers(df),
+    known = quartiles(df, numeric_columns(df))
+    return {"score": quality_score(df, known), "missing": missing_summary(df), "outliers": iqr_outliers(df, summaries=known),
             "datatype_issues": datatype_issues(df)}

@@ -12,19 +12,20 @@ from quarrylens.functions.bands import STRONG, direction, number_text, shape_wor
 from quarrylens.functions.kinds import categorical_columns, kinds, numeric_columns
 from quarrylens.operators.correlation import TOP_LINKS, correlation_matrix, pair_table, strong_pairs
 from quarrylens.operators.profile import (
-    categorical_statistics, column_overview, duplicate_summary, missing_summary, numeric_statistics, table_overview,
+    categorical_statistics, column_overview, duplicate_summary, missing_summary, numeric_statistics, quartiles, table_overview,
 )
 from quarrylens.operators.quality import datatype_issues, iqr_outliers, quality_score
+from quarrylens.scale.cells import Summary
 
 # The order in which sections appear.
 SECTIONS = ("executive_summary", "overview", "quality", "statistics", "correlation", "distribution")
 
 
-def executive_summary(df: DataFrame) -> DataFrame:
+def executive_summary(df: DataFrame, summaries: dict[str, Summary] | None = None) -> DataFrame:
     """One row: rows, columns, score, duplicates, columns with gaps, kinds, strongest pair."""
     found = list(kinds(df).values())
     gaps = missing_summary(df).agg(F.count("*")).scalar()
-    row = quality_score(df).select(
+    row = quality_score(df, summaries).select(
         "rows", F.lit(len(df.columns)).cast("bigint").alias("columns"), "score", "duplicate_rows",
         gaps.alias("columns_with_gaps"), F.lit(found.count("numeric")).cast("bigint").alias("numeric"),
         F.lit(found.count("categorical")).cast("bigint").alias("categorical"))
@@ -44,11 +45,11 @@ def column_profile(df: DataFrame) -> DataFrame:
     return column_overview(df).select("column", "kind", "non_null", "missing", "unique")
 
 
-def statistics_tables(df: DataFrame) -> dict[str, DataFrame]:
+def statistics_tables(df: DataFrame, summaries: dict[str, Summary] | None = None) -> dict[str, DataFrame]:
     """Numeric columns with their figures, other columns with their most frequent value."""
     tables = {}
     if numeric_columns(df):
-        tables["numeric"] = numeric_statistics(df).select("column", "count", "mean", "median", "std", "min", "max")
+        tables["numeric"] = numeric_statistics(df, summaries=summaries).select("column", "count", "mean", "median", "std", "min", "max")
     if categorical_columns(df):
         tables["categorical"] = most_frequent(df)
     return tables
@@ -59,9 +60,9 @@ def most_frequent(df: DataFrame) -> DataFrame:
     return top.select("column", "unique", "missing", F.concat("value", F.lit(" ("), "count", F.lit(")")).alias("frequent"))
 
 
-def distribution_shapes(df: DataFrame) -> DataFrame:
+def distribution_shapes(df: DataFrame, summaries: dict[str, Summary] | None = None) -> DataFrame:
     """Centre, spread, skew and shape word of each numeric column."""
-    return numeric_statistics(df).select("column", "mean", "median", "std", "skewness",
+    return numeric_statistics(df, summaries=summaries).select("column", "mean", "median", "std", "skewness",
                                          shape_word(F.col("skewness")).alias("shape"))
 
 
@@ -78,18 +79,24 @@ def formatted(df: DataFrame, digits: int = 2, **special: int) -> DataFrame:
 
 
 def report(df: DataFrame, sections: Sequence[str]) -> dict[str, dict[str, DataFrame]]:
-    """The requested sections in fixed order; unknown names are ignored, none left is an error."""
+    """The requested sections in fixed order; unknown names are ignored, none left is an error.
+
+    Sections that need quartiles share one pass of order statistics.
+    """
     wanted = [s for s in SECTIONS if s in set(sections)]
     if not wanted:
         raise AnalysisError("Choose at least one known report section")
+    numeric = numeric_columns(df)
+    shared = set(wanted) & {"executive_summary", "quality", "statistics", "distribution"}
+    known = quartiles(df, numeric) if numeric and shared else None
     build = {
-        "executive_summary": lambda: {"summary": executive_summary(df)},
+        "executive_summary": lambda: {"summary": executive_summary(df, known)},
         "overview": lambda: {"table": table_overview(df), "columns": column_profile(df)},
-        "quality": lambda: {"score": quality_score(df), "missing": missing_summary(df),
-                            "outliers": iqr_outliers(df).where("count > 0"), "datatypes": datatype_issues(df)},
-        "statistics": lambda: statistics_tables(df),
+        "quality": lambda: {"score": quality_score(df, known), "missing": missing_summary(df),
+                            "outliers": iqr_outliers(df, summaries=known).where("count > 0"), "datatypes": datatype_issues(df)},
+        "statistics": lambda: statistics_tables(df, known),
         "correlation": lambda: {"strong": strong_pairs(df), "matrix": correlation_matrix(df)},
-        "distribution": lambda: {"shapes": distribution_shapes(df)} if numeric_columns(df) else {},
+        "distribution": lambda: {"shapes": distribution_shapes(df, known)} if numeric else {},
     }
     return {section: build[section]() for section in wanted}
 

@@ -85,3 +85,18 @@ def test_histogram_of_a_far_value(spark):
     plain = distribution.histogram(df, ["x"]).collect()
     assert sum(r["count"] for r in plain) == 1000 and len(plain) < 10_100
     assert sum(r["count"] for r in distribution.histogram(df, ["x"], "c").collect()) == 1000
+
+
+def test_a_report_runs_one_quantile_pass(rich, monkeypatch):
+    from quarrylens.operators import profile, quality, reports
+
+    passes = []
+    whole = profile.quantile_values
+    for module in (profile, quality):
+        monkeypatch.setattr(module, "quantile_values", lambda df, columns, probs: passes.append(tuple(columns)) or whole(df, columns, probs))
+    sections = reports.report(rich, reports.SECTIONS)
+    assert list(sections) == list(reports.SECTIONS) and len(passes) == 1
+    apart = reports.report(rich, ["quality"])["quality"]["score"].collect()
+    assert sections["quality"]["score"].collect() == apart
+    reports.report(rich, ["overview", "correlation"])
+    assert len(passes) == 2
