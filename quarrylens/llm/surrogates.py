@@ -2,10 +2,15 @@
 
 Detected entities get keyed replacements of the same type: digits become digits in the same script and format (card numbers
 keep their issuer digit, length and check digit; addresses stay valid addresses), e-mail addresses become addresses of the
-same shape, and names behind a title become names of the title's gender in the same script. The replacement depends on the
-key and the entity alone, so all mentions of an entity in all documents agree, whatever their format. Entities whose
+same shape, account numbers keep their country and the class of every character and get valid check digits, and names behind a
+title become names of the title's gender in the same script (Latin, Cyrillic or Greek; a name in another script that knows
+capitals becomes a Latin one). Where a text names a person behind a title, the full name and the family name standing alone in the
+same text are replaced alike. The replacement depends on the key and the entity alone, so all mentions of an entity in all
+documents agree, whatever their format. Entities whose
 surrogates collide, with each other or with an entity of the corpus, are drawn again until all are distinct.
 
+Limits: digits of other scripts than 0-9 are not read; a name that no title precedes in its text is not known to be one.
+
 Edge cases: null stays null, a text without entities stays as it is. Repeated rows are replaced alike, each once. Rows keep
 all their columns, whatever their names; the text column alone changes, and ``entities`` may be added. An empty table gives
 an empty result.
@@ -26,9 +31,12 @@ TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme",
           "m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин")}
 GIVEN = {("f", "latin"): ("Anna", "Clara", "Elena", "Emma", "Irene", "Julia", "Laura", "Lena", "Maria", "Nora", "Paula", "Sara"),
          ("m", "latin"): ("Adam", "Daniel", "David", "Felix", "Hugo", "Jonas", "Leo", "Martin", "Oscar", "Paul", "Simon", "Victor"),
+         ("f", "greek"): ("Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ιωάννα", "Κατερίνα", "Μαρία", "Σοφία"),
+         ("m", "greek"): ("Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος", "Σπύρος", "Χρήστος"),
          ("f", "cyrillic"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"),
          ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Глеб", "Иван", "Олег", "Павел", "Фёдор")}
 SYLLABLES = {"latin": ("ba", "ce", "di", "fo", "ga", "he", "ji", "ko", "la", "me", "ni", "po", "ra", "se", "ti", "vo"),
+             "greek": ("βα", "γε", "δι", "ζο", "θα", "κε", "λι", "μο", "να", "πε", "ρι", "σο", "τα", "φε", "χι", "ψο"),
              "cyrillic": ("ба", "ве", "ди", "го", "жа", "зе", "ки", "ло", "ма", "не", "пи", "ро", "са", "те", "фи", "хо")}
 
 _TITLE = "|".join(sorted(TITLES["f"] + TITLES["m"], key=len, reverse=True))
@@ -37,6 +45,7 @@ FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "name": rf"(?=[MFSHГ])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[  ]\p{{Lu}}\p{{L}}+(?:[  -]\p{{Lu}}\p{{L}}+)?",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
+    "ipv6": r"(?<![\p{L}\d:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\d:])",
     "phone": r"(?<![\p{L}\d+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)"
              r"|(?<![\p{L}\d.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])"
              r"|(?<![\p{L}\d+])\+(?=(?:[ ()/.-]{0,2}\d){7,15}(?![ .-]?\d))\d{1,15}(?:[ ./-]?\(?\d{2,8}\)?){0,6}(?!\d)"
@@ -66,7 +75,7 @@ def entity_of(mention: Column, kind: Column) -> Column:
     """What mentions of the same entity share: digits only, lower case, or a name behind the gender of its title."""
     name = F.concat(_gender(mention), F.lit(":"), F.lower(F.regexp_replace(mention, rf"^(?:{_TITLE})\.?[  ]", "")))
     return F.concat(kind, F.lit(":"), F.when(kind == "email", F.lower(mention)).when(kind == "name", name)
-                    .when(kind == "ip", mention).when(kind == "iban", F.regexp_replace(mention, " ", ""))
+                    .when(kind == "ip", mention).when(kind == "ipv6", F.lower(mention)).when(kind == "iban", F.regexp_replace(mention, " ", ""))
                     .otherwise(F.regexp_replace(mention, r"[^\d]", "")))
 
 
@@ -95,6 +104,27 @@ def _luhn(body: Column) -> Column:
     return F.concat(body, F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string"))
 
 
+def _account(body: Column, bits: Column) -> Column:
+    """An account number of the same country: letters and digits in their places, and check digits that are right (ISO 7064, 97-10)."""
+    more = F.concat(bits, F.sha2(bits, 256))
+    own = F.transform(F.split(F.substr(body, F.lit(5)), ""), lambda c, i: F.when(
+        c.rlike("[0-9]"), F.pmod(F.conv(F.substr(more, i * 3 + 1, F.lit(3)), 16, 10).cast("int"), F.lit(10)).cast("string")).otherwise(
+        F.char(F.pmod(F.conv(F.substr(more, i * 3 + 1, F.lit(3)), 16, 10).cast("long"), F.lit(26)) + 65)))
+    country = F.substring(body, 1, 2)
+    digits = F.transform(F.split(F.concat(F.array_join(own, ""), country, F.lit("00")), ""), lambda c: F.when(
+        c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    rest = F.aggregate(digits, F.lit(0), lambda sum_, d: (sum_ * F.when(d > 9, 100).otherwise(10) + d) % 97)
+    return F.concat(country, F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), F.array_join(own, ""))
+
+
+def _social(digits: Column) -> Column:
+    """Nine digits as a number that can be issued: no area of 000, 666 or above 899, no group 00, no serial 0000."""
+    def nonzero(place: int, most: int) -> Column:
+        return (F.pmod(F.substring(digits, place, 1).cast("int"), F.lit(most)) + 1).cast("string")
+
+    return F.concat(nonzero(1, 5), F.substring(digits, 2, 2), nonzero(4, 9), F.substring(digits, 5, 1), nonzero(6, 9), F.substring(digits, 7, 3))
+
+
 def _pick(values: tuple[str, ...], bits: Column, at: int) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (_number(bits, at, len(values)) + 1).cast("int"))
 
@@ -106,7 +136,8 @@ def surrogate_of(entity: Column, kind: Column, key: str, attempt: Column) -> Col
     size = F.length(body)
     # A surname alone and the same surname behind a given name get the same new surname.
     family = _draw(key, F.concat(F.lit("family:"), F.regexp_extract(body, r"([^\s\u00a0:-]+)$", 1)), attempt)
-    script = F.when(body.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    script = (F.when(body.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(body.rlike(r"\p{IsGreek}"), F.lit("greek"))
+              .otherwise(F.lit("latin")))
     person = F.lit(None).cast("string")
     for (gender, writing), names in GIVEN.items():
         syllables = SYLLABLES[writing]
@@ -122,9 +153,9 @@ def surrogate_of(entity: Column, kind: Column, key: str, attempt: Column) -> Col
     # Digit strings keep their first digits where these say country, issuer or check rule.
     phone = F.concat(F.substring(body, 1, 1), _digits(bits, size - 1))
     luhn = _luhn(F.concat(F.substring(body, 1, 1), _digits(bits, size - 2)))
-    iban = F.concat(F.substring(body, 1, 2), _digits(bits, size - 2))
-    return (F.when(kind == "email", mail).when(kind == "name", person).when(kind == "ip", ip).when(kind == "card", luhn)
-            .when(kind == "iban", iban).when(kind == "phone", phone).otherwise(_digits(bits, size)))
+    ipv6 = F.concat_ws(":", F.lit("2001"), F.lit("db8"), *[F.substring(bits, 1 + 4 * k, 4) for k in range(6)])
+    return (F.when(kind == "iban", _account(body, bits)).when(kind == "ipv6", ipv6).when(kind == "ssn", _social(_digits(bits, F.lit(9)))).otherwise(F.when(kind == "email", mail).when(kind == "name", person).when(kind == "ip", ip).when(kind == "card", luhn)
+            .when(kind == "phone", phone).otherwise(_digits(bits, size))))
 
 
 def formatted(mention: Column, kind: Column, plain: Column) -> Column:
@@ -138,6 +169,17 @@ def formatted(mention: Column, kind: Column, plain: Column) -> Column:
             .when(kind == "name", F.concat(title, plain)).otherwise(plain))
 
 
+def _bare(mention: Column, plain: Column) -> Column:
+    """The full name and the family name of a titled mention as patterns, longest first, with what replaces them."""
+    name = F.regexp_replace(mention, rf"^(?:{_TITLE})\.?[ \u00a0]", "")
+    family = F.regexp_extract(name, r"([^\s\u00a0-]+)$", 1)
+
+    def entry(said: Column, new: Column) -> Column:
+        return F.struct((-F.length(said)).alias("order"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), said, F.lit(r"\E(?![\p{L}\p{N}])")).alias("pattern"), new.alias("new"))
+
+    return F.array(entry(name, plain), entry(family, F.regexp_extract(plain, r"(\S+)$", 1)))
+
+
 def mapping(entities: DataFrame, key: str) -> DataFrame:
     """``(entity, kind, plain, attempt)``: distinct surrogates for distinct ``entities(entity, kind)``, none of them an entity.
 
@@ -184,10 +226,14 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
                    .withColumn("entity", entity_of(F.col("mention"), F.col("kind"))), "mentions")
     drawn = mapping(mentions.select("entity", "kind").distinct(), key)
     told = (mentions.join(drawn.select("entity", "plain"), "entity")
-            .select("__row", F.struct("mention", formatted(F.col("mention"), F.col("kind"), F.col("plain")).alias("new")).alias("pair"))
-            .groupBy(F.col("__row").alias("__of")).agg(F.map_from_entries(F.collect_list("pair")).alias("__map")))
+            .select("__row", F.struct("mention", formatted(F.col("mention"), F.col("kind"), F.col("plain")).alias("new")).alias("pair"),
+                    F.when(F.col("kind") == "name", _bare(F.col("mention"), F.col("plain"))).alias("bare"))
+            .groupBy(F.col("__row").alias("__of")).agg(F.map_from_entries(F.collect_list("pair")).alias("__map"),
+                                                       F.array_sort(F.array_distinct(F.flatten(F.collect_list("bare")))).alias("__bare")))
     gaps = F.split(F.col(text), PATTERN, -1)
-    swapped = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(
+    # What lies between the mentions may name the same people again; longer names go first.
+    plain = lambda g: F.aggregate("__bare", g, lambda said, b: F.regexp_replace(said, b["pattern"], b["new"]))
+    swapped = F.array_join(F.transform(gaps, lambda g, i: F.concat(F.when(F.size("__bare") > 0, plain(g)).otherwise(g), F.coalesce(
         F.element_at("__map", F.get("__mentions", i)), F.get("__mentions", i), F.lit("")))), "")
     done = with_some.join(told, with_some["__row"] == told["__of"], "left")
     changed = done.select(*[(F.when(F.col("__map").isNull(), docs[c]).otherwise(swapped).alias(c) if c == text else docs[c]) for c in columns],

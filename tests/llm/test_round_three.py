@@ -126,3 +126,28 @@ def test_histories_and_files_by_bytes(spark, monkeypatch):
     empty = common.scratch(spark, "warc-none")
     archives.write_archives(archives.with_revisits(pages.where("false")), empty)
     assert archives.index_entries(spark, empty).count() == 0
+
+
+def _mod97(account):
+    moved = account[4:] + account[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
+def test_surrogates_of_bare_names_accounts_and_scripts(spark):
+    import re
+
+    from quarrylens.llm import surrogates
+
+    rows = [(1, "Mr John Smith called. Later Smith and John Smith signed; Dr Smith too. Smithson did not."),
+            (2, "IBAN GB82 WEST 1234 5698 7654 32 and DE89370400440532013000."), (3, "Mrs Παπαδοπούλου spoke; Παπαδοπούλου left."),
+            (4, "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1ff:fe23:4567:890a at 12:30:45"), (5, "ssn 123-45-6789"), (6, "Mr John Smith again.")]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert "Smith " not in got[1] and "John" not in got[1] and got[1].endswith("Smithson did not.")
+    full, family = re.match(r"Mr (\w+ (\w+)) called", got[1]).groups()
+    assert got[1] == f"Mr {full} called. Later {family} and {full} signed; Dr {family} too. Smithson did not." and got[6] == f"Mr {full} again."
+    british, german = re.fullmatch(r"IBAN (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) and (DE\d{20})\.", got[2]).groups()
+    assert _mod97(british.replace(" ", "")) == 1 == _mod97(german) and british != "GB82 WEST 1234 5698 7654 32" and german != "DE89370400440532013000"
+    name = re.fullmatch(r"Mrs ([Ͱ-Ͽἀ-῿]+) spoke; ([Ͱ-Ͽἀ-῿]+) left\.", got[3])
+    assert name and name[1] == name[2] != "Παπαδοπούλου"
+    assert re.fullmatch(r"host 2001:db8(?::[0-9a-f]{4}){6} and 2001:db8(?::[0-9a-f]{4}){6} at 12:30:45", got[4])
+    assert re.fullmatch(r"ssn [1-5]\d\d-[1-9]\d-[1-9]\d{3}", got[5]) and got[5] != rows[4][1]
