@@ -26,9 +26,9 @@ def check_request(df: DataFrame, chart_type: str, x: str | None, y: Sequence[str
     """Raise for unknown columns, types and aggregations, and for a missing axis."""
     require_columns(df, [x, color, *y, *columns])
     if chart_type not in CHART_TYPES:
-        raise AnalysisError(f"Unsupported chart type: {chart_type}")
+        raise AnalysisError(f"chart_type: {chart_type} is not a known one")
     if aggregation not in AGGREGATIONS:
-        raise AnalysisError(f"Unsupported aggregation: {aggregation}")
+        raise AnalysisError(f"aggregation: {aggregation} is not a known one")
     if chart_type == "heatmap":
         return
     if x is None and (chart_type in NEEDS_X or aggregation != "none"):

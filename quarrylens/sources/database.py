@@ -16,7 +16,7 @@ def read_only(query: str) -> str:
     """The query, when it is a single SELECT; anything else is refused."""
     body = query.strip().rstrip(";").strip()
     if not _SELECT.match(body) or ";" in body:
-        raise AnalysisError("Only a single SELECT query is permitted")
+        raise AnalysisError("query: one statement that begins with SELECT is asked for")
     return body
 
 
@@ -40,4 +40,4 @@ def load_query(spark: SparkSession, url: str, query: str, properties: dict[str,
     try:
         return normalize(reader.load())
     except Exception as error:
-        raise AnalysisError(f"Database query failed: {error}") from error
+        raise AnalysisError(f"query: the database refused it: {error}") from error

@@ -113,7 +113,7 @@ def load_excel(spark: SparkSession, path: str) -> DataFrame:
     rows = books.mapInPandas(_sheet_rows, "path string, row int, cells array<string>")
     headers = rows.where("row = 0").select("cells").distinct().limit(2).collect()
     if not headers:
-        raise AnalysisError("Dataset is empty")
+        raise AnalysisError(f"path: no row of data in {path}")
     if len(headers) > 1:
         raise AnalysisError("The workbooks have different header rows")
     names = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(headers[0]["cells"])]
@@ -125,7 +125,7 @@ def load(spark: SparkSession, path: str, format: str | None = None, multiline: b
     """Read a table by its suffix or by an explicit format, normalise it, refuse an empty one."""
     kind = (format or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if kind not in FORMATS:
-        raise AnalysisError(f"Unsupported data file: {path}. Known formats: {', '.join(FORMATS)}")
+        raise AnalysisError(f"path: {path} is of none of the known formats ({', '.join(FORMATS)})")
     try:
         if kind == "csv":
             df = load_csv(spark, path, multiline)
@@ -137,7 +137,7 @@ def load(spark: SparkSession, path: str, format: str | None = None, multiline: b
     except AnalysisError:
         raise
     except Exception as error:
-        raise AnalysisError(f"Could not parse file: {error}") from error
+        raise AnalysisError(f"path: {path} does not read as its ending says: {error}") from error
     if nothing:
-        raise AnalysisError("Dataset is empty")
+        raise AnalysisError(f"path: no row of data in {path}")
     return normalize(df)
