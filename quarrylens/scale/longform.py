@@ -83,12 +83,15 @@ def value_counts(df: DataFrame, columns: Sequence[str], texts: bool = True) -> D
 def distinct_profile(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """``column, position, rows, missing, distinct, sample``: long texts are shuffled as digests, or nothing with ``approximate``.
 
-    The sample is the smallest value as text; it is known without a shuffle. ``approximate`` reads the number of distinct values
+    The sample is the smallest value as text. ``approximate`` reads the number of distinct values
     from HyperLogLog sketches, which merge like sums and are right to about 2 percent.
     """
     words = [as_text(df, c) for c in columns]
+    numbers = (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.FloatType, T.DoubleType)
+    # The smallest text of numbers comes from their distinct values, so that not every cell is turned into text.
+    texts = [i for i, c in enumerate(columns) if approximate or not isinstance(df.schema[c].dataType, numbers)]
     figures = [a for i, c in enumerate(columns) for a in (
-        F.count_if(missing(df, c)).alias(f"m{i}"), F.min(F.when(~missing(df, c), words[i])).alias(f"s{i}"))]
+        F.count_if(missing(df, c)).alias(f"m{i}"), (F.min(F.when(~missing(df, c), words[i])) if i in texts else F.lit(None).cast("string")).alias(f"s{i}"))]
     if approximate:
         figures += [F.approx_count_distinct(F.when(~missing(df, c), words[i]), 0.02).alias(f"d{i}") for i, c in enumerate(columns)]
     wide = one_row_per(df.agg(F.count("*").alias("rows"), *figures), [
@@ -96,9 +99,10 @@ def distinct_profile(df: DataFrame, columns: Sequence[str], approximate: bool =
          **({"distinct": F.col(f"d{i}")} if approximate else {}), "sample": F.col(f"s{i}")} for i, c in enumerate(columns)]).where(F.col("rows") > 0)
     if approximate:
         return wide
-    counts = distinct_counts(value_counts(df, columns, texts=False)).select("position", "distinct")
+    counts = distinct_counts(value_counts(df, columns, texts=False)).select("position", "distinct", F.col("sample").alias("least"))
     return (wide.join(F.broadcast(counts), "position", "left")  # one row for each column
-            .select("column", "position", "rows", "missing", F.coalesce("distinct", F.lit(0).cast("bigint")).alias("distinct"), "sample"))
+            .select("column", "position", "rows", "missing", F.coalesce("distinct", F.lit(0).cast("bigint")).alias("distinct"),
+                    F.when(F.col("position").isin(texts), F.col("sample")).otherwise(F.col("least")).alias("sample")))
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
