@@ -151,3 +151,31 @@ def test_surrogates_of_bare_names_accounts_and_scripts(spark):
     assert name and name[1] == name[2] != "Παπαδοπούλου"
     assert re.fullmatch(r"host 2001:db8(?::[0-9a-f]{4}){6} and 2001:db8(?::[0-9a-f]{4}){6} at 12:30:45", got[4])
     assert re.fullmatch(r"ssn [1-5]\d\d-[1-9]\d-[1-9]\d{3}", got[5]) and got[5] != rows[4][1]
+
+
+def test_saturated_lists_double_and_others_do_not(spark):
+    from quarrylens.llm import neighbours
+
+    dense = [(1, b, 0.95) for b in range(2, 42)]
+    mixed = [(50, b, 0.95 if b < 55 else 0.6) for b in range(51, 71)]
+    edges = spark.createDataFrame(dense + mixed, "a long, b long, cosine double")
+    labels = spark.createDataFrame([(k, k if k in (1, 50) else 0) for k in range(1, 71)], "id long, component long")
+    lengths = spark.createDataFrame([], "id long, most int")
+    seen = []
+    for _ in range(4):
+        rows = neighbours.best_of(edges, labels, lengths, 0.9).collect()
+        seen.append((sum(r.a == 1 for r in rows), {r.most for r in rows if r.a == 1}, {r.most for r in rows if r.a == 50}))
+        lengths = spark.createDataFrame([(a, m) for a, m in {(r.a, r.most) for r in rows} if m > 8], "id long, most int")
+    assert seen == [(8, {16}, {8}), (16, {32}, {8}), (32, {32}, {8}), (32, {32}, {8})]
+
+
+def test_rough_cosines_near_the_threshold_are_checked_in_doubles(spark):
+    import numpy as np
+
+    from quarrylens.llm import neighbours
+
+    turned = [np.arccos(c) for c in (1.0, 0.9 + 1e-9, 0.9 - 1e-9)]
+    vectors = [[float(np.cos(t)), float(np.sin(t)), 0.0] for t in (0.0, turned[1], -turned[2])] + [[0.0, 0.0, 1.0], [None, 1.0, 0.0], []]
+    found, recall = neighbours.searched(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+    assert recall == 1.0
