@@ -4,8 +4,9 @@ A neighbour graph begins with vectors that lie next to each other along a few ra
 neighbours of a vertex, in either direction, meet each other (a join of neighbours of neighbours), and every vertex keeps the
 best it has met, of all vectors and again of those outside its own group, so a list full of members of a dense group hides
 no other group. A list is saturated when it is full and all of it lies above the threshold: it doubles, vertex by vertex, up to
-LONGEST; what a dense group holds beyond that is no loss, because groups are connected parts of all threshold edges that were
-ever met, and inside groups links are counted exactly, block by block, without writing pairs. Only vertices whose lists
+LONGEST. Beyond that, groups serve: they are the connected parts of all threshold edges that were ever met, and inside a group
+links are counted exactly, block by block, without writing pairs. A link between groups that no list met is left to the audit,
+which draws a sample, so recall is measured and not certain. Only vertices whose lists
 changed meet again, and the rounds go on until they bring next to nothing. Recall is audited against brute force, vertex by
 vertex, on fresh vertices each time: what an audit finds between groups joins them, and where it misses the target, twice as
 many projections are added and the rounds go on, however often it takes.
