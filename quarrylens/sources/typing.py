@@ -1,4 +1,4 @@
-"""Column types for tables read as text: one scan decides, one projection casts."""
+"""Column types for tables read as text: a look at a few rows and one scan decide, one projection casts."""
 
 from __future__ import annotations
 
@@ -22,8 +22,32 @@ def without_missing_tokens(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.StringType) else df[f.name] for f in df.schema])
 
 
-def _matches(column: Column, form: str) -> Column:
-    return F.count_if(F.trim(column).rlike(form))
+#: Rows looked at first: a form that one of them does not have is not looked for in the whole column.
+HEAD = 1000
+# What the cells of a column are not, as bits, and that there is a cell at all.
+FILLED, NOT_WHOLE, NOT_LONG, MANY_DIGITS, NOT_NUMBER, NOT_BOOLEAN = (1 << i for i in range(6))
+_DECIDED = NOT_WHOLE | NOT_NUMBER | NOT_BOOLEAN
+
+
+def _faults(column: Column, known: int) -> Column:
+    """The bits of one cell, null for a null one; bits ``known`` of the column are left out, as are those of no consequence then."""
+    text = F.trim(column)
+    tests = {NOT_WHOLE: text.rlike(_WHOLE), NOT_LONG: text.try_cast("bigint").isNotNull(), MANY_DIGITS: F.length(text) <= MOST_DIGITS,
+             NOT_NUMBER: _any_number(column).isNotNull(), NOT_BOOLEAN: text.rlike(_BOOLEAN)}
+    idle = known | (NOT_LONG | MANY_DIGITS if known & NOT_WHOLE else 0)
+    bits = F.lit(FILLED)
+    for bit, met in tests.items():
+        if not bit & idle:
+            bits = bits.bitwiseOR(F.when(met, F.lit(0)).otherwise(F.lit(bit)))
+    if not known & NOT_WHOLE:  # a whole number in its plain form needs no pattern
+        bits = F.when(text.try_cast("bigint").cast("string") == text, F.lit(FILLED | NOT_BOOLEAN)).otherwise(bits)
+    return F.when(column.isNotNull(), bits)
+
+
+def _found(df: DataFrame, known: dict[str, int]) -> dict[str, int]:
+    """The bits of the columns ``known``, from all rows of ``df``."""
+    row = df.agg(*[F.bit_or(_faults(df[c], bits)).alias(f"b{i}") for i, (c, bits) in enumerate(known.items())]).first()
+    return {c: bits | (row[f"b{i}"] or 0) for i, (c, bits) in enumerate(known.items())}
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -32,26 +56,30 @@ def infer_types(df: DataFrame) -> DataFrame:
     Whole numbers become 64-bit integers where all of them fit, else exact decimals of up to 38 digits, else
     they stay text, so that two long identifiers never become one value.
 
-    The decision reads every row, so it does not depend on which part of a file comes first.
+    The decision depends on every row, not on which part of a file comes first: the few rows of ``HEAD`` only rule forms out, and
+    the forms that are left are looked for in all rows.
     """
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not text:
         return df
-    seen = df.agg(*[a for i, c in enumerate(text) for a in (
-        F.count(df[c]).alias(f"n{i}"), _matches(df[c], _WHOLE).alias(f"w{i}"),
-        F.count(F.trim(df[c]).try_cast("bigint")).alias(f"l{i}"), F.max(F.length(F.trim(df[c]))).alias(f"m{i}"),
-        F.count(_any_number(df[c])).alias(f"d{i}"), _matches(df[c], _BOOLEAN).alias(f"b{i}"))]).first()
+    head = df.limit(HEAD)
+    seen = _found(head, dict.fromkeys(text, 0))
+    left = {c: bits for c, bits in seen.items() if bits & _DECIDED != _DECIDED}
+    if left:
+        seen |= _found(df, left)
     casts = {}
-    for i, c in enumerate(text):
-        filled = seen[f"n{i}"]
-        if filled and seen[f"w{i}"] == filled:
-            if seen[f"l{i}"] == filled:
+    for c in text:
+        bits = seen[c]
+        if not bits & FILLED:
+            continue
+        if not bits & NOT_WHOLE:
+            if not bits & NOT_LONG:
                 casts[c] = F.trim(df[c]).cast("bigint")
-            elif seen[f"m{i}"] <= MOST_DIGITS:
+            elif not bits & MANY_DIGITS:
                 casts[c] = F.trim(df[c]).cast(f"decimal({MOST_DIGITS},0)")
-        elif filled and seen[f"d{i}"] == filled:
+        elif not bits & NOT_NUMBER:
             casts[c] = _any_number(df[c])
-        elif filled and seen[f"b{i}"] == filled:
+        elif not bits & NOT_BOOLEAN:
             casts[c] = F.lower(F.trim(df[c])).cast("boolean")
     return df.select(*[casts.get(c, df[c]).alias(c) for c in df.columns])
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarrylens.operators import dictionary
+from quarrylens.sources import typing
 
 
 def _plan(df) -> str:
@@ -19,3 +22,28 @@ def test_names_are_found_without_a_search_for_each(spark):
     assert got == [(1, ["net", "revenue", "+a", "a", "net_revenue", "ab+", "New York"], "net_revenue"), (2, ["ab+"], "ab+"),
                    (2, ["net", "net", "net_revenue", "net_revenue", "revenue", "revenue"], "net_revenue"),
                    (2, ["net", "net", "net_revenue", "net_revenue", "revenue", "revenue"], "net_revenue"), (4, ["+a", "a"], "+a")]
+
+
+def test_types_are_not_tested_against_forms_ruled_out(spark, monkeypatch):
+    n = typing.HEAD * 3
+    last = F.col("id") == n - 1
+    df = spark.range(n, numPartitions=1).select(
+        F.col("id").cast("string").alias("whole"), F.when(last, "1.5").otherwise(F.col("id").cast("string")).alias("late_real"),
+        F.when(last, "x").otherwise(F.col("id").cast("string")).alias("late_text"), F.when(last, "1" * 25).otherwise(" 7 ").alias("long"),
+        F.when(last, "1" * 39).otherwise("+7").alias("too_long"), F.when(last, "true").otherwise("False").alias("flag"),
+        F.when(last, "7").otherwise("True").alias("late_flag"), F.lit("words").alias("words"), F.lit(None).cast("string").alias("none"),
+        F.when(last, "-inf").otherwise("2.5").alias("real"), F.when(last, "5").alias("only_late"))
+    asked, agg = [], type(df).agg
+
+    def counted(self, *exprs):
+        asked.append(len(exprs))
+        return agg(self, *exprs)
+
+    monkeypatch.setattr(type(df), "agg", counted)
+    typed = typing.infer_types(df)
+    monkeypatch.undo()
+    assert {f.name: f.dataType.simpleString() for f in typed.schema} == {
+        "whole": "bigint", "late_real": "double", "late_text": "string", "long": "decimal(38,0)", "too_long": "string", "flag": "boolean",
+        "late_flag": "string", "words": "string", "none": "string", "real": "double", "only_late": "bigint"}
+    assert asked == [11, 10]  # one figure for a column, and none of the column of words from all rows
+    assert typed.where("late_real = 1.5").count() == 1
