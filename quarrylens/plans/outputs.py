@@ -339,6 +339,10 @@ QUERIES["last_turns"] = Query(
   ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM conversations) WHERE later < 6""")
 
 
+#: Rows of a delimited file: quoted line breaks keep a reader from splitting it.
+FILE_ROWS = 1 << 18
+
+
 def _csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Write orders with missing-value tokens as delimited text, load it back, profile the result."""
     target = f"{shared_folder(spark)}/orders.csv"
@@ -347,7 +351,7 @@ def _csv_scan(spark: SparkSession, folder: str) -> DataFrame:
      .withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
      .withColumn("flagged", F.expr("case when o_orderkey % 2 = 0 then 'True' else 'False' end"))
      .withColumn("remark", F.concat(F.lit('say "hi",\nsecond line '), "o_orderstatus"))
-     .write.csv(target, header=True, escape='"'))
+     .write.option("maxRecordsPerFile", FILE_ROWS).csv(target, header=True, escape='"'))
     df = files.load(spark, target)
     return df.groupBy("o_orderstatus").agg(
         F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"),

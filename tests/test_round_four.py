@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.operators import dictionary
+from quarrylens.plans import outputs
 from quarrylens.sources import typing
 
 
@@ -47,3 +48,13 @@ def test_types_are_not_tested_against_forms_ruled_out(spark, monkeypatch):
         "late_flag": "string", "words": "string", "none": "string", "real": "double", "only_late": "bigint"}
     assert asked == [11, 10]  # one figure for a column, and none of the column of words from all rows
     assert typed.where("late_real = 1.5").count() == 1
+
+
+def test_delimited_text_is_written_in_files_that_many_tasks_can_read(spark, tmp_path, monkeypatch):
+    spark.sql("SELECT id AS o_orderkey, id % 7 AS o_custkey, if(id % 2 = 0, 'O', 'F') AS o_orderstatus, id / 4D AS o_totalprice, "
+              "timestamp'1995-03-04 00:00:00' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(0, 1000, 1, 1)").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(outputs, "FILE_ROWS", 100)
+    found = outputs.QUERIES["csv_scan"].run(spark, str(tmp_path))
+    assert len(found.inputFiles()) == 10
+    assert sorted((r["o_orderstatus"], r["rows"], r["priced"], r["last_year"], r["flagged"]) for r in found.collect()) == [
+        ("F", 500, 357, 1995, 0), ("O", 500, 357, 1995, 500)]
