@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.errors import AnalysisError
@@ -16,10 +16,9 @@ from quarrylens.functions.bands import LEAKAGE, STRONG, direction, strength
 from quarrylens.functions.kinds import numeric_columns, require_columns, require_numeric
 from quarrylens.functions.values import finite_column
 from quarrylens.scale.cells import COLUMN, VALUE, Summary, numbers_long, ranges
-from quarrylens.scale.even import even_cuts, running_before
+from quarrylens.scale.even import CELL, even_cuts, with_even_cell
 from quarrylens.scale.inversions import equal_pairs, inversions, opposed_cells
 from quarrylens.scale.longform import one_row_per
-from quarrylens.scale.lookups import attach
 
 METHODS = ("pearson", "spearman", "kendall")
 MIN_PAIR_ROWS, SURVEY_ROWS, TOP_LINKS = 3, 20, 3
@@ -104,35 +103,68 @@ class _Contexts:
         self.conditions = [F.lit(True) if not key else there[key[0]] & there[key[-1]] for key in held]
 
 
+#: Spearman: lots into which rows that need no order are dealt.
+LOTS = 1 << 12
+
+
 def _spearman(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    """Correlation of average ranks: every column of a context is ranked once, and ranks of one row meet again by its digest.
+    """Correlation of average ranks: every column of a context is ranked once, and the rows of a context keep together.
 
-    The rows shuffled are one for each row, column and context. Equal rows have equal ranks, so they may share a digest.
+    Each place among the columns of a context is cut into even cells; a table of counts says at which rank a cell starts. Rows are
+    dealt by the cells of one place after the other and ordered inside a cell. A cell of a single value has one rank and is not
+    ordered: its rows, which may be most of the table, are dealt by lot, and a place that has only such cells is not dealt. So a row
+    travels once for each column that has many values.
     """
     views = _views(df, columns)
     contexts = _Contexts(views, pairs)
-    slots = [(k, c) for k, held in enumerate(contexts.columns) for c in held]
-    entries = views.select(F.xxhash64(*views.columns).alias("a"), F.xxhash64(*views.columns, F.lit(1)).alias("b"), F.inline(F.array(*[
-        F.struct(F.lit(s).alias("slot"), F.when(contexts.conditions[k], F.col(f"__x{c}")).alias("value")) for s, (k, c) in enumerate(slots)])))
-    entries = entries.where(F.col("value").isNotNull())
-    sizes = F.array(*[F.lit(contexts.rows[k]) for k, _ in slots])[F.col("slot")]
-    counts = entries.groupBy("slot", "value").agg(F.count("*").alias("c"))
-    ranked = running_before(counts, "slot", "value", {"c": "before"}).select(
-        "slot", "value", "c", (F.col("before") + (F.col("c") + 1) / 2 - (sizes + 1) / 2).alias("rank"))
-    total = sum(contexts.rows[k] for k, _ in slots)
-    met = attach(entries, ranked, ["slot", "value"], "c", total, ["rank"])
-    context = F.array(*[F.lit(k) for k, _ in slots])[F.col("slot")]
-    column = F.array(*[F.lit(c) for _, c in slots])[F.col("slot")]
-    many = F.array(*[F.lit(len(held)) for held in contexts.columns])[F.col("context")]
-    rows = met.groupBy(context.alias("context"), "a", "b").agg(F.count("*").alias("entries"), *[
-        F.max(F.when(column == i, F.col("rank"))).alias(f"r{i}") for i in range(len(columns))])
-    copies = F.col("entries") / many
+    width = max(map(len, contexts.columns))
+
+    def value(held: list[int], p: int) -> Column:
+        # Zeros of either sign are equal.
+        return F.col(f"__x{held[p]}") + F.lit(0.0) if p < len(held) else F.lit(None).cast("double")
+
+    rows = views.withColumn("lot", F.pmod(F.monotonically_increasing_id(), F.lit(LOTS)).cast("int")).select("lot", F.inline(F.array(*[
+        F.struct(F.when(contexts.conditions[k], F.lit(k)).alias("context"), *[value(held, p).alias(f"v{p}") for p in range(width)])
+        for k, held in enumerate(contexts.columns)]))).where(F.col("context").isNotNull())
+
+    def slot(p: int) -> Column:
+        return (F.col("context") * width + p).alias("slot")
+
+    long = rows.select(F.inline(F.array(*[F.struct(slot(p), F.col(f"v{p}").alias("value")) for p in range(width)]))).where(F.col("value").isNotNull())
+    cuts = dict.fromkeys(range(len(contexts.columns) * width), []) | even_cuts(long, "slot", "value", apart=True)
+    counts = with_even_cell(long, "slot", "value", cuts).groupBy("slot", CELL).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    ahead = Window.partitionBy("slot").orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).collect()  # one row for each cell
+    middle = [(n + 1) / 2 for n in contexts.rows]
+    # Ranks are counted from their mean; that of a single value is known at once.
+    single = [(r["slot"], r["low"], r["start"] - middle[r["slot"] // width] + (r["n"] + 1) / 2) for r in cells if r["low"] == r["high"]]
+    shared = [(r["slot"], r[CELL], r["start"] - middle[r["slot"] // width]) for r in cells if r["low"] < r["high"]]
+    told = df.sparkSession.createDataFrame(single, "__slot int, __value double, __told double")
+    begins = df.sparkSession.createDataFrame(shared, f"slot int, {CELL} int, __start double")
+    many = {s % width for s, _, _ in shared}
+    for p in sorted(range(width), key=lambda p: (p in many, p)):
+        known = F.broadcast(told.where(F.pmod("__slot", F.lit(width)) == p))
+        rows = rows.withColumn("slot", slot(p))
+        rows = rows.join(known, (F.col("slot") == F.col("__slot")) & (F.col(f"v{p}") == F.col("__value")), "left").drop("__slot", "__value")
+        if p not in many:
+            rows = rows.withColumnRenamed("__told", f"r{p}").drop("slot", f"v{p}")
+            continue
+        rows = with_even_cell(rows, "slot", f"v{p}", cuts)
+        # Lots are below zero, where no cell is.
+        alone = F.col("__told").isNotNull() | F.col(f"v{p}").isNull()
+        rows = rows.withColumn(CELL, F.when(alone, -1 - F.col("lot")).otherwise(F.col(CELL)))
+        cell = Window.partitionBy("slot", CELL).orderBy(f"v{p}")
+        upto = F.count(F.lit(1)).over(cell.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = rows.withColumn("__rank", (F.rank().over(cell) + upto) / 2).join(F.broadcast(begins), ["slot", CELL], "left")
+        rows = rows.withColumn(f"r{p}", F.coalesce("__told", F.col("__start") + F.col("__rank"))).drop("slot", CELL, "__start", "__rank", "__told", f"v{p}")
 
     def total_of(k: int, i: int, j: int) -> Column:
-        return F.sum(F.when(F.col("context") == k, copies * F.col(f"r{i}") * F.col(f"r{j}")))
+        held = contexts.columns[k]
+        return F.sum(F.when(F.col("context") == k, F.col(f"r{held.index(i)}") * F.col(f"r{held.index(j)}")))
 
     sums = rows.agg(*[total_of(k, i, j).alias(f"p{i}_{j}") for k, held in enumerate(contexts.pairs) for i, j in held], *[
-        total_of(k, i, i).alias(f"q{k}_{i}") for k, i in slots])
+        total_of(k, i, i).alias(f"q{k}_{i}") for k, held in enumerate(contexts.columns) for i in held])
     return one_row_per(sums, [
         {"left": F.lit(columns[i]), "right": F.lit(columns[j]), "n": F.lit(contexts.n[i, j]).cast("bigint"),
          "r": F.try_divide(F.col(f"p{i}_{j}"), F.sqrt(F.col(f"q{k}_{i}") * F.col(f"q{k}_{j}")))}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylens.operators import dictionary, models
+from quarrylens.operators import correlation, dictionary, models
 from quarrylens.plans import outputs
 from quarrylens.sources import typing
 
@@ -71,3 +71,19 @@ def test_training_reads_rows_that_were_kept(spark, monkeypatch):
     assert models.train_regression(df, ["x"], "y", keys=["k"]).first()["train_rows"] == 300
     assert len(plans) == 2 and all("InMemoryTableScan" in plan for plan in plans)
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_ranks_travel_once_for_each_column_of_many_values(spark):
+    n = 3000
+    df = spark.range(n, numPartitions=4).select(
+        F.col("id").cast("double").alias("a"), F.when(F.col("id") % 5 == 0, 7.0).otherwise((F.col("id") * 7919 % 1009).cast("double")).alias("b"),
+        F.when(F.col("id") % 2 == 0, -0.0).otherwise(F.when(F.col("id") % 3 == 0, 0.0).otherwise(1.0)).alias("few"),
+        F.when(F.col("id") % 11 != 0, (F.col("id") * 31 % 997).cast("double")).alias("gaps"), F.lit(2.0).alias("one"))
+    found = correlation.pair_table(df, ["a", "b", "few"], "spearman")
+    assert _plan(found).count("Window [rank(") == 2 and "xxhash64" not in _plan(found)
+    rows = df.toPandas()
+    for row in correlation.pair_table(df, None, "spearman").collect():
+        some = rows[[row["left"], row["right"]]].dropna()
+        want = some.rank().corr().iloc[0, 1]
+        assert row["n"] == len(some) and (row["r"] is None if want != want else abs(row["r"] - want) < 1e-9)
+    assert [tuple(r)[2:] for r in correlation.pair_table(df.where("a < 0"), ["a", "b"], "spearman").collect()] == [(0, None)]
