@@ -74,8 +74,8 @@ def _alone() -> Column:
 def dictionary_mentions(df: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """``key, mentioned, resolved`` for every text that mentions a name: all names in the order of first mention, and the longest.
 
-    A name is mentioned where it stands alone, letter case aside and each of its underscores read as itself or as one space. Names
-    of equal length are resolved to the smaller one. Texts are shuffled once, by their key; each is cut into the runs of words of
+    A name is mentioned where it stands alone, letter case aside and each of its underscores read as itself or as one space; a
+    numeral such as ² beside it makes it part of another word. Names of equal length are resolved to the smaller one. Texts are shuffled once, by their key; each is cut into the runs of words of
     the lengths that names have, with their places, which are joined with the names. A text is read once whatever the number of
     names it mentions, and no name is searched for. ``key`` tells texts apart: a name that several texts of a key mention is listed
     as often. Null texts, null keys and names without a word match nothing.
