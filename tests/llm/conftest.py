@@ -26,3 +26,10 @@ def documents(spark, odd_texts):
 @pytest.fixture(scope="session")
 def no_documents(spark):
     return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_kept(spark):
+    """Frames that the tests of a module keep in the cache go with it; others look whether an operator has left one."""
+    yield
+    spark.catalog.clearCache()
